@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from warpline.llm import bpe, media, rans, urlrules
+from warpline.llm import bpe, media, rans, simhash, substrings, suffixdedup, urlrules
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_digest(blocks, freq)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicate(read(spark, sf_dir, "documents"), window=200)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(read(spark, sf_dir, "documents"), window=20)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return urlrules.match(read(spark, sf_dir, "pages"), rules)
@@ -51,8 +59,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(read(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_ids, op4_url_rules, op5_byte_bpe, op8_media]
+    own = [op1_token_ids, op2_suffix_dedup, op3_substring_dedup, op4_url_rules, op5_byte_bpe, op8_media, op9_simhash]
     return {f.__name__: f for f in own}
 
 
