@@ -235,8 +235,9 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Digests of ids and of the bytes decoded from them, encoded and decoded in one pass."""
+    schema = DIGEST.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path)
@@ -244,8 +245,11 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = v.encode(text)[0]
-                rows.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()))
-            yield table(dict(zip(DIGEST.names, zip(*rows), strict=True)) if rows else {n: [] for n in DIGEST.names}, DIGEST)
+                flat = np.array(ids, "<i4")
+                row = (doc, len(ids), hashlib.sha256(flat.tobytes()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest())
+                rows.append((*row, flat) if with_ids else row)
+            yield table(dict(zip(schema.names, zip(*rows), strict=True)) if rows else {n: [] for n in schema.names}, schema)
 
     small_batches(docs.sparkSession)
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return id_text(docs, id_col, text_col).mapInArrow(run, ddl)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from warpline.llm import bpe, media, rans, simhash, substrings, suffixdedup, urlrules
+from warpline.llm import bpe, decontaminate, language, media, rans, simhash, substrings, suffixdedup, urlrules
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(read(spark, sf_dir, "documents")))
 
@@ -63,8 +67,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_ids, op2_suffix_dedup, op3_substring_dedup, op4_url_rules, op5_byte_bpe, op8_media, op9_simhash]
+    own = [op1_token_ids, op2_suffix_dedup, op3_substring_dedup, op4_url_rules, op5_byte_bpe, op7_language, op8_media, op9_simhash, op10_decontamination, pipeline]
     return {f.__name__: f for f in own}
 
 
