@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from warpline.llm import bpe, decontaminate, language, media, rans, simhash, substrings, suffixdedup, urlrules
+from warpline.llm import bpe, decontaminate, hmm, language, media, rans, simhash, substrings, suffixdedup, urlrules
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_ids, op2_suffix_dedup, op3_substring_dedup, op4_url_rules, op5_byte_bpe, op7_language, op8_media, op9_simhash, op10_decontamination, pipeline]
+    own = [op1_token_ids, op2_suffix_dedup, op3_substring_dedup, op4_url_rules, op5_byte_bpe, op6_hmm, op7_language, op8_media, op9_simhash, op10_decontamination, pipeline]
     return {f.__name__: f for f in own}
 
 
