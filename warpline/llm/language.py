@@ -115,11 +115,19 @@ class Model:
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The bounded training sample: lang, text."""
+    """The bounded training sample: lang, text.
+
+    A language with many rows is thinned by the hash of the id before its rows are ranked, so no task
+    gets more than some thousand rows of a language; a third pass would only be needed if far fewer
+    than expected stayed, which a hash of ids does not do.
+    """
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    own = own.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id").alias("h"))
+    own = own.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", F.lit(1)))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    bound = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0 * PER_LANGUAGE) / F.col("n")) - F.lit(2.0**63)
+    thin = own.join(F.broadcast(sizes), "lang").filter(F.col("h").cast("double") <= bound)  # at most LANGUAGES rows
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return own.withColumn("k", rank).filter(F.col("k") <= PER_LANGUAGE).select("lang", "text")
+    return thin.select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("k", rank).filter(F.col("k") <= PER_LANGUAGE).select("lang", "text")
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
