@@ -73,3 +73,73 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 540)}, 8: 8, 9: 8}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def wide_print(text):
+    """256 bits of distinct five-word shingles, by plain integers."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    grams = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    full, factor = 2**64 - 1, 0xBF58476D1CE4E5B9
+    hashes = []
+    for g in grams:
+        wide = 0
+        for i in range(4):
+            x = (xxhash.xxh3_64_intdigest(g) + i * 0x9E3779B97F4A7C15) & full
+            x ^= x >> 30
+            x = x * factor & full
+            wide |= (x ^ x >> 27) << 64 * i
+        hashes.append(wide)
+    return sum(1 << b for b in range(256) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def near_groups(prints, ids):
+    low, radius = dict(zip(ids, ids)), simhash.radius_of(0.8)
+    near = [(i, j) for i, a in zip(ids, prints) for j, b in zip(ids, prints) if i < j and (a ^ b).bit_count() <= radius]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            least = min(low[i], low[j])
+            changed |= low[i] != low[j]
+            low[i] = low[j] = least
+    return low
+
+
+def jaccard(a, b):
+    s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(s & t) / len(s | t)
+
+
+@pytest.mark.parametrize("shard", [1024, 8])
+def test_near_copies_go_and_others_stay(make_docs, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    texts, origin = [], []
+    for k in range(60):
+        words = [rnd.choice(base) for _ in range(rnd.randint(60, 400))]
+        texts.append(" ".join(words))
+        origin.append(k)
+        for _ in range(rnd.randint(0, 3) + 40 * (k == 7)):
+            copy = list(words)
+            for _ in range(max(1, len(words) // 80)):
+                copy[rnd.randrange(len(copy))] = "edit"
+            texts.append(" ".join(copy).upper())
+            origin.append(k)
+    first = {}
+    for i, k in enumerate(origin):
+        first.setdefault(k, i)
+    kept = {r.doc_id for r in simhash.keep_one_similar(make_docs(texts)).collect()}
+    assert set(first.values()) <= kept  # clean documents and one of each group
+    extra = [i for i in kept - set(first.values()) if jaccard(texts[i].lower(), texts[first[origin[i]]]) >= 0.8]
+    assert len(extra) <= 0.03 * len(texts)
+
+
+def test_near_copies_of_short_empty_and_null(make_docs):
+    texts = ["a", "A", "", None, "b c", "b  c", "x"]
+    kept = {r.doc_id for r in simhash.keep_one_similar(make_docs(texts)).collect()}
+    assert kept == {0, 2, 4, 6}
+    assert simhash.keep_one_similar(make_docs(["a", "a"], [None, None])).count() == 2
+    assert simhash.keep_one_similar(make_docs([])).count() == 0

@@ -63,16 +63,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word each, or of rows of words."""
+    d = np.bitwise_count(a ^ b)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """BK-tree over distinct 64-bit fingerprints, built and searched a level at a time."""
+    """BK-tree over fingerprints (words, or rows of words), built and searched a level at a time."""
 
     def __init__(self, fps: np.ndarray):
         self.fps = fps
+        self.most = 64 * (fps.shape[1] if fps.ndim > 1 else 1)
+        fan = self.most + 1
         n = len(fps)
         waiting, parent = np.arange(1, n), np.zeros(max(0, n - 1), np.int64)
         keys, children = [], []
         while len(waiting):
-            key = parent * 65 + np.bitwise_count(fps[waiting] ^ fps[parent])
+            key = parent * fan + distance(fps[waiting], fps[parent])
             edge, first, which = np.unique(key, return_index=True, return_inverse=True)
             keys.append(edge)
             children.append(waiting[first])
@@ -89,11 +97,11 @@ class BKTree:
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.fps[node]).astype(np.int64)
+            d = distance(queries[q], self.fps[node])
             hit = d <= radius
             found.append((q[hit], node[hit]))
-            low = np.searchsorted(self.edge, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.edge, node * 65 + np.minimum(d + radius, 64), "right")
+            low = np.searchsorted(self.edge, node * (self.most + 1) + np.maximum(d - radius, 0))
+            high = np.searchsorted(self.edge, node * (self.most + 1) + np.minimum(d + radius, self.most), "right")
             n = high - low
             ends = np.cumsum(n)
             at = np.repeat(low - (ends - n), n) + np.arange(int(n.sum()))
@@ -190,6 +198,155 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, id_co
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# near copies by similarity ---------------------------------------------------------------------------
+
+WIDE, ROOM, RECALL = 4, 64, 0.97  # words of a wide fingerprint; members a shard should have; wanted recall
+
+
+def radius_of(similarity: float, words: int = WIDE) -> int:
+    """Bits within which texts of this Jaccard similarity lie but for one and a half standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * words
+    return int(share * n + 1.5 * np.sqrt(share * (1 - share) * n))
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
+    """WIDE words: each bit set if more than half of the distinct shingles' hashes have it."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    s, e = starts[:n].tolist(), ends[k - 1 :].tolist()
+    digest = xxhash.xxh3_64_intdigest
+    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(s, e)), np.uint64, n))
+    total = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(h), 16384):
+        part = np.repeat(h[at : at + 16384, None], WIDE, axis=1)
+        for i in range(WIDE):
+            x = part[:, i]
+            x += OFFSETS[i]
+            x ^= x >> np.uint64(30)
+            x *= MORE
+            x ^= x >> np.uint64(27)
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    n = len(h)
+    return np.packbits(total * 2 > n, bitorder="little").view("<u8")
+
+
+MORE = np.uint64(0xBF58476D1CE4E5B9)
+OFFSETS = np.array([i * 0x9E3779B97F4A7C15 % 2**64 for i in range(WIDE)], np.uint64)
+COLUMNS = [f"f{i}" for i in range(WIDE)]
+PRINT_DDL = ", ".join(f"{c} long" for c in COLUMNS)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COLUMNS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = buffers(b.column(1))
+            data, edges = raw.tobytes(), off.tolist()
+            fp = np.array([wide_fingerprint(data[s:e], shingle) for s, e in zip(edges, edges[1:])], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield table({"doc_id": b.column(0), **{c: fp[:, i] for i, c in enumerate(COLUMNS)}}, schema)
+
+    small_batches(docs.sparkSession)
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + PRINT_DDL)
+
+
+def tables_for(n: int, similarity: float) -> list[np.ndarray]:
+    """Sampled bit places, a table each: shards of about ROOM members, and as many tables as RECALL needs."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2) / ROOM)), 8, 30))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
+    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree)))
+    rng = np.random.default_rng(11)
+    return [rng.choice(64 * WIDE, bits, replace=False) for _ in range(count)]
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between ids of classes (id, f0...) whose fingerprints lie within the radius.
+
+    Shards are equal sampled bits. A shard of more than SHARD members is dealt in chunks; only the
+    roots of a chunk's components go on and meet those of the other chunks, as near copies collapse.
+    """
+    spark = classes.sparkSession
+    radius, places = radius_of(similarity), tables_for(classes.count(), similarity)
+    row_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in COLUMNS)])
+    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int64()) for n in row_schema.names)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([np.asarray(b.column(1 + i)) for i in range(WIDE)], axis=1)
+            on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+            for t, where in enumerate(places):
+                key = on[:, where].astype(np.int64) @ (1 << np.arange(len(where), dtype=np.int64)) | t << 32
+                yield table({"key": key, "id": b.column(0), **{c: fp[:, i] for i, c in enumerate(COLUMNS)}}, row_schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held, axis=1)
+            ids, fp = x[0], np.ascontiguousarray(x[1:].T).view(np.uint64)
+            m, r = forest(fp, radius)
+            cols = {n: [None] * len(m) for n in row_schema.names}
+            yield table({"a": ids[m], "b": ids[r]} | cols, out_schema)
+            if now[1] >= 0:  # a chunk of a large shard: its roots go on
+                root = np.setdiff1d(np.arange(len(ids)), m)
+                own = {"key": np.full(len(root), now[0]), "id": ids[root]} | {c: x[1 + i][root] for i, c in enumerate(COLUMNS)}
+                yield table({"a": [None] * len(root), "b": [None] * len(root)} | own, out_schema)
+
+        for b in batches:
+            key, salt = np.asarray(b.column(0)), np.asarray(b.column(1))
+            rows = np.stack([np.asarray(b.column(2 + i)) for i in range(WIDE + 1)])
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(key)]
+            for s, e in zip(cut, cut[1:]):
+                if s == e:
+                    continue
+                if held and (key[s], salt[s]) != now:
+                    yield from done()
+                    held = []
+                now = (int(key[s]), int(salt[s]))
+                held.append(rows[:, s:e])
+        if held:
+            yield from done()
+
+    rows = materialise(classes.select("id", *COLUMNS).mapInArrow(deal, f"key long, id long, {PRINT_DDL}"))
+    edges, turn, before = None, 0, None
+    while True:
+        sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        hot = int(sizes.filter(F.col("n") > SHARD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        stuck = before is not None and hot > 0.8 * before  # what does not collapse is compared in larger chunks
+        size = SHARD << (turn if stuck else 0)
+        salt = F.when(F.col("n") > size, F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / size))).otherwise(F.lit(-1)).cast("long")
+        dealt = rows.join(sizes, "key").select("key", salt.alias("salt"), "id", *COLUMNS)
+        found = materialise(dealt.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(search, f"a long, b long, key long, id long, {PRINT_DDL}"))
+        new = found.filter("a is not null").select("a", "b")
+        edges = new if edges is None else edges.unionByName(new)
+        if not hot:
+            return edges.distinct()
+        rows, before, turn = found.filter("key is not null").select("key", "id", *COLUMNS), hot, turn + 1
+
+
+def keep_one_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group of near copies; null doc_ids stay.
+
+    Near copies are texts whose wide fingerprints lie as close as those of texts with this Jaccard
+    similarity of word shingles do; equal fingerprints are always linked.
+    """
+    names = docs.columns
+    prints = materialise(wide_fingerprints(docs, shingle).filter("doc_id is not null"))
+    classes = materialise(prints.groupBy(*COLUMNS).agg(F.min("doc_id").alias("id")))
+    nodes = components(similar_links(classes, similarity))
+    roots = materialise(classes.join(nodes, classes["id"] == nodes["node"], "left").select(*COLUMNS, F.coalesce("component", "id").alias("root")))
+    gone = prints.join(roots, COLUMNS).filter("doc_id <> root").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(materialise(gone), docs["doc_id"] == F.col("__gone"), "left_anti").select(*names)
+
+
 def keep_one(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
     names = docs.columns
