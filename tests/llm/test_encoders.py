@@ -47,12 +47,12 @@ def test_encode_then_decode_tables(spark, make_docs):
 
 
 def test_ans_blocks_and_checkpoints():
-    ids = np.random.default_rng(0).zipf(1.3, 200_000).clip(max=40_000).astype(np.uint16)
+    step = rans.CHECK * rans.LANES
+    ids = np.random.default_rng(0).zipf(1.3, 3 * step + 5000).clip(max=40_000).astype(np.uint16)
     coder = rans.Coder(rans.frequencies(np.bincount(ids, minlength=49408)))
     for n in (0, 1, rans.LANES, rans.LANES + 1, len(ids)):
         body, states, checks = coder.encode(ids[:n])
         assert (coder.decode(body, states, n) == ids[:n]).all()
-    step = rans.CHECK * rans.LANES
     for k in range(1, 4):
         assert (coder.decode_part(body, checks, len(ids), k) == ids[k * step : (k + 1) * step]).all()
 
@@ -76,7 +76,7 @@ def test_token_files(spark, make_docs, monkeypatch):
 def test_token_files_empty_and_long(spark, make_docs):
     blocks, freq = rans.write_ids(make_docs([]), WORD, end_id=1, vocabulary=49408)
     assert rans.read_digest(blocks, freq).count() == 0
-    long = "ab cd " * 150_000
+    long = "ab cd " * (rans.BLOCK // 2 + 1000)
     blocks, freq = rans.write_ids(make_docs([long, "x"]), WORD, end_id=1, vocabulary=49408)
     rows = {r.doc_id: r for r in rans.read_digest(blocks, freq).collect()}
     ids = rans.words(WORD).encode([long])[0].tolist() + [1]

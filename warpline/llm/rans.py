@@ -19,20 +19,26 @@ doc_ids come first; an empty table gives no blocks and an empty result; a long t
 from __future__ import annotations
 
 import functools
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warpline.llm.common import id_text, materialise, partitions, remove, small_batches, table
+from warpline.llm.common import buffers, id_text, materialise, partitions, remove, small_batches, table
 
-SCALE, LANES, BLOCK, CHECK = 21, 1024, 1 << 18, 64
+SCALE, LANES, BLOCK, CHECK = 20, 4096, 1 << 20, 64
 LOW = 1 << 31
 CACHED = 1_500_000
+#: the characters that byte-level tokenizers write for bytes: printable Latin-1 stands for itself
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+PLAIN = "\u0130"  # letters below it keep their form under NFC and lower one by one
 
 
 class Words:
@@ -47,37 +53,70 @@ class Words:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.ends = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ("", ",", ".")}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
+        self.stems: dict[str, bytes] = {}
         self.flat: list[np.ndarray] = [np.empty(0, np.uint16)]
         self.sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
 
     def learn(self, words: list[str]) -> None:
-        joined = " ".join(words)
-        e = self.tok.encode(joined, add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-        owner = np.searchsorted(ends, starts, "right")
+        """Letters before a closing comma or full stop are a word of their own, in either case."""
+        gc.disable()  # nothing below makes cycles, but its many small tuples would set off collections
+        stems, tails = [], []
+        known, letters, others = self.stems, [], []
+        for w in words:
+            end = w[-1]
+            stem = w[:-1] if end in ",." else w
+            if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN):
+                tails.append(end if stem is not w else "")
+                stem = stem.lower()
+                if stem not in known:
+                    known[stem] = b""
+                    letters.append(stem)
+            else:
+                stem = w
+                tails.append("")
+                if stem not in known:
+                    known[stem] = b""
+                    others.append(stem)
+            stems.append(stem)
+        tokenize = self.tok.model.tokenize
+        for w in letters:  # one match of the splitter each, so the merges alone give the ids
+            parts = tokenize(w if w.isascii() else "".join([BYTE_CHARS[c] for c in w.encode()]))
+            known[w] = array("H", [p.id for p in parts]).tobytes()
+        if others:
+            e = self.tok.encode(" ".join(others), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in others])
+            starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            edges = np.searchsorted(starts, np.concatenate([[0], ends])).tolist()
+            raw = np.array(e.ids, np.uint16).tobytes()
+            known.update(zip(others, [raw[2 * a : 2 * b] for a, b in zip(edges, edges[1:])], strict=True))
+        tail = self.ends
+        parts = [known[s] + tail[t] if t else known[s] for s, t in zip(stems, tails)]
         base = len(self.index)
-        self.index.update({w: base + i for i, w in enumerate(words)})
-        self.flat.append(np.array(e.ids, np.uint16))
-        self.sizes.append(np.bincount(owner, minlength=len(words)).astype(np.int64))
+        self.index.update(zip(words, range(base, base + len(words))))
+        self.flat.append(np.frombuffer(b"".join(parts), np.uint16))
+        self.sizes.append(np.fromiter(map(len, parts), np.int64, len(parts)) // 2)
+        gc.enable()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
         if len(self.index) > CACHED:
             self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.index) if split else set()
-        if new:
-            self.learn(list(new))
+        counts = [len(w) for w in split]
+        flat_words = list(chain.from_iterable(split))
+        words = np.fromiter(map(self.index.get, flat_words, repeat(-1)), np.int64, len(flat_words))
+        missing = np.flatnonzero(words < 0).tolist()
+        if missing:
+            self.learn(list(dict.fromkeys(flat_words[i] for i in missing)))
             self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        get, flat, sizes = self.index.__getitem__, self.flat[0], self.sizes[0]
+            words[missing] = [self.index[flat_words[i]] for i in missing]
+        flat, sizes = self.flat[0], self.sizes[0]
         starts = np.cumsum(sizes) - sizes
-        counts = [len(w) for w in split]
-        words = np.fromiter(map(get, chain.from_iterable(split)), np.int64, sum(counts))
         n = sizes[words]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -116,17 +155,11 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, np.uint16), minlength=1 << 16)
+            total += np.bincount(buffers(b.column(0))[0].view(np.uint16), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield table({"id": at.astype(np.int32), "count": total[at]}, schema)
 
-    # rows are joined first: bincount over 65,536 slots for each short text would cost more than the text
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(b.column(0).to_pylist())], pa.binary())], names=["ids"])
-
-    return tokens.select("ids").mapInArrow(lambda it: run(merged(it)), "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return tokens.select("ids").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
