@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from warpline.llm import bpe, decontaminate, hmm, language, media, rans, simhash, substrings, suffixdedup, urlrules
+from warpline.llm import bpe, decontaminate, hmm, language, media, rans, simhash, sql, substrings, suffixdedup, urlrules
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,7 +28,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(read(spark, sf_dir, "documents"), window=20)
+    return substrings.deduplicate(read(spark, sf_dir, "documents"), window=20).drop("n_spans")
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,21 +36,6 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.match(read(spark, sf_dir, "pages"), rules)
 
 
-OP4_SQL = """
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
-h AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS raw, r FROM u),
-p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') AS path FROM h),
-rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
-  ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-m AS (SELECT page_id, rhost || rpath AS rule, verdict,
-             row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
-      FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
-SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
-FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
-"""
-
-
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -87,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": OP4_SQL}
+    return {"op2_suffix_dedup": sql.OP2, "op3_substring_dedup": sql.OP3, "op4_url_rules": sql.OP4, "op10_decontamination": sql.OP10}
