@@ -89,6 +89,13 @@ def sample(feeds: DataFrame, n: int = 10) -> DataFrame:
     return feeds.orderBy("feed_ord", "pos").limit(n)
 
 
+def answer(feeds: DataFrame, n: int = 10) -> DataFrame:
+    """One row: how many records there are, and the first n of them."""
+    first = sample(feeds, n).select(F.struct("feed_ord", "pos", "value", "type", "source", "confidence").alias("r"))
+    listed = first.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["value"], r["type"], r["source"], r["confidence"])).alias("sample"))
+    return feeds.agg(F.count("*").alias("indicators_collected")).crossJoin(listed)  # one row each
+
+
 class HttpFeed(DataSource):
     """spark.read.format("httpfeed").option("url", ...): the body as one row. Options: method, timeout, headers as header.NAME."""
 
