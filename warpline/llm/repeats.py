@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from warpline.llm.anchors import records
 from warpline.llm.common import buffers, materialise, partitions, remove, small_batches, table
 
-SHARD, HOT = 1 << 20, 12_000
+SHARD, HOT = 1 << 20, 1000
 NO_ID = -(2**63)
 Classes = Callable[[list, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
