@@ -19,7 +19,14 @@ def cut_text(text, others):
     for i in range(len(raw) - 199):
         if others[raw[i : i + 200]] > 1:
             gone[i : i + 200] = [True] * 200
-    return bytes(b for b, g in zip(raw, gone) if not g).decode(errors="ignore")
+    parts, last = [bytearray()], False
+    for b, g in zip(raw, gone):
+        if g and not last:
+            parts.append(bytearray())
+        if not g:
+            parts[-1].append(b)
+        last = g
+    return "".join(p.decode(errors="ignore") for p in parts)  # of each kept stretch whole characters only
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):

@@ -243,8 +243,11 @@ def covered(spans: list | None, window: int) -> list[tuple[int, int]]:
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def cut(texts: DataFrame, spans: DataFrame, *, words: bool, window: int, keep_text: bool, key: bool = False) -> DataFrame:
-    """Each document without its removed units: counts, digest and, if asked for, the kept bytes."""
+def cut(texts: DataFrame, spans: DataFrame, *, words: bool, window: int, keep_text: bool, characters: bool = False) -> DataFrame:
+    """Each document without its removed units: counts, digest and, if asked for, the kept bytes.
+
+    characters: of each kept stretch only whole characters, and nid and th are passed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -258,13 +261,13 @@ def cut(texts: DataFrame, spans: DataFrame, *, words: bool, window: int, keep_te
                     parts.append(units[at:s])
                     at = e
                 parts.append(units[at:])
+                if characters:
+                    parts = [p.decode(errors="ignore").encode() for p in parts]
                 kept = b" ".join(w for p in parts for w in p) if words else b"".join(parts)
-                if not words and keep_text:  # a text column takes whole characters only
-                    kept = kept.decode(errors="ignore").encode()
                 rows.append((doc, len(units), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             cols = dict(zip(KEPT.names, zip(*rows), strict=True)) if rows else {n: [] for n in KEPT.names}
-            yield table(cols | ({"nid": b.column(3), "th": b.column(4)} if key else {}), schema)
+            yield table(cols | ({"nid": b.column(3), "th": b.column(4)} if characters else {}), schema)
 
-    own = ["nid", "th"] if key else []
+    own = ["nid", "th"] if characters else []
     schema = pa.schema([*KEPT, *((n, pa.int64()) for n in own)])
     return texts.join(spans, ["nid", "th"], "left").select("doc_id", "z", "spans", *own).mapInArrow(run, "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", {n} long" for n in own))

@@ -56,11 +56,10 @@ def clean(docs: DataFrame, *, window: int = 200) -> DataFrame:
     A character that a removed stretch cuts in two goes as a whole.
     """
     texts, spans = _spans(docs, window, "doc_id", "text", "all")
-    touched = materialise(cut(texts.join(spans, ["nid", "th"], "left_semi").dropDuplicates(["nid", "th"]), spans, words=False, window=window, keep_text=True, key=True))
-    now = touched.select("nid", "th", F.col("kept").cast("string").alias("__kept"))
-    own = docs.withColumns({"nid": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    text = F.when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col("text"))
-    changed = own.join(now, ["nid", "th"], "left").withColumn("text", text)
+    touched = materialise(cut(texts.join(spans, ["nid", "th"], "left_semi").dropDuplicates(["nid", "th"]), spans, words=False, window=window, keep_text=True, characters=True))
+    now = touched.select(F.col("nid").alias("__nid"), F.col("th").alias("__th"), F.col("kept").cast("string").alias("__kept"))
+    own = docs.withColumns({"__nid": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    changed = own.join(now, ["__nid", "__th"], "left").withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

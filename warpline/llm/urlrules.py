@@ -9,8 +9,8 @@ whose path starts the url's path, the longest rule text (host + path) wins, then
 
 Events come in chunks of CHUNK; a url belongs to the chunk whose first key is the last one at or below
 its own. Urls of a chunk are dealt over salts, and each salt gets the events of its chunk, so a host
-with a third of all pages is spread evenly, and no task holds more than CHUNK events. All work is
-DataFrame expressions.
+with a third of all pages is spread evenly, and no task holds more than CHUNK events. The rules
+themselves, a list of some millions at most, are numbered in one sort. All work is DataFrame expressions.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; repeated
 rows and ties keep their rows; an empty page table gives an empty result; a rule with a null or empty
@@ -63,8 +63,8 @@ def _events(rules: DataFrame) -> DataFrame:
         F.array_sort(F.flatten(F.collect_list("of_host"))).alias("stack"),
         F.array_sort(F.flatten(F.collect_list(F.when(F.col("host") != F.col("self"), F.col("of_host"))))).alias("below"),
     )
-    both = full.select("key", F.col("stack").alias("stack"), F.lit(0).alias("pop"), F.length("key").alias("n")).unionByName(full.select(F.concat("key", F.lit(LAST)).alias("key"), F.col("below").alias("stack"), F.lit(1).alias("pop"), F.length("key").alias("n")))
-    return both
+    push = full.select("key", "stack", F.lit(0).alias("pop"))
+    return push.unionByName(full.select(F.concat("key", F.lit(LAST)).alias("key"), F.col("below").alias("stack"), F.lit(1).alias("pop")))
 
 
 def match(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
