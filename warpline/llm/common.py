@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,14 @@ def remove(*tables: DataFrame) -> None:
             if "/warpline-" in d:
                 path = jvm.org.apache.hadoop.fs.Path(d)
                 path.getFileSystem(conf).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing holds any more; it does so after a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession, per: int = 1) -> int:
@@ -53,6 +62,7 @@ def partitions(spark: SparkSession, per: int = 1) -> int:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch to a Python worker holds, as single texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

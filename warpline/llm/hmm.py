@@ -32,9 +32,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import buffers, materialise, partitions, remove, small_batches, table
+from warpline.llm.common import buffers, materialise, partitions, release, remove, small_batches, table
 
-STATES, TOP, ROUNDS, CUT, BLOCK, LANES = 8, 16_384, 4, 256, 12 << 20, 2048
+STATES, TOP, ROUNDS, CUT, BLOCK, LANES = 8, 16_384, 4, 256, 8 << 20, 2048
 PRIOR, STAY = 100.0, 0.95
 
 
@@ -283,26 +283,43 @@ def train(coded: DataFrame, words: list[bytes], base: np.ndarray, rest: float, r
     return model
 
 
+def most_frequent(counts: DataFrame, top: int) -> list:
+    """The top rows of (word, c). A histogram of counts first shows which rows can be among them, as
+    otherwise every task would send the driver its own top rows."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    histogram = sorted(((r["b"], r["n"]) for r in counts.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 16 rows a power of two
+    total, bound = 0, 0
+    for bound, n in histogram:
+        total += n
+        if total >= top:
+            break
+    return counts.filter(step >= bound).orderBy(F.desc("c"), "word").limit(top).collect()
+
+
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def score(docs: DataFrame, *, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     packed = materialise(blocks(docs, held_out(id_col) if held is None else held, id_col, text_col))
-    words = materialise(block_words(packed))
+    words = block_words(packed)  # unpacked twice rather than stored
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
+    release(docs.sparkSession)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
-    best = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(top).collect()]  # top rows at most
+    best = [(bytes(r["word"]), r["c"]) for r in most_frequent(counts, top)]
     tops = len(best)
     base = np.array([(c + 1) / (total + distinct + 1) for _, c in best])
     rest = max(1.0 - float(base.sum()), 1e-300)
     spark = docs.sparkSession
     symbols = spark.createDataFrame([(bytearray(w), i) for i, (w, _) in enumerate(best)], "word binary, symbol int")
     known = counts.join(F.broadcast(symbols), "word", "left")  # at most top rows are broadcast
-    counted = words.select("blk", "local", "word").join(materialise(known), "word", "left")
-    coded = materialise(code(packed, _columns(counted, tops), total, distinct, tops, rest))
-    remove(packed, words, counts)
+    known = materialise(known)
+    remove(counts)
+    columns = materialise(_columns(words.select("blk", "local", "word").join(known, "word", "left"), tops))
+    remove(known)
+    coded = materialise(code(packed, columns, total, distinct, tops, rest))
+    remove(packed, columns)
     model = train(coded, [w for w, _ in best], base, rest, rounds if tops else 0)
     sent = spark.sparkContext.broadcast(model)
 
