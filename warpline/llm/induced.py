@@ -193,7 +193,7 @@ def _names(text: np.ndarray, s_type: np.ndarray, stars: np.ndarray, cap: int) ->
             w, r = word[order], rank[rows][order]
             fresh = np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1])])
         else:
-            order = np.argsort(word, kind="stable")
+            order = np.argsort(word)
             w = word[order]
             fresh = np.concatenate([[True], w[1:] != w[:-1]])
         rank[:] = 0
@@ -214,18 +214,35 @@ def _by_doubling(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     """Order of the suffixes of a string of names by `depth` names, and shared names of neighbours."""
     m = len(names)
     ranks, size = [names.astype(np.int64)], 1
-    while size < depth and int(ranks[-1].max()) + 1 < m:
+    order = np.argsort(names)
+    while size < depth:
         r = ranks[-1]
-        after = np.zeros(m, np.int64)
-        after[: m - size] = r[size:] + 1
-        key = r * (m + 1) + after
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.empty(m, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+        ordered = r[order]
+        # only suffixes that tie with a neighbour need another look
+        tied = np.zeros(m, bool)
+        same = ordered[1:] == ordered[:-1]
+        tied[1:] = same
+        tied[:-1] |= same
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        place = order[at]
+        after = np.zeros(len(place), np.int64)
+        inside = place + size < m
+        after[inside] = r[place[inside] + size] + 1
+        key = r[place] * (m + 1) + after
+        turn = np.argsort(key)
+        place, key = place[turn], key[turn]
+        order[at] = place  # ties keep their stretch of the order
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        new = r.copy()
+        # a rank is the place in the order of the first of its equals
+        if size == 1:
+            new[order] = np.arange(m)
+        first = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+        new[place] = first
         ranks.append(new)
         size *= 2
-    order = np.argsort(ranks[-1], kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
     shared = np.zeros(m - 1, np.int64)
     for k in range(len(ranks) - 1, -1, -1):
