@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, id_co
 
 # near copies by similarity ---------------------------------------------------------------------------
 
-WIDE, ROOM, RECALL = 4, 64, 0.97  # words of a wide fingerprint; members a shard should have; wanted recall
+WIDE, ROOM, RECALL = 4, 256, 0.97  # words of a wide fingerprint; members a shard should have; wanted recall
 
 
 def radius_of(similarity: float, words: int = WIDE) -> int:
@@ -315,7 +315,7 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from done()
 
-    rows = materialise(classes.select("id", *COLUMNS).mapInArrow(deal, f"key long, id long, {PRINT_DDL}"))
+    rows = classes.select("id", *COLUMNS).mapInArrow(deal, f"key long, id long, {PRINT_DDL}")  # dealt twice rather than stored
     edges, turn, before = None, 0, None
     while True:
         sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
