@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -44,14 +45,17 @@ def remove(*tables: DataFrame) -> None:
             if "/warpline-" in d:
                 path = jvm.org.apache.hadoop.fs.Path(d)
                 path.getFileSystem(conf).delete(path, True)
-    if tables:
-        release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing holds any more; it does so after a collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that nothing holds any more; it does so after collections.
+
+    The first collection frees what Python held, the second what that held in turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession, per: int = 1) -> int:

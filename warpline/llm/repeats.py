@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warpline.llm.anchors import records
-from warpline.llm.common import buffers, materialise, partitions, remove, small_batches, table
+from warpline.llm.common import buffers, materialise, partitions, release, remove, small_batches, table
 
-SHARD, HOT = 1 << 20, 1000
+SHARD, HOT = 1 << 20, 12_000  # 12,000 slices of about 300 bytes are what one task holds at ease
 NO_ID = -(2**63)
 Classes = Callable[[list, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -204,6 +204,7 @@ def repeated(docs: DataFrame, texts: DataFrame, classes: Classes, *, words: bool
     known = materialise(every.groupBy("akey").agg(F.count("*").alias("n")).filter("n > 1").select("akey"))
     hits = materialise(every.join(known, "akey"))
     remove(every, known)
+    release(docs.sparkSession)
     contents = materialise(hits.groupBy("akey", "chash").agg(F.count("*").alias("copies"), F.min(F.struct("nid", "first", "last", "th")).alias("rep")))
     several = materialise(contents.groupBy("akey").agg(F.count("*").alias("n")).filter("n > 1"))
     salt = F.when(F.col("n") > hot, F.pmod("chash", F.ceil(F.col("n") / F.lit(hot))).cast("int")).otherwise(F.lit(-1))
@@ -211,6 +212,7 @@ def repeated(docs: DataFrame, texts: DataFrame, classes: Classes, *, words: bool
     wanted = open_.groupBy("nid", "th").agg(F.collect_list("part").alias("parts"))
     one_text = texts.select("nid", "th", "z")
     found = materialise(search(slices(one_text, wanted, words, window), words, window, mode, classes, shard))
+    release(docs.sparkSession)
     plain = found.filter("whash is null").select("akey", "chash", "low", "high")
     asked = found.filter("ask")
     if several.filter(F.col("n") > hot).limit(1).count():
@@ -226,6 +228,7 @@ def repeated(docs: DataFrame, texts: DataFrame, classes: Classes, *, words: bool
     spans = hits.join(facts, ["akey", "chash"]).select("nid", "th", span.alias("span")).filter("span is not null")
     out = materialise(spans.groupBy("nid", "th").agg(F.flatten(F.collect_list("span")).alias("spans")))
     remove(hits, contents, several, found, facts)
+    release(docs.sparkSession)
     return out
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from warpline.llm.fmindex import FMIndex
 from warpline.llm.repeats import cut, keyed, packed, repeated
 
+HOT = 1000  # contents of an anchor from which it is dealt over salts
+
 
 def word_classes(contents: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content, offset, class) of every window of a shard; equal windows have one class."""
@@ -46,6 +48,6 @@ def deduplicate(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", te
         raise ValueError("window must be 9 words or more")
     base = keyed(docs, id_col, text_col)
     texts = packed(base)
-    spans = repeated(base, texts, word_classes, words=True, window=window, k=8, mode="later", **limits)
+    spans = repeated(base, texts, word_classes, words=True, window=window, k=8, mode="later", **{"hot": HOT, **limits})
     out = cut(texts, spans, words=True, window=window, keep_text=keep_text).withColumnRenamed("n_units", "n_words")
     return out if keep_text else out.drop("kept")
