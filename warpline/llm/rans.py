@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warpline.llm.common import buffers, id_text, materialise, partitions, remove, small_batches, table
+from warpline.llm.common import buffers, id_text, materialise, partitions, release, remove, small_batches, table
 
 SCALE, LANES, BLOCK, CHECK = 20, 4096, 1 << 20, 64
 LOW = 1 << 31
@@ -41,6 +41,16 @@ BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumer
 PLAIN = "\u0130"  # letters below it keep their form under NFC and lower one by one
 
 
+def lowered(text: str) -> str:
+    """Latin-1 texts in lower case, which the normaliser makes of them anyway; it leaves fewer forms of words."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class Words:
     """Ids of white-space separated words by the tokenizers library, with a bounded cache.
 
@@ -106,7 +116,7 @@ class Words:
         """(all ids, number of ids of each text)."""
         if len(self.index) > CACHED:
             self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         counts = [len(w) for w in split]
         flat_words = list(chain.from_iterable(split))
         words = np.fromiter(map(self.index.get, flat_words, repeat(-1)), np.int64, len(flat_words))
@@ -330,6 +340,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int
     freq = frequencies(counts)
     blocks = materialise(pack(tokens, freq, partitions(spark)))
     remove(tokens)
+    release(spark)
     return blocks, freq
 
 
