@@ -316,10 +316,13 @@ def score(docs: DataFrame, *, held: Column | None = None, id_col: str = "doc_id"
     known = counts.join(F.broadcast(symbols), "word", "left")  # at most top rows are broadcast
     known = materialise(known)
     remove(counts)
+    release(spark)
     columns = materialise(_columns(words.select("blk", "local", "word").join(known, "word", "left"), tops))
     remove(known)
+    release(spark)
     coded = materialise(code(packed, columns, total, distinct, tops, rest))
     remove(packed, columns)
+    release(spark)
     model = train(coded, [w for w, _ in best], base, rest, rounds if tops else 0)
     sent = spark.sparkContext.broadcast(model)
 
