@@ -228,7 +228,7 @@ def find_duplicate(s, d):
 
 def _registry(s: SparkSession, d: str) -> feeds.Registry:
     """Feeds whose bodies are made from pages and parts."""
-    pages = X.read(s, d, "pages").filter("page_id < 40").select("page_id", "url")
+    pages = X.read(s, d, "pages").select("page_id", "url")
     urls = pages.select(F.concat(F.lit("\n "), F.col("url"), F.lit(" \n\n")).alias("value"))
     domains = pages.select(C.netloc(F.col("url")).alias("value"))
     pair = F.concat(F.lit('{"ioc": "'), F.col("url"), F.when(F.col("page_id") % 2 == 0, F.lit('", "ioc_type": "url"}')).otherwise(F.lit('"}')))
@@ -405,30 +405,20 @@ def graph_degree(s, d):
     return graph.degrees(_edges(s, d)[1])
 
 
-def _small_edges(s: SparkSession, d: str) -> DataFrame:
-    """Some urls, their hosts, and the hosts' name servers and platforms."""
-    h = X.hosts(s, d)
-    urls = X.read(s, d, "pages").filter("url is not null and page_id % 5 = 0").select("url").distinct()
-    e = lambda sl, sv, rel, dl, dv: [F.lit(sl).alias("src_label"), sv.alias("src_value"), F.lit(rel).alias("rel"), F.lit(dl).alias("dst_label"), dv.alias("dst_value")]
-    out = urls.select(*e("URL", F.col("url"), "HOSTS", "Domain", C.netloc(F.col("url"))))
-    out = out.unionByName(h.select("value", F.explode(F.split("nameservers", ",")).alias("x")).select(*e("Domain", F.col("value"), "USES_NS", "Nameserver", F.col("x"))))
-    return out.unionByName(h.filter("hosting_provider is not null").select(*e("Domain", F.col("value"), "HOSTED_BY", "HostingProvider", F.col("hosting_provider")))).distinct()
-
-
 @query(f"{_REACH} SELECT s AS start, v AS node FROM reached WHERE NOT (sl = l AND s = v)")
 def graph_reach4(s, d):
     value = lambda c: F.split_part(F.col(c), F.lit("\u0001"), F.lit(2))
-    return graph.reach(_small_edges(s, d)).select(value("start").alias("start"), value("node").alias("node"))
+    return graph.reach(_edges(s, d)[1]).select(value("start").alias("start"), value("node").alias("node"))
 
 
 @query(f"{_CLUSTERS} SELECT cluster FROM big")
 def graph_clusters(s, d):
-    return graph.clusters(_small_edges(s, d)).select(F.array_join("cluster", "|").alias("cluster"))
+    return graph.clusters(_edges(s, d)[1]).select(F.array_join("cluster", "|").alias("cluster"))
 
 
 @query(f"{_CLUSTERS} SELECT 'candidate_' || substr(sha256(cluster), 1, 12) AS campaign_id, cluster AS indicators, CAST(n AS INT) AS size FROM big")
 def graph_candidates(s, d):
-    return graph.candidates(graph.clusters(_small_edges(s, d))).select("campaign_id", F.array_join("indicators", "|").alias("indicators"), "size")
+    return graph.candidates(graph.clusters(_edges(s, d)[1])).select("campaign_id", F.array_join("indicators", "|").alias("indicators"), "size")
 
 
 # fingerprints, clusters, campaigns -----------------------------------------------------------------
