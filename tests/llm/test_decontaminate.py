@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import pytest
@@ -62,3 +64,19 @@ def test_empty_sides_and_repeated_rows(spark, make_docs):
     twice = make_docs([items[0], items[0], items[0]], [3, 3, None])
     assert sorted((r.doc_id or -1, r.item_id) for r in D.matches(twice, bench).collect()) == [(-1, 0), (3, 0)]
     assert D.clean(twice, bench).count() == 0
+
+
+def test_every_allowed_replacement_is_found(spark, make_docs):
+    """All placements of the words that may differ, in items of 3 to 13 words; one word more is not found."""
+    texts, items, want = [], [], set()
+    for n in (3, 5, 9, 10, 11, 12, 13):
+        w = [f"w{n}x{i}" for i in range(n)]
+        differ = n - math.ceil(0.8 * n - 1e-9)
+        for k in range(differ + 2):
+            for bad in itertools.combinations(range(n), k):
+                if k <= differ:
+                    want.add((len(texts), len(items)))
+                texts.append(" ".join(["before", *("other" if i in bad else x for i, x in enumerate(w)), "after"]))
+        items.append(" ".join(w))
+    bench = spark.createDataFrame([(t, i) for i, t in enumerate(items)], "text string, item_id long")
+    assert {(r.doc_id, r.item_id) for r in D.matches(make_docs(texts), bench).collect()} == want

@@ -1,15 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are maximal runs of letters, digits and non-ASCII characters, with A-Z lower-cased. Each fixed
-mask picks WEIGHT of SPAN neighbouring words and ignores the others, so a seed is equal in two texts
-even where an ignored word was replaced. Seeds of all benchmark items are put in a bit set of fixed
+mask picks some of its span's neighbouring words and ignores the others, so a seed is equal in two texts
+even where an ignored word was replaced. Wherever the words that `share` lets differ stand, some mask
+misses them all at some start: shapes() proves this for MASKS by enumeration, and else takes masks that leave
+out as many groups of words as words may differ. Seeds of all benchmark items are put in a bit set of fixed
 size, which only spares documents' seeds that no item has; documents' seeds that pass are joined with
 the items' seeds by hash. Each hit gives a diagonal (place in the text less place in the item), along
 which whole words are compared: an overlap counts where at least `share` of `least` neighbouring words
 (of the whole item, if it is shorter) are equal.
 
-Defined cases: null and empty texts hit nothing; items of fewer words than a mask spans are found by
-all their words in a row; items without words are never found; repeated rows give one result a
+Defined cases: null and empty texts hit nothing; items of fewer than `least` words have masks of their own
+length; items without words are never found; repeated rows give one result a
 (doc_id, item); null ids are kept as ids; an empty table on either side gives an empty result; texts
 are read whole, in regions around hits that are never longer than REGION words; extra columns are
 not read.
@@ -17,6 +19,9 @@ not read.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +33,11 @@ from pyspark.sql import functions as F
 from warpline.llm.common import buffers, materialise, small_batches, table
 
 #: fixed masks: 1 keeps a word, 0 ignores it
-MASKS = ("11101001011", "11011000111", "10110110101", "11110001101")
+MASKS = ("11101001011", "11011000111", "10110110101", "11110001101", "11111100001", "10010111011")
 SPAN, LEAST, SHARE = 11, 13, 0.8
 BITS, REGION = 27, 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-FACTOR = np.random.default_rng(20).integers(1, 2**63, (len(MASKS) + 1, 64), dtype=np.uint64) | np.uint64(1)
+FACTOR = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -43,35 +48,47 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def seeds(h: np.ndarray, mask: int) -> np.ndarray:
-    """One hash a start of the mask."""
-    n = len(h) - SPAN + 1
-    out = np.zeros(max(0, n), np.uint64)
+def need_of(size: int, least: int, share: float) -> tuple[int, int]:
+    """(words in a row, how many of them may differ) of an overlap with an item of `size` words."""
+    need = min(least, size)
+    return need, need - max(1, math.ceil(share * need - 1e-9))
+
+
+def covers(masks: tuple[str, ...], need: int, differ: int) -> bool:
+    """Whether each placement of `differ` words in `need` leaves a start where some mask meets none of them."""
+    kept = [{s + i for i, c in enumerate(m) if c == "1"} for m in masks for s in range(need - len(m) + 1)]
+    return all(any(k.isdisjoint(bad) for k in kept) for bad in itertools.combinations(range(need), differ))
+
+
+@functools.cache
+def shapes(need: int, differ: int) -> tuple[str, ...]:
+    """Masks that hit every overlap of `need` words of which `differ` are replaced."""
+    if need >= LEAST and differ <= 2 and covers(MASKS, need, differ):
+        return MASKS
+    if not differ:
+        return ("1" * need,)
+    group = np.arange(need) * min(need, differ + 3) // need
+    return tuple("".join("0" if g in out else "1" for g in group) for out in itertools.combinations(range(group[-1] + 1), differ))
+
+
+def seeds(h: np.ndarray, mask: str) -> np.ndarray:
+    """One hash a start of the mask; masks have hashes of their own."""
+    n = len(h) - len(mask) + 1
+    out = np.full(max(0, n), xxhash.xxh3_64_intdigest(mask), np.uint64)
     if n > 0:
-        for i, keep in enumerate(MASKS[mask]):
+        for i, keep in enumerate(mask):
             if keep == "1":
-                out += h[i : i + n] * FACTOR[mask, i]
+                out += h[i : i + n] * FACTOR[i % 63]
         out ^= out >> np.uint64(31)
-        out *= FACTOR[mask, 63]
+        out *= FACTOR[63]
         out ^= out >> np.uint64(29)
     return out
 
 
-def _run_hash(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all `size` words in a row, for items too short for a mask."""
-    n = len(h) - size + 1
-    out = np.full(max(0, n), size, np.uint64)
-    for i in range(size if n > 0 else 0):
-        out += h[i : i + n] * FACTOR[len(MASKS), i]
-    out ^= out >> np.uint64(31)
-    out *= FACTOR[len(MASKS), 63]
-    return out ^ (out >> np.uint64(29))
-
-
 ITEMS_DDL = "item_id long, size int, item_words array<long>, hash long, at int"
 
 
-def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", least: int = LEAST, share: float = SHARE) -> DataFrame:
     """A row for each item and seed: item_id, size, item_words (hashes), hash, at."""
     schema = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("item_words", pa.list_(pa.int64())), ("hash", pa.int64()), ("at", pa.int32())])
 
@@ -82,11 +99,8 @@ def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                 h = word_hashes(words_of((text or "").encode()))
                 if not len(h):
                     continue
-                if len(h) >= SPAN:
-                    got = [seeds(h, m) for m in range(len(MASKS))]
-                    hashes, at = np.concatenate(got), np.tile(np.arange(len(got[0])), len(got))
-                else:
-                    hashes, at = _run_hash(h, len(h)), np.zeros(1, np.int64)
+                got = [seeds(h, m) for m in shapes(*need_of(len(h), least, share))]
+                hashes, at = np.concatenate(got), np.concatenate([np.arange(len(g)) for g in got])
                 n = len(hashes)
                 cols["item_id"] += [item] * n
                 cols["size"] += [len(h)] * n
@@ -122,7 +136,7 @@ def bit_set(items: DataFrame) -> np.ndarray:
 REGIONS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
 
 
-def regions(docs: DataFrame, bits: np.ndarray, short: list[int], context: int, id_col: str, text_col: str) -> DataFrame:
+def regions(docs: DataFrame, bits: np.ndarray, masks: list[str], context: int, id_col: str, text_col: str) -> DataFrame:
     """Stretches of documents around seeds that pass the bit set: word hashes, seed hashes and their places."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -136,7 +150,7 @@ def regions(docs: DataFrame, bits: np.ndarray, short: list[int], context: int, i
             edge = np.cumsum([0, *map(len, split)])
             h = word_hashes([w for s in split for w in s])
             at_all, hash_all, size_all = [], [], []
-            for size, made in [*((SPAN, seeds(h, m)) for m in range(len(MASKS))), *((s, _run_hash(h, s)) for s in short)]:
+            for size, made in ((len(m), seeds(h, m)) for m in masks):
                 x, y = _bits_of(made)
                 ok = np.flatnonzero((filter_[x >> 3] >> (x & 7).astype(np.uint8)) & (filter_[y >> 3] >> (y & 7).astype(np.uint8)) & 1)
                 at_all.append(ok)
@@ -153,7 +167,7 @@ def regions(docs: DataFrame, bits: np.ndarray, short: list[int], context: int, i
                 while j < n and doc[j] == doc[i] and at[j] - at[j - 1] <= context and at[j] - at[i] <= REGION:
                     j += 1
                 low = max(int(edge[doc[i]]), int(at[i]) - context)
-                high = min(int(edge[doc[i] + 1]), int(at[j - 1]) + SPAN + context)
+                high = min(int(edge[doc[i] + 1]), int(at[j - 1]) + max(SPAN, context) + context)
                 row = (b.column(0)[int(doc[i])].as_py(), b.column(1)[int(doc[i])].as_py(), low - int(edge[doc[i]]), h[low:high].view(np.int64), hashes[i:j].view(np.int64), at[i:j] - low)
                 for name, v in zip(REGIONS.names, row, strict=True):
                     cols[name].append(v)
@@ -181,9 +195,10 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, share:
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, first_word, n_words, n_equal."""
-    items = materialise(item_seeds(benchmark))
-    short = [r["size"] for r in items.filter(F.col("size") < SPAN).select("size").distinct().collect()]
-    found = materialise(regions(docs, bit_set(items), sorted(short), least, id_col, text_col)).dropDuplicates(["doc_id", "th", "start"])
+    items = materialise(item_seeds(benchmark, least=least, share=share))
+    sizes = [r["size"] for r in items.select(F.least("size", F.lit(least)).alias("size")).distinct().collect()]  # `least` at most
+    masks = sorted({m for n in sizes for m in shapes(*need_of(n, least, share))})
+    found = materialise(regions(docs, bit_set(items), masks, least, id_col, text_col)).dropDuplicates(["doc_id", "th", "start"])
     found = found.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     hits = found.select("key", "th", "start", F.explode(F.arrays_zip("hits", "places")).alias("z")).select("key", "th", "start", F.col("z.hits").alias("hash"), F.col("z.places").alias("place"))
     seed = items.select("item_id", "hash", "at")
