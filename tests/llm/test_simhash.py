@@ -143,3 +143,20 @@ def test_near_copies_of_short_empty_and_null(make_docs):
     assert kept == {0, 2, 4, 6}
     assert simhash.keep_one_similar(make_docs(["a", "a"], [None, None])).count() == 2
     assert simhash.keep_one_similar(make_docs([])).count() == 0
+
+
+def test_hot_shards_lose_no_link(spark, monkeypatch):
+    """32 fingerprints, each linked with five others only and alike in all tables' places: one component."""
+    monkeypatch.setattr(simhash, "SHARD", 2)
+    places = {int(p) for t in simhash.tables_for(32, 0.8) for p in t}
+    free = [i for i in range(256) if i not in places]
+    step = simhash.radius_of(0.8) // 2 + 1
+    assert len(free) >= 5 * step
+    rows = []
+    for k in range(32):
+        bits = np.zeros(256, np.uint8)
+        for j in range(5):
+            bits[free[j * step : (j + 1) * step]] = k >> j & 1
+        rows.append((k, *np.packbits(bits, bitorder="little").view("<i8").tolist()))
+    classes = spark.createDataFrame(rows, "id long, " + simhash.PRINT_DDL)
+    assert {(r.node, r.component) for r in components(simhash.similar_links(classes, 0.8)).collect()} == {(k, 0) for k in range(32)}

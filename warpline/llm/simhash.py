@@ -109,19 +109,22 @@ class BKTree:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a shard as (member, root): the members of a root are those its links connect."""
-    tree, label = BKTree(fps), np.arange(len(fps))
-    pairs = [tree.search(fps[s : s + 512], radius) for s in range(0, len(fps), 512)]
-    a = np.concatenate([p[0] + i * 512 for i, p in enumerate(pairs)])
-    b = np.concatenate([p[1] for p in pairs])
-    a, b = a[a != b], b[a != b]
-    while len(a):
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        label = label[label]
-        if (label == before).all():
-            break
+def forest(fps: np.ndarray, radius: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard as (member, root): the members of a root are those its links connect.
+
+    With `first`, only links between the first so many fingerprints and the others count.
+    """
+    tree, label = BKTree(fps[:first]), np.arange(len(fps))
+    for s in range(first or 0, len(fps), 512):
+        q, b = tree.search(fps[s : s + 512], radius)
+        a, b = label[q + s], label[b]
+        a, b = np.concatenate([a[a != b], b[a != b]]), np.concatenate([b[a != b], a[a != b]])
+        while len(a):
+            before = label.copy()
+            np.minimum.at(label, a, label[b])
+            label = label[label]
+            if (label == before).all():
+                break
     member = np.flatnonzero(label != np.arange(len(fps)))
     return member, label[member]
 
@@ -269,13 +272,13 @@ def tables_for(n: int, similarity: float) -> list[np.ndarray]:
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between ids of classes (id, f0...) whose fingerprints lie within the radius.
 
-    Shards are equal sampled bits. A shard of more than SHARD members is dealt in chunks; only the
-    roots of a chunk's components go on and meet those of the other chunks, as near copies collapse.
+    Shards are equal sampled bits. A shard of more than 4 * SHARD members is dealt in chunks, and each
+    chunk meets each other one, with all members, in a task of its own: no link of a shard is lost.
     """
     spark = classes.sparkSession
     radius, places = radius_of(similarity), tables_for(classes.count(), similarity)
     row_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in COLUMNS)])
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int64()) for n in row_schema.names)])
+    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,47 +292,39 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         held: list[np.ndarray] = []
         now = None
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
             x = np.concatenate(held, axis=1)
-            ids, fp = x[0], np.ascontiguousarray(x[1:].T).view(np.uint64)
-            m, r = forest(fp, radius)
-            cols = {n: [None] * len(m) for n in row_schema.names}
-            yield table({"a": ids[m], "b": ids[r]} | cols, out_schema)
-            if now[1] >= 0:  # a chunk of a large shard: its roots go on
-                root = np.setdiff1d(np.arange(len(ids)), m)
-                own = {"key": np.full(len(root), now[0]), "id": ids[root]} | {c: x[1 + i][root] for i, c in enumerate(COLUMNS)}
-                yield table({"a": [None] * len(root), "b": [None] * len(root)} | own, out_schema)
+            first = None
+            if now[1] != now[2]:  # two chunks: those inside each are linked in another task
+                x = x[:, np.argsort(x[0], kind="stable")]
+                first = int((x[0] == now[1]).sum())
+            ids, fp = x[1], np.ascontiguousarray(x[2:].T).view(np.uint64)
+            m, r = forest(fp, radius, first)
+            return table({"a": ids[m], "b": ids[r]}, out_schema)
 
         for b in batches:
-            key, salt = np.asarray(b.column(0)), np.asarray(b.column(1))
-            rows = np.stack([np.asarray(b.column(2 + i)) for i in range(WIDE + 1)])
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(key)]
+            key, low, high = (np.asarray(b.column(i)) for i in range(3))
+            rows = np.stack([np.asarray(b.column(3 + i)) for i in range(WIDE + 2)])
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1).tolist(), len(key)]
             for s, e in zip(cut, cut[1:]):
                 if s == e:
                     continue
-                if held and (key[s], salt[s]) != now:
-                    yield from done()
+                if held and (key[s], low[s], high[s]) != now:
+                    yield done()
                     held = []
-                now = (int(key[s]), int(salt[s]))
+                now = (int(key[s]), int(low[s]), int(high[s]))
                 held.append(rows[:, s:e])
         if held:
-            yield from done()
+            yield done()
 
     rows = classes.select("id", *COLUMNS).mapInArrow(deal, f"key long, id long, {PRINT_DDL}")  # dealt twice rather than stored
-    edges, turn, before = None, 0, None
-    while True:
-        sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-        hot = int(sizes.filter(F.col("n") > SHARD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        stuck = before is not None and hot > 0.8 * before  # what does not collapse is compared in larger chunks
-        size = SHARD << (turn if stuck else 0)
-        salt = F.when(F.col("n") > size, F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("n") / size))).otherwise(F.lit(-1)).cast("long")
-        dealt = rows.join(sizes, "key").select("key", salt.alias("salt"), "id", *COLUMNS)
-        found = materialise(dealt.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(search, f"a long, b long, key long, id long, {PRINT_DDL}"))
-        new = found.filter("a is not null").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        if not hot:
-            return edges.distinct()
-        rows, before, turn = found.filter("key is not null").select("key", "id", *COLUMNS), hot, turn + 1
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    chunks = F.ceil(F.col("n") / (4 * SHARD))
+    dealt = rows.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    pairs = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", *COLUMNS)
+    by = ["key", "low", "high"]
+    return materialise(pairs.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long")).distinct()
 
 
 def keep_one_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
