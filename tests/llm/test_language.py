@@ -35,3 +35,10 @@ def test_scores_are_kernel_products():
     rows = [("en", "the cat and the dog sat there"), ("fr", "le chat et le chien sont la"), ("en", "this is that and those"), ("fr", "ceci est cela et ceux")]
     m = language.train(rows)
     assert [m.languages[i] for i in m.scores([t for _, t in rows]).argmax(axis=1)] == [a for a, _ in rows]
+
+
+def test_texts_with_letters_stay_without_labels(make_docs):
+    docs = make_docs(["a clean text", "12 34", None, "", "été"], langs=[None] * 5)
+    got = language.accept(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [0, 4]

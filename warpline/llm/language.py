@@ -203,8 +203,20 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs (all columns) without texts that have no language: null, no letter, or a score below least."""
+    """docs (all columns) without texts that have no language: null, no letter, or a score below least.
+
+    Where nothing could be learned, all texts with a letter stay.
+    """
     model = fit(docs, ~held_out())
     columns = docs.columns
+    if not model.languages:
+        at = columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        small_batches(docs.sparkSession)
+        return docs.mapInArrow(run, docs.schema)
     out = predict(docs, model, keep=tuple(columns))
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*columns)
