@@ -53,13 +53,38 @@ def test_ans_blocks_and_checkpoints():
     for n in (0, 1, rans.LANES, rans.LANES + 1, len(ids)):
         body, states, checks = coder.encode(ids[:n])
         assert (coder.decode(body, states, n) == ids[:n]).all()
+        assert (coder.decode_block(body, states, checks, n) == ids[:n]).all()
     for k in range(1, 4):
         assert (coder.decode_part(body, checks, len(ids), k) == ids[k * step : (k + 1) * step]).all()
 
 
+def test_words_equal_the_library():
+    """Against an untouched tokenizer, added tokens in all places and cases."""
+    tok, w, rnd = Tokenizer.from_file(WORD), rans.Words(WORD), random.Random(8)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|end", "|>", "it's", "WE'LL", "\u00e9", "e\u0301", "\u0301", "\u0130", "\u1e9e", "\ufb01", "\u00a0", "\u3000", "\u65e5\u672c", "\U0001f600", "\t", "\r\n", "\n", "12", "a,", "b.", ",", "Ab", "x-y", "\u01c4", "\x1f", "\u0660", "  "]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
+    for s in range(0, len(texts), 1000):
+        ids, sizes = w.encode(texts[s : s + 1000])
+        assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == tok.encode(texts[s], add_special_tokens=False).ids
+        want = [e.ids for e in tok.encode_batch(texts[s : s + 1000], add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    plain = Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    ids, sizes = rans.Words(WORD, special_as_text=True).encode(texts[:2000])
+    assert ids.tolist() == [i for e in plain.encode_batch(texts[:2000], add_special_tokens=False) for i in e.ids]
+
+
+def test_other_tokenizer_files_get_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    tok, w = Tokenizer.from_file(path), rans.Words(path)
+    texts = ["", "a b  c", "x <|endoftext|> Y", "\n\n z"]
+    ids, sizes = w.encode(texts)
+    assert not w.by_words and ids.tolist() == [i for e in tok.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert sizes[0] == 0
+
+
 def test_token_files(spark, make_docs, monkeypatch):
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     order = list(range(len(TEXTS)))
     random.Random(1).shuffle(order)
     docs = make_docs([TEXTS[i] for i in order], ids=[10 * i for i in order])

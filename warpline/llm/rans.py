@@ -4,22 +4,26 @@ Format, one row a block (Parquet keeps the bytes, so any file system Spark knows
 - one frequency table for all blocks (`freq`: 2**SCALE slots over the vocabulary, every id at least 1);
 - a block codes up to BLOCK ids, interleaved over LANES coder states: id i goes to lane i mod LANES;
 - `words` are the 32-bit words in the order the decoder takes them, `states` the decoder's first states;
-- every CHECK steps a checkpoint holds the states and the place in `words`, so a block can also be
-  decoded in parts; `crc32` is over the block's ids as little-endian unsigned 32-bit integers;
+- every CHECK steps a checkpoint holds the states and the place in `words`: the parts of a block between
+  checkpoints are decoded side by side, or one of them alone; `crc32` is over the block's ids as little-endian unsigned 32-bit integers;
 - `docs`, `pieces` and `sizes` say which documents, and which piece of each, the ids belong to.
 
 Blocks follow ascending doc_id; a shard is one range of doc_ids, and block `first` is relative to its
 shard. Texts are encoded once, counted, dealt by range of doc_id, coded, written and read back.
 
-Defined cases: a null or empty text is the end id alone; repeated doc_ids follow one another and keep
-a row each per copy of their text order (rows that agree in id and text are interchangeable); null
-doc_ids come first; an empty table gives no blocks and an empty result; a long text spans blocks.
+Defined cases: a null or empty text is the end id alone; the strings of a tokenizer's added tokens (such as
+<|endoftext|>) in a text become their ids, as in the library, unless special_as_text is set; repeated
+doc_ids follow one another and keep a row each per copy of their text order (rows that agree in id and text
+are interchangeable); null doc_ids come first; an empty table gives no blocks and an empty result; a long
+text spans blocks; a vocabulary of more than 65,536 ids is refused.
 """
 
 from __future__ import annotations
 
 import functools
 import gc
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -51,26 +55,49 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
+#: fixed values: the normaliser and splitter for which the ids of a text are those of its words in a row
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
 class Words:
     """Ids of white-space separated words by the tokenizers library, with a bounded cache.
 
-    Its normaliser and splitter never join characters across a space or line feed, so the ids of a
-    text are those of its words in a row.
+    A normaliser and splitter as above never join characters across a space or line feed, so the ids of a
+    text are those of its words in a row. With any other tokenizer file the library gets whole texts.
+    Added tokens are split off the raw text first, as the library does; as a word they are
+    written with a blank before, which no word of a text has.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if self.tok.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        self.tok.encode_special_tokens, self.whole.encode_special_tokens = True, special_as_text
+        made = json.loads(self.tok.to_str())
+        added = self.tok.get_added_tokens_decoder()
+        self.by_words = (made["normalizer"] or {}).get("normalizers") == NORMALISER and (made["pre_tokenizer"] or {}).get("pretokenizers") == SPLITTER
+        self.by_words &= made["post_processor"] is None and not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values())
+        self.special = {} if special_as_text else {t.content: i for i, t in added.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.ends = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ("", ",", ".")}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.index: dict[str, int] = {"": 0} | {" " + s: i for i, s in enumerate(self.special, 1)}
         self.stems: dict[str, bytes] = {}
-        self.flat: list[np.ndarray] = [np.empty(0, np.uint16)]
-        self.sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.flat: list[np.ndarray] = [np.array(list(self.special.values()), np.uint16)]
+        self.sizes: list[np.ndarray] = [np.array([0] + [1] * len(self.special), np.int64)]
+
+    def split(self, text: str) -> list[str]:
+        if not any(s in text for s in self.special):
+            return lowered(text).replace("\n", " ").split(" ")
+        out: list[str] = []
+        for part in self.parts.split(text):
+            out += [" " + part] if part in self.special else lowered(part).replace("\n", " ").split(" ")
+        return out
 
     def learn(self, words: list[str]) -> None:
         """Letters before a closing comma or full stop are a word of their own, in either case."""
@@ -114,9 +141,12 @@ class Words:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
+        if not self.by_words:
+            ids = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint16), np.array([len(x) for x in ids], np.int64)
         if len(self.index) > CACHED:
             self.clear()
-        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
+        split = [self.split(t) for t in texts]
         counts = [len(w) for w in split]
         flat_words = list(chain.from_iterable(split))
         words = np.fromiter(map(self.index.get, flat_words, repeat(-1)), np.int64, len(flat_words))
@@ -136,18 +166,18 @@ class Words:
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, special_as_text: bool = False) -> Words:
+    return Words(path, special_as_text)
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """doc_id, ids (unsigned 16-bit, little endian) with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = words(tokenizer_path)
+        w = words(tokenizer_path, special_as_text)
         end = np.uint16(end_id).tobytes()
         for b in batches:
             ids, sizes = w.encode(b.column(1).to_pylist())
@@ -233,6 +263,29 @@ class Coder:
             x[:m] = y
         return out[steps.start * LANES : min(n, steps.stop * LANES)]
 
+    def decode_block(self, body: bytes, states: bytes, checks: bytes, n: int) -> np.ndarray:
+        """All ids of a block: its parts, each from its own checkpoint, a step of all parts at a time."""
+        steps = -(-n // LANES)
+        marks = np.frombuffer(checks, np.uint64).reshape(-1, 1 + LANES)
+        x = np.concatenate([np.frombuffer(states, np.uint64)[None], marks[:, 1:]])
+        at = [0, *marks[:, 0].tolist()]
+        w, mask = np.frombuffer(body, np.uint32), np.uint64((1 << SCALE) - 1)
+        out = np.empty((len(x), CHECK, LANES), np.uint16)
+        for k in range(min(CHECK, steps)):
+            p = -(-(steps - k) // CHECK)  # parts that are as long
+            y = x[:p]
+            slot = y & mask
+            s = self.symbol[slot]
+            out[:p, k] = s
+            y = self.freq[s] * (y >> np.uint64(SCALE)) + slot - self.start[s]
+            for j in range(p):
+                m = min(LANES, n - (j * CHECK + k) * LANES)
+                low = np.flatnonzero(y[j, :m] < LOW)
+                y[j, low] = (y[j, low] << np.uint64(32)) | w[at[j] : at[j] + len(low)]
+                at[j] += len(low)
+            x[:p] = y
+        return out.reshape(-1)[:n]
+
     def decode_part(self, body: bytes, checks: bytes, n: int, part: int) -> np.ndarray:
         """Ids from checkpoint `part` (1, 2, ...) to the next one, without what comes before."""
         size = 8 + LANES * 8
@@ -296,7 +349,7 @@ def unpack(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
         coder = Coder(sent.value)
         for b in batches:
             for r in b.to_pylist():
-                ids = coder.decode(r["words"], r["states"], r["n"]).astype("<u4")
+                ids = coder.decode_block(r["words"], r["states"], r["checkpoints"], r["n"]).astype("<u4")
                 if zlib.crc32(ids.tobytes()) != r["crc32"]:
                     raise ValueError(f"block {r['block']} of shard {r['shard']} is damaged")
                 sizes = np.array(r["sizes"], np.int64)
@@ -330,10 +383,10 @@ def crc32_join(crcs: list[int], sizes: list[int]) -> int:
     return out
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> tuple[DataFrame, np.ndarray]:
     """(blocks as read back from the shared folder, frequency table)."""
     spark: SparkSession = docs.sparkSession
-    tokens = materialise(tokenise(docs, tokenizer_path, end_id, id_col, text_col))
+    tokens = materialise(tokenise(docs, tokenizer_path, end_id, id_col, text_col, special_as_text))
     counts = np.zeros(vocabulary, np.int64)
     for r in count_ids(tokens).collect():  # one row an id of the vocabulary at most
         counts[r["id"]] = r["count"]
