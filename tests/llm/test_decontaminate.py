@@ -19,10 +19,9 @@ def brute(texts, items, least=D.LEAST, share=D.SHARE):
             need = min(least, len(b))
             if not b:
                 continue
-            part = share if len(b) >= D.SPAN else 1.0  # short items: all words in a row
             for d in range(-len(b) + 1, len(a)):
                 same = [a[k] == b[k - d] for k in range(max(0, d), min(len(a), d + len(b)))]
-                if any(sum(same[s : s + need]) >= math.ceil(part * need - 1e-9) for s in range(len(same) - need + 1)):
+                if any(sum(same[s : s + need]) >= math.ceil(share * need - 1e-9) for s in range(len(same) - need + 1)):
                     out.add((i, j))
     return out
 
@@ -66,6 +65,26 @@ def test_empty_sides_and_repeated_rows(spark, make_docs):
     assert D.clean(twice, bench).count() == 0
 
 
+def test_long_items_are_measured_whole(spark, make_docs):
+    """An item of 1,200 words, whole, with every tenth word replaced, and its last 40 words only."""
+    w = [f"w{i}" for i in range(1200)]
+    some = ["other" if i % 10 == 5 else x for i, x in enumerate(w)]
+    texts = [" ".join(["a", "b", *w, "c"]), " ".join(["z"] * 900 + some), " ".join(w[-40:])]
+    bench = spark.createDataFrame([(" ".join(w), 7), (" ".join(w), 8), (" ".join(w), None)], "text string, item_id long")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_equal) for r in D.matches(make_docs(texts), bench).collect()}
+    want = [(2, 1200, 1200), (900, 1200, 1080), (0, 40, 40)]
+    assert got == {(i, j): want[i] for i in range(3) for j in (7, 8, None)}
+    seed = D.item_seeds(D.item_texts(bench).limit(1))
+    assert seed.count() == len(D.MASKS) * (1200 - D.SPAN + 1) and "item_words" not in seed.columns
+
+
+def test_rows_of_one_id_are_judged_apart(spark, make_docs):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = make_docs([item, "a clean text", "another", item], [None, None, 5, 5])
+    bench = spark.createDataFrame([(item, 1)], "text string, item_id long")
+    assert sorted(r.text for r in D.clean(docs, bench).collect()) == ["a clean text", "another"]
+
+
 def test_every_allowed_replacement_is_found(spark, make_docs):
     """All placements of the words that may differ, in items of 3 to 13 words; one word more is not found."""
     texts, items, want = [], [], set()

@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: what stands for a null doc_id in keys
+NO_ID = -(2**63)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor can read and write.

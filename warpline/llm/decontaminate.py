@@ -13,8 +13,8 @@ which whole words are compared: an overlap counts where at least `share` of `lea
 Defined cases: null and empty texts hit nothing; items of fewer than `least` words have masks of their own
 length; items without words are never found; repeated rows give one result a
 (doc_id, item); null ids are kept as ids; an empty table on either side gives an empty result; texts
-are read whole, in regions around hits that are never longer than REGION words; extra columns are
-not read.
+are read whole, and an overlap is measured along the whole item, however long; decisions of clean() are for a
+doc_id and text, so rows that share a doc_id or have none are judged apart; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import buffers, materialise, small_batches, table
+from warpline.llm.common import NO_ID, buffers, materialise, small_batches, table
 
 #: fixed masks: 1 keeps a word, 0 ignores it
 MASKS = ("11101001011", "11011000111", "10110110101", "11110001101", "11111100001", "10010111011")
 SPAN, LEAST, SHARE = 11, 13, 0.8
-BITS, REGION = 27, 512
+BITS = 27
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 FACTOR = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -85,31 +85,33 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-ITEMS_DDL = "item_id long, size int, item_words array<long>, hash long, at int"
+def item_texts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """A row for each item that has words: item_id, ih (hash of its words), item_words (hashes)."""
+    schema = pa.schema([("item_id", pa.int64()), ("ih", pa.int64()), ("item_words", pa.list_(pa.int64()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [word_hashes(words_of((t or "").encode())) for t in b.column(1).to_pylist()]
+            own = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in h]
+            yield table({"item_id": b.column(0), "ih": np.array(own, np.uint64).view(np.int64), "item_words": [x.view(np.int64) for x in h]}, schema)
+
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, "item_id long, ih long, item_words array<long>").filter(F.size("item_words") > 0)
 
-def item_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """A row for each item and seed: item_id, size, item_words (hashes), hash, at."""
-    schema = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("item_words", pa.list_(pa.int64())), ("hash", pa.int64()), ("at", pa.int32())])
+
+def item_seeds(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """A row for each seed of texts (ih, item_words): ih, size, hash, at. Linear in an item's length."""
+    schema = pa.schema([("ih", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: dict[str, list] = {n: [] for n in schema.names}
-            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = word_hashes(words_of((text or "").encode()))
-                if not len(h):
-                    continue
-                got = [seeds(h, m) for m in shapes(*need_of(len(h), least, share))]
-                hashes, at = np.concatenate(got), np.concatenate([np.arange(len(g)) for g in got])
-                n = len(hashes)
-                cols["item_id"] += [item] * n
-                cols["size"] += [len(h)] * n
-                cols["item_words"] += [h.view(np.int64)] * n
-                cols["hash"] += hashes.view(np.int64).tolist()
-                cols["at"] += at.tolist()
-            yield table(cols, schema)
-
-    return benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, ITEMS_DDL)
+            for i, ih in enumerate(b.column(0).to_pylist()):
+                h = b.column(1)[i].values.to_numpy().view(np.uint64)
+                for mask in shapes(*need_of(len(h), least, share)):
+                    got = seeds(h, mask)
+                    yield table({"ih": np.full(len(got), ih), "size": np.full(len(got), len(h), np.int32), "hash": got.view(np.int64), "at": np.arange(len(got), dtype=np.int32)}, schema)
+
+    return texts.select("ih", "item_words").mapInArrow(run, "ih long, size int, hash long, at int")
 
 
 def _bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +139,11 @@ REGIONS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.in
 
 
 def regions(docs: DataFrame, bits: np.ndarray, masks: list[str], context: int, id_col: str, text_col: str) -> DataFrame:
-    """Stretches of documents around seeds that pass the bit set: word hashes, seed hashes and their places."""
+    """Stretches of documents around seeds that pass the bit set: word hashes, seed hashes and their places.
+
+    A stretch has `context` words on both sides of its seeds; those that would overlap are one, so
+    a document's stretches together are no longer than it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +155,7 @@ def regions(docs: DataFrame, bits: np.ndarray, masks: list[str], context: int, i
             split = [words_of(data[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
             edge = np.cumsum([0, *map(len, split)])
             h = word_hashes([w for s in split for w in s])
-            at_all, hash_all, size_all = [], [], []
+            at_all, hash_all, size_all = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for size, made in ((len(m), seeds(h, m)) for m in masks):
                 x, y = _bits_of(made)
                 ok = np.flatnonzero((filter_[x >> 3] >> (x & 7).astype(np.uint8)) & (filter_[y >> 3] >> (y & 7).astype(np.uint8)) & 1)
@@ -164,10 +170,10 @@ def regions(docs: DataFrame, bits: np.ndarray, masks: list[str], context: int, i
             i, n = 0, len(at)
             while i < n:
                 j = i + 1
-                while j < n and doc[j] == doc[i] and at[j] - at[j - 1] <= context and at[j] - at[i] <= REGION:
+                while j < n and doc[j] == doc[i] and at[j] - at[j - 1] <= 2 * context:
                     j += 1
                 low = max(int(edge[doc[i]]), int(at[i]) - context)
-                high = min(int(edge[doc[i] + 1]), int(at[j - 1]) + max(SPAN, context) + context)
+                high = min(int(edge[doc[i] + 1]), int(at[j - 1]) + context)
                 row = (b.column(0)[int(doc[i])].as_py(), b.column(1)[int(doc[i])].as_py(), low - int(edge[doc[i]]), h[low:high].view(np.int64), hashes[i:j].view(np.int64), at[i:j] - low)
                 for name, v in zip(REGIONS.names, row, strict=True):
                     cols[name].append(v)
@@ -193,36 +199,51 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, share:
     return low + s, low + e, int(equal[e] - equal[s])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and benchmark item that it holds: doc_id, item_id, first_word, n_words, n_equal."""
-    items = materialise(item_seeds(benchmark, least=least, share=share))
-    sizes = [r["size"] for r in items.select(F.least("size", F.lit(least)).alias("size")).distinct().collect()]  # `least` at most
+FOUND = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("ih", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("n_equal", pa.int64())])
+
+
+def located(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document and item that it holds: doc_id, th (tells texts of one doc_id apart), item_id, place and size."""
+    items = materialise(item_texts(benchmark))
+    texts = items.dropDuplicates(["ih"]).select("ih", "item_words")  # equal items are sought once
+    seed = materialise(item_seeds(texts, least, share))
+    sizes = [r["size"] for r in seed.select(F.least("size", F.lit(least)).alias("size")).distinct().collect()]  # `least` at most
     masks = sorted({m for n in sizes for m in shapes(*need_of(n, least, share))})
-    found = materialise(regions(docs, bit_set(items), masks, least, id_col, text_col)).dropDuplicates(["doc_id", "th", "start"])
-    found = found.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    longest = seed.agg(F.max("size")).first()[0] or 1
+    found = materialise(regions(docs, bit_set(seed), masks, longest, id_col, text_col)).dropDuplicates(["doc_id", "th", "start"])
+    found = found.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     hits = found.select("key", "th", "start", F.explode(F.arrays_zip("hits", "places")).alias("z")).select("key", "th", "start", F.col("z.hits").alias("hash"), F.col("z.places").alias("place"))
-    seed = items.select("item_id", "hash", "at")
-    pairs = hits.join(seed, "hash").select("key", "th", "start", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    texts = items.select("item_id", "item_words").dropDuplicates(["item_id", "item_words"])
-    both = pairs.join(found.select("key", "th", "start", "doc_id", "words"), ["key", "th", "start"]).join(texts, pairs["item_id"].eqNullSafe(texts["item_id"])).select("doc_id", pairs["item_id"], "start", "diagonal", "words", "item_words")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("n_equal", pa.int64())])
+    pairs = hits.join(seed, "hash").select("key", "th", "start", "ih", "size", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    low = F.greatest(F.col("diagonal"), F.lit(0))
+    part = F.slice("words", (low + 1).cast("int"), (F.col("diagonal") + F.col("size") - low).cast("int"))  # what lies beside the item
+    beside = pairs.join(found.select("key", "th", "start", "words"), ["key", "th", "start"]).select("key", "th", "ih", (F.col("start") + low).alias("first"), (low - F.col("diagonal")).cast("int").alias("skip"), part.alias("part"))
+    both = beside.join(texts, "ih").select("key", "th", "ih", "first", "skip", "part", "item_words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            words, item_words = b.column(4), b.column(5)
-            for i, (doc, item, start, diagonal) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
-                got = overlap(words[i].values.to_numpy(), item_words[i].values.to_numpy(), diagonal, least, share)
+            words, item_words = b.column(5), b.column(6)
+            for i, (key, th, ih, first, skip) in enumerate(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)):
+                got = overlap(words[i].values.to_numpy(), item_words[i].values.to_numpy(), -skip, least, share)
                 if got:
-                    rows.append((doc, item, start + got[0], got[1] - got[0], got[2]))
-            yield table(dict(zip(schema.names, zip(*rows), strict=True)) if rows else {n: [] for n in schema.names}, schema)
+                    rows.append((key, th, ih, first + got[0], got[1] - got[0], got[2]))
+            yield table(dict(zip(FOUND.names, zip(*rows), strict=True)) if rows else {n: [] for n in FOUND.names}, FOUND)
 
-    done = both.mapInArrow(verify, "doc_id long, item_id long, first_word long, n_words long, n_equal long")
+    done = both.mapInArrow(verify, "key long, th long, ih long, first_word long, n_words long, n_equal long")
+    best = F.max_by(F.struct("first_word", "n_words", "n_equal"), F.struct("n_equal", "n_words", -F.col("first_word"))).alias("b")
+    one = done.groupBy("key", "th", "ih").agg(best)
+    ids = items.select("ih", "item_id").distinct()
+    return one.join(ids, "ih").select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "key", "th", "item_id", "b.first_word", "b.n_words", "b.n_equal")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
+    """A row for each document and benchmark item that it holds: doc_id, item_id, first_word, n_words, n_equal."""
     best = F.max_by(F.struct("first_word", "n_words", "n_equal"), F.struct("n_equal", "n_words", -F.col("first_word")))
-    return done.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.first_word", "b.n_words", "b.n_equal")
+    return located(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.first_word", "b.n_words", "b.n_equal")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns stay."""
-    found = materialise(matches(docs, benchmark, **options).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__hit"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item; all columns stay."""
+    found = materialise(located(docs, benchmark, **options).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct())
+    key, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(found, (key == found["__key"]) & (th == found["__th"]), "left_anti")

@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warpline.llm.anchors import records
-from warpline.llm.common import buffers, materialise, partitions, release, remove, small_batches, table
+from warpline.llm.common import NO_ID, buffers, materialise, partitions, release, remove, small_batches, table
 
 SHARD, HOT = 1 << 20, 12_000  # 12,000 slices of about 300 bytes are what one task holds at ease
-NO_ID = -(2**63)
 Classes = Callable[[list, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 

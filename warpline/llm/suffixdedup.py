@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import materialise
+from warpline.llm.common import NO_ID, materialise
 from warpline.llm.induced import suffix_array
-from warpline.llm.repeats import NO_ID, cut, keyed, packed, repeated
+from warpline.llm.repeats import cut, keyed, packed, repeated
 
 
 def byte_classes(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
