@@ -53,7 +53,7 @@ SELECT 10000000000000 + page_id * {STEP}, url, 'url', 'openphish', 80 FROM pages
 UNION ALL SELECT 20000000000000 + page_id * {STEP}, regexp_extract(url, '{C.URI}', 2), 'domain', 'otx', 70 FROM pages WHERE url IS NOT NULL
 UNION ALL SELECT 30000000000000 + doc_id * {STEP} + i, l[i], 'ip', 'threatfox', 75 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{IPS}') AS l FROM documents))
 UNION ALL SELECT 40000000000000 + doc_id * {STEP} + i, l[i], 'hash', 'malwarebazaar', 85 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{HEX40}') AS l FROM documents))
-UNION ALL SELECT 50000000000000 + c_custkey * {STEP}, c_name, 'domain', 'manual', 50 FROM customer WHERE c_custkey < 20
+UNION ALL SELECT 50000000000000 + c_custkey * {STEP}, c_name, 'domain', 'manual', 50 FROM customer
 UNION ALL SELECT * FROM (VALUES {", ".join(f"({6 * 10**13 + i * STEP}, {_q(v)}, {_q(t)}, {_q(s)}, {c})" for i, (v, t, s, c) in enumerate(MESSAGES))}))"""
 
 

@@ -66,10 +66,7 @@ UNION ALL SELECT 'Domain', domain, 'HOSTED_BY', 'HostingProvider', hosting_provi
 UNION ALL SELECT 'Domain', domain, 'REGISTERED_WITH', 'Registrar', registrar FROM dom WHERE domain IS NOT NULL AND registrar IS NOT NULL
 UNION ALL SELECT 'Domain', domain, 'USES_NS', 'Nameserver', unnest(string_split(nameservers, ',')) FROM dom WHERE domain IS NOT NULL
 UNION ALL SELECT 'Domain', domain, 'RESOLVES_TO_IP', 'IP', unnest(string_split(resolved_ips, ',')) FROM dom WHERE domain IS NOT NULL))"""
-_SMALL_EDGES = f"""{X.HOSTS}, urls AS (SELECT DISTINCT url, regexp_extract(url, '{C.URI}', 2) AS host FROM pages WHERE url IS NOT NULL AND page_id % 5 = 0),
-e0 AS (SELECT 'URL' AS al, url AS a, 'Domain' AS bl, host AS b FROM urls UNION SELECT 'Domain', value, 'Nameserver', unnest(string_split(nameservers, ',')) FROM hosts
-  UNION SELECT 'Domain', value, 'HostingProvider', hosting_provider FROM hosts WHERE hosting_provider IS NOT NULL)"""
-_REACH = f"""WITH RECURSIVE {_SMALL_EDGES}, both_ AS (SELECT * FROM e0 UNION SELECT bl, b, al, a FROM e0),
+_REACH = f"""WITH RECURSIVE {_EDGES}, both_ AS (SELECT src_label AS al, src_value AS a, dst_label AS bl, dst_value AS b FROM edges UNION SELECT dst_label, dst_value, src_label, src_value FROM edges),
 walk(sl, s, l, v, d) AS (SELECT DISTINCT al, a, al, a, 0 FROM both_ WHERE al IN ('URL', 'Domain', 'IP', 'Hash')
   UNION SELECT w.sl, w.s, e.bl, e.b, w.d + 1 FROM walk w JOIN both_ e ON w.l = e.al AND w.v = e.a WHERE w.d < 4),
 reached AS (SELECT DISTINCT sl, s, l, v FROM walk WHERE l IN ('URL', 'Domain', 'IP', 'Hash'))"""
@@ -240,7 +237,7 @@ def _registry(s: SparkSession, d: str) -> feeds.Registry:
     return r
 
 
-_FEEDS = f"""p AS (SELECT page_id, url, regexp_extract(url, '{C.URI}', 2) AS host FROM pages WHERE page_id < 40),
+_FEEDS = f"""p AS (SELECT page_id, url, regexp_extract(url, '{C.URI}', 2) AS host FROM pages WHERE url IS NOT NULL),
 feed AS (SELECT 0 AS feed_ord, url AS value, 'url' AS type, 'openphish' AS source, 80 AS confidence FROM p
 UNION ALL SELECT 1, host, 'domain', 'otx', 70 FROM p WHERE host <> ''
 UNION ALL SELECT 2, url, CASE WHEN page_id % 2 = 0 THEN 'url' ELSE 'domain' END, 'threatfox', 75 FROM p
