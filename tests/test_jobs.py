@@ -49,6 +49,35 @@ def test_answer_of_a_feed_run(spark):
     assert got.indicators_collected == 30 and [x.value for x in got["sample"]] == [f"{i}.com" for i in range(10)]
 
 
+def test_failed_enrichment_stores_nothing(spark, tmp_path):
+    store = jobs.Store(spark, str(tmp_path))
+    ind = spark.createDataFrame([(1, "evil.com", "domain", "s", 5)], "id long, value string, type string, source string, confidence int")
+    asn, dns, who = fixtures.references(spark, SF)
+    bad = dns.withColumn("domain", F.raise_error(F.lit("look-up failed")).cast("string"))
+    assert jobs.enrich_pending(store, ind, asn, bad, who).count() == 0
+    assert store.read("enrichment", schemas.ENRICHMENT).count() == store.read("timeline", schemas.TIMELINE).count() == 0
+    assert jobs.enrich_pending(store, ind, asn, dns, who).count() == 1
+    assert store.read("timeline", schemas.TIMELINE).count() == 1
+
+
+def test_loop_goes_on_after_a_failure(spark, tmp_path):
+    ran = []
+
+    def job():
+        ran.append(1)
+        if len(ran) == 1:
+            raise RuntimeError("once")
+
+    q = jobs.every(spark, 1, job, str(tmp_path / "c"))
+    for _ in range(40):
+        if len(ran) >= 3:
+            break
+        time.sleep(0.5)
+    active = q.isActive
+    q.stop()
+    assert active and len(ran) >= 3
+
+
 def test_loop(spark, tmp_path):
     ran = []
     q = jobs.every(spark, 1, lambda: ran.append(1), str(tmp_path / "c"))

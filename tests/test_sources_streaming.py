@@ -35,6 +35,33 @@ def test_registry_isolates_failures(spark):
     assert feeds.Registry().run(spark).count() == 0
 
 
+def test_dead_feeds_are_empty_at_run_time(spark):
+    """A refused port, a status of 500, an unknown scheme and a plan that fails when run; the good feed stays."""
+
+    class Broken(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(500)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Broken)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    r = feeds.Registry()
+    try:
+        for name, url in (("refused", "http://127.0.0.1:9/"), ("status", f"http://127.0.0.1:{server.server_port}/"), ("scheme", "nothing:x")):
+            r.register(feeds.Feed(name, feeds.http(url, 5), feeds.otx))
+        r.register(feeds.Feed("good", lambda s: text(s, "a.com\nb.com"), feeds.otx))
+        assert sorted(x.value for x in r.run(spark).collect()) == ["a.com", "b.com"]
+        r.register(feeds.Feed("late", lambda s: text(s, "x").select(F.raise_error(F.lit("late")).cast("string").alias("value")), feeds.otx))
+        assert sorted(x.value for x in r.run(spark, isolate=True).collect()) == ["a.com", "b.com"]
+        got = {x.name: (x["count"], x.success) for x in r.outcomes(spark).collect()}
+        assert got == {"refused": (0, False), "status": (0, False), "scheme": (0, False), "good": (2, True), "late": (0, False)}
+    finally:
+        server.shutdown()
+
+
 def test_http_source(spark):
     class Answer(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
@@ -95,3 +122,24 @@ def test_guarded_consumer(spark, tmp_path):
     stream.start(spark, q, base, guard=True, raw=False).awaitTermination()
     assert [r.value for r in stream.table(spark, base, "indicators").collect()] == ["ok"]
     assert stream.table(spark, base, "raw").count() == 0
+
+
+def test_a_failing_batch_is_set_aside(spark, tmp_path, monkeypatch):
+    """The batch leaves nothing but its messages in quarantine; the next batch is ingested."""
+    q, base = str(tmp_path / "q"), str(tmp_path / "out")
+    real, calls = ingest.sightings, []
+
+    def fails_once(*a):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("first")
+        return real(*a)
+
+    monkeypatch.setattr(ingest, "sightings", fails_once)
+    for value in ("one.com", "two.com"):
+        queue.push(spark.createDataFrame([(value, "domain", "s", 5)], queue.MESSAGE), q)
+        stream.start(spark, q, base).awaitTermination()
+    assert [(r.value, r.error) for r in stream.table(spark, base, "quarantine").collect()] == [("one.com", "first")]
+    for name in ("raw", "timeline", "indicators", "metadata"):
+        assert stream.table(spark, base, name).count() == 1
+    assert stream.table(spark, base, "indicators").first().value == "two.com"

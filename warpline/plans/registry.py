@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from warpline.functions import columns as C
 from warpline.operators import campaigns, cluster, enrich, graph, ingest, lookup
 from warpline.plans import fixtures as X
+from warpline.session import shared_folder
 from warpline.sources import feeds, queue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,6 +278,22 @@ def feed_status_upsert(s, d):
     return campaigns.feed_status(runs, stored)
 
 
+_STATUS_SQL = "SELECT event_type AS name, CAST(arg_max(user_id, event_id) AS BIGINT) AS indicators_collected, CASE WHEN arg_max(value, event_id) > 10 THEN 'success' ELSE 'failed' END AS status FROM events WHERE event_type = 'click' GROUP BY event_type"
+
+
+@query(_STATUS_SQL)
+def feed_by_name(s, d):
+    return lookup.feed_by_name(feed_status_upsert(s, d), "click")
+
+
+@query(f"WITH {X.IOC} SELECT count(*) AS depth FROM ioc")
+def queue_backlog(s, d):
+    """Messages pushed to a queue folder and counted there."""
+    path = shared_folder(s)
+    queue.push(X.ioc(s, d), path)
+    return queue.depth(s, path)
+
+
 @query(f"WITH {X.IOC} SELECT count(*) AS depth FROM ioc")
 def queue_depth(s, d):
     messages = X.ioc(s, d).select(F.to_json(F.struct("value", "type", "source", "confidence")).alias("value"))
@@ -435,6 +452,14 @@ def fingerprints(s, d):
     return _values(s, d).select("value", F.array_join("fp", "|").alias("fp"))
 
 
+@query(f"""WITH {_ENR}, tagged AS (SELECT value, indicator_id, list_sort(list_distinct(list_concat(list_filter(['asn:' || asn, 'registrar:' || registrar, 'hosting:' || hosting_provider], lambda x: x IS NOT NULL),
+  list_transform(coalesce(string_split(nameservers, ','), CAST([] AS VARCHAR[])), lambda x: 'ns:' || x)))) AS fp FROM enr)
+SELECT value, min(indicator_id) AS pos, array_to_string(arg_max(fp, indicator_id), '|') AS fp FROM tagged GROUP BY value""")
+def fingerprint_by_value(s, d):
+    ind, e = _enriched(s, d)
+    return cluster.by_value(e, ind).select("value", "pos", F.array_join("fp", "|").alias("fp"))
+
+
 @query(f"""WITH {_FP}, d AS (SELECT fp, min(pos) AS pos FROM fps GROUP BY fp) SELECT a.pos AS a, b.pos AS b FROM d a JOIN d b ON a.pos < b.pos WHERE 7 * len(list_intersect(a.fp, b.fp)) >= 3 * (len(a.fp) + len(b.fp))""")
 def jaccard_pairs(s, d):
     return cluster.adjacent(graph.checkpointed(_values(s, d).groupBy("fp").agg(F.min("pos").alias("pos"))))

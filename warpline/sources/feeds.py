@@ -1,7 +1,9 @@
 """Threat feeds as DataFrames of IOC records: text and JSON parsers, registry, union, a data source.
 
-Every feed gives value, type, source, confidence and pos (its order in the feed). Feeds with a
-failing reader become empty, so one broken feed never stops the others.
+Every feed gives value, type, source, confidence and pos (its order in the feed). One broken feed never
+stops the others: what fails while a plan is made leaves that feed empty, an HTTP feed that fails at run time
+answers with a row that has an error and no body, and Registry.run(isolate=True) runs each feed on its
+own first, so that any other failure at run time also leaves only that feed empty.
 """
 
 from __future__ import annotations
@@ -11,12 +13,16 @@ import logging
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from http.client import HTTPException
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from warpline.functions.columns import strip
+from warpline.operators.graph import checkpointed
+
+LOG = logging.getLogger(__name__)
 
 RECORD = "value string, type string, source string, confidence int, pos long"
 THREATFOX = "data array<struct<ioc: string, ioc_type: string>>"
@@ -61,13 +67,27 @@ class Feed:
     fetch: Callable[[SparkSession], DataFrame]
     parse: Callable[[DataFrame], DataFrame]
 
-    def collect(self, spark: SparkSession) -> DataFrame:
+    def collect(self, spark: SparkSession, isolate: bool = False) -> DataFrame:
         try:
-            return self.parse(self.fetch(spark)).select("value", "type", "source", "confidence", "pos")
+            rows = self.parse(self.fetch(spark)).select("value", "type", "source", "confidence", "pos")
+            return checkpointed(rows) if isolate else rows
         except Exception as e:  # noqa: BLE001  a feed must not stop the others
-            logging.getLogger(__name__).warning("feed %s failed: %s", self.name, e)
+            LOG.warning("feed %s failed: %s", self.name, e)
             return spark.createDataFrame([], RECORD)
 
+    def outcome(self, spark: SparkSession) -> tuple[str, int, bool]:
+        """(name, number of records, whether the feed could be read), as feed_status() takes it."""
+        try:
+            body = self.fetch(spark).persist()
+            try:
+                errors = body.filter("error is not null").count() if "error" in body.columns else 0
+                return self.name, self.parse(body).count(), errors == 0
+            finally:
+                body.unpersist()
+        except Exception as e:  # noqa: BLE001
+            LOG.warning("feed %s failed: %s", self.name, e)
+            return self.name, 0, False
+
 
 class Registry:
     def __init__(self) -> None:
@@ -76,13 +96,17 @@ class Registry:
     def register(self, feed: Feed) -> None:
         self.feeds.append(feed)
 
-    def run(self, spark: SparkSession) -> DataFrame:
+    def run(self, spark: SparkSession, isolate: bool = False) -> DataFrame:
         """UNION ALL of all feeds in the order of registration (feed_ord)."""
-        parts = [f.collect(spark).withColumn("feed_ord", F.lit(i)) for i, f in enumerate(self.feeds)]
+        parts = [f.collect(spark, isolate).withColumn("feed_ord", F.lit(i)) for i, f in enumerate(self.feeds)]
         if not parts:
             return spark.createDataFrame([], RECORD + ", feed_ord int")
         return functools.reduce(DataFrame.unionByName, parts)
 
+    def outcomes(self, spark: SparkSession, seq: int = 0) -> DataFrame:
+        """name, count, success, seq of a run of every feed: one row a feed."""
+        return spark.createDataFrame([(*f.outcome(spark), seq) for f in self.feeds], "name string, count long, success boolean, seq long")
+
 
 def sample(feeds: DataFrame, n: int = 10) -> DataFrame:
     """The first n records in feed order."""
@@ -97,14 +121,17 @@ def answer(feeds: DataFrame, n: int = 10) -> DataFrame:
 
 
 class HttpFeed(DataSource):
-    """spark.read.format("httpfeed").option("url", ...): the body as one row. Options: method, timeout, headers as header.NAME."""
+    """spark.read.format("httpfeed").option("url", ...): one row, with the body as value or what went wrong as error.
+
+    Options: method, body, timeout, headers as header.NAME.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "httpfeed"
 
     def schema(self) -> str:
-        return "value string"
+        return "value string, error string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _HttpReader(dict(self.options))
@@ -117,11 +144,15 @@ class _HttpReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
+    def read(self, partition: InputPartition) -> Iterator[tuple[str | None, str | None]]:
         headers = {k.partition(".")[2]: v for k, v in self.options.items() if k.startswith("header.")}
         request = urllib.request.Request(self.options["url"], method=self.options.get("method", "GET"), headers=headers, data=self.options.get("body", "").encode() or None)
-        with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", "20"))) as r:  # a status of 400 or more raises
-            yield (r.read().decode(errors="replace"),)
+        try:
+            with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", "20"))) as r:  # a status of 400 or more raises
+                answer = r.read().decode(errors="replace"), None
+        except (OSError, HTTPException, ValueError) as e:  # refused, unknown host or scheme, time-out, status, broken answer
+            answer = None, f"{type(e).__name__}: {e}"
+        yield answer
 
 
 def http(url: str, timeout: int, **headers: str) -> Callable[[SparkSession], DataFrame]:

@@ -2,11 +2,14 @@
 
 Each micro-batch is one idempotent unit: its tables carry batch_id, and a batch that is run again
 replaces its own part only. State is the stored indicator table, met by an anti-join, because every
-sighting has to be kept as well.
+sighting has to be kept as well. A batch that fails leaves nothing in these tables: its messages go to the
+table quarantine with the error, and the stream goes on with the next batch.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,21 +17,22 @@ from pyspark.sql.streaming import StreamingQuery
 from warpline.operators import ingest
 from warpline.sources import queue
 
+LOG = logging.getLogger(__name__)
 TABLES = {
     "raw": "seq long, value string, type string, source string, confidence int, raw_payload string, batch_id long",
     "rejected": "seq long, value string, type string, source string, reason string, batch_id long",
     "indicators": "id long, value string, type string, source string, confidence int, batch_id long",
     "metadata": "seq long, indicator_id long, source string, confidence int, batch_id long",
     "timeline": "seq long, event_type string, event_value string, source string, batch_id long",
+    "quarantine": "value string, type string, source string, confidence int, raw_payload string, error string, batch_id long",
 }
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A stored table; empty before the first batch."""
+    """A stored table; empty while no batch has a part in it."""
     path = f"{base}/{name}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*")
+    if not parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(parts):
         return spark.createDataFrame([], TABLES[name])
     return spark.read.schema(TABLES[name]).parquet(path)
 
@@ -59,7 +63,25 @@ def apply_batch(messages: DataFrame, batch_id: int, base: str, *, guard: bool =
         messages.unpersist()
 
 
+def undo_batch(spark: SparkSession, batch_id: int, base: str) -> None:
+    """Remove what a batch has written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in TABLES:
+        part = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/batch_id={batch_id}")
+        part.getFileSystem(conf).delete(part, True)
+
+
+def guarded_batch(messages: DataFrame, batch_id: int, base: str, *, guard: bool = False, raw: bool = True) -> None:
+    """apply_batch(); if it fails, the batch is undone and its messages are set aside."""
+    try:
+        apply_batch(messages, batch_id, base, guard=guard, raw=raw)
+    except Exception as e:  # noqa: BLE001
+        LOG.exception("batch %s failed", batch_id)
+        undo_batch(messages.sparkSession, batch_id, base)
+        _put(messages.select("value", "type", "source", "confidence", "raw_payload", F.lit(str(e)[:2000]).alias("error")), base, "quarantine", batch_id)
+
+
 def start(spark: SparkSession, queue_path: str, base: str, *, once: bool = True, guard: bool = False, raw: bool = True, every: str = "5 seconds") -> StreamingQuery:
     """once: drain what is there and stop; else a micro-batch every so often."""
-    writer = queue.stream(spark, queue_path).writeStream.option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(lambda df, i: apply_batch(df, i, base, guard=guard, raw=raw))
+    writer = queue.stream(spark, queue_path).writeStream.option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(lambda df, i: guarded_batch(df, i, base, guard=guard, raw=raw))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -6,6 +6,7 @@ second run adds nothing. every() repeats a job in a Structured Streaming loop.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from warpline import schemas
 from warpline.operators import campaigns, cluster, enrich, graph, lookup
 
+LOG = logging.getLogger(__name__)
+
 
 @dataclass
 class Store:
@@ -44,10 +47,19 @@ class Store:
 
 
 def enrich_pending(store: Store, indicators: DataFrame, ref_asn: DataFrame, ref_dns: DataFrame, ref_whois: DataFrame) -> DataFrame:
-    """Enrich indicators without a row, append rows and events; returns the new rows."""
+    """Enrich indicators without a row, append rows and events; returns the new rows.
+
+    If the look-ups or the append fail, the failure is logged, nothing is stored and no event is made;
+    the indicators stay pending for the next run.
+    """
     todo = enrich.pending(indicators, store.read("enrichment", schemas.ENRICHMENT))
-    new = graph.checkpointed(enrich.enrich(todo, ref_asn, ref_dns, ref_whois))
-    store.append(new, "enrichment", schemas.ENRICHMENT)
+    wanted = enrich.enrich(todo, ref_asn, ref_dns, ref_whois)
+    try:
+        new = graph.checkpointed(wanted)
+        store.append(new, "enrichment", schemas.ENRICHMENT)  # a Parquet write adds all its files or none
+    except Exception:  # noqa: BLE001
+        LOG.exception("enrichment failed")
+        return store.spark.createDataFrame([], wanted.schema)
     store.append(enrich.events(new, indicators), "timeline", schemas.TIMELINE)
     return new
 
@@ -94,10 +106,13 @@ def timeline(store: Store, campaign_id: str) -> DataFrame:
 
 
 def every(spark: SparkSession, seconds: int, job: Callable[[], object], checkpoint: str) -> StreamingQuery:
-    """Run a job each so many seconds until the query is stopped; a failing run is retried by the next trigger."""
+    """Run a job each so many seconds until the query is stopped; a failing run is logged and the next trigger runs it again."""
 
     def tick(_: DataFrame, __: int) -> None:
-        job()
+        try:
+            job()
+        except Exception:  # noqa: BLE001
+            LOG.exception("a recurring job failed")
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return clock.writeStream.option("checkpointLocation", checkpoint).foreachBatch(tick).trigger(processingTime=f"{seconds} seconds").start()
