@@ -32,14 +32,41 @@ def test_area_resize_is_exact():
 
 def test_store_and_digest(spark, make_docs):
     texts = ["", None, "abc", "é" * 64, "abc", "x" * 10_000]
-    rows = {r.doc_id: r for r in media.digest(media.store_texts(make_docs(texts))).collect()}
+    rows = {r.doc_id: r for r in media.describe_texts(make_docs(texts)).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
+        stored = media.encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, 64))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        small = media.tile(media.decode(stored))
+        assert r.feature == media.dhash(small) and r.tile_sha256 == hashlib.sha256(media.npy(small)).hexdigest() and r.bmp_equal
     assert rows[2][1:] == rows[4][1:]
+    assert media.describe_texts(make_docs([])).count() == 0
+
+
+def test_what_is_written_can_be_read_by_others(spark, make_docs):
+    """The tables hold plain PGM and NPY files."""
+    stored = media.store_texts(make_docs(["some text"]))
+    assert bytes(stored.first().media).startswith(b"P5\n64 1\n255\nsome text")
+    assert np.load(__import__("io").BytesIO(bytes(media.tiles(stored).first().tile_npy))).shape == (8, 9)
+
+
+def test_broken_headers_never_crash(spark):
+    rng, out = np.random.default_rng(4), []
+    good = [b"P%d\n3 2\n255\n" % k + bytes(range(18)) for k in (5, 6)] + [b"P2\n2 1\n3\n0 3\n", b"P1\n2 2\n1 0\n0 1\n", b"P4\n2 1\n\x80", media.encode_bmp(np.eye(5, dtype=np.uint8)), media.encode_bmp(np.ones((2, 3, 3), np.uint8))]
+    for g in good:
+        for _ in range(60):
+            m = bytearray(g)
+            for _ in range(rng.integers(1, 4)):
+                m[rng.integers(0, min(len(m), 60))] = rng.choice([0, 32, 48, 57, 45, 255])
+            out.append(bytes(m[: rng.integers(1, len(m) + 1)]))
+    out += [b"P5\n99999999999999 99999999999999\n255\n", b"P5\n0 0\n255\n", b"P5\n1 1\n0\nx", b"P2\n1 1\n255\n99999999999999999999999\n", b"BM" + bytes(60), b"P5", b"P", b"BM"]
+    df = spark.createDataFrame([(bytearray(m),) for m in out], "media binary")
+    rows = media.featurise(df).collect()
+    assert len(rows) == len(out) and all(r.height is None for r in rows[-8:])
 
 
 def test_featurise_keeps_unreadable_rows(spark):
@@ -48,7 +75,7 @@ def test_featurise_keeps_unreadable_rows(spark):
     assert sorted(r.height or 0 for r in got) == [0, 0, 9]
 
 
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "a.example.com", ""), ("allow", "example.com", "/en/7"), ("block", None, "/x"), ("block", "", "/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "a.example.com", ""), ("allow", "example.com", "/en/7"), ("block", None, "/x"), ("block", "", "/"), ("block", "a\u0001.net", "/")]
 
 
 def brute(url):
@@ -66,7 +93,7 @@ def brute(url):
 @pytest.mark.parametrize("chunk", [3, 20_000])
 def test_rules_against_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(urlrules, "CHUNK", chunk)
-    hosts = ["com", "Example.COM", "b.example.com", "a.example.com", "x.a.example.com", "xexample.com", "example.net", "m.example.net", "w.org", "", "Ü.com", "com.net", "zz"]
+    hosts = ["com", "Example.COM", "b.example.com", "a.example.com", "x.a.example.com", "xexample.com", "example.net", "m.example.net", "w.org", "", "Ü.com", "com.net", "zz", "com\u0001x", "a\u0001.net", "x.a\u0001.net", "a.net", "\U0010ffffz.example.com", "b\u0001.example.com", "\u0002.com", "com\u0002\u0004x"]
     urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/7x", "/en/1", "/de/8", "/de/1?a=/en/", "#/en/", "/es/?x://y")] + [None, "", "no", "x://", "://com/en/", "http://com/en/"]
     pages = spark.createDataFrame([(i, u, "h", "k", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, key string, rule string")
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")

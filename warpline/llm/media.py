@@ -4,8 +4,13 @@ decode() reads P1 to P6 Netpbm and uncompressed 8, 24 and 32 bit BMP. Resizing a
 areas by an integral image, so one pass over the samples serves any tile size. A tile is kept as
 NPY bytes, and its difference hash compares neighbouring cells of a 9 x 8 tile.
 
-Defined cases: null or empty bytes of media give null features in featurise(); text payloads are
-never empty because padding adds at least 64 zero bytes; equal bytes give equal results.
+A text's payload is stored as a PGM in a table of the shared folder and read back; the NPY tiles, and BMP
+copies of them, made from what was read are a table there as well, and are read back for their digests.
+
+Defined cases: null, empty, broken or zero-sized media, and headers that claim more samples than there
+are bytes, give null features in featurise(); a null or empty text has a payload of 64 zero bytes, and one whose
+size is a multiple of 64 gets no padding; very long texts are one PGM each; repeated rows and null ids
+keep a row each; an empty table gives an empty result; extra columns are not read; equal bytes, equal results.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from warpline.llm.common import buffers, id_text, small_batches, table
+from warpline.llm.common import buffers, id_text, materialise, small_batches, table
 
 UNIT = 64
 
@@ -59,6 +65,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = end
     w, h, top = header[0], header[1], header[2] if need == 3 else 1
     planes = 3 if kind in (3, 6) else 1
+    if not (w > 0 and h > 0 and 0 < top < 1 << 16) or w * h * planes > 8 * len(data):
+        raise ValueError("no size, or more samples than the file can hold")
     if kind == 1:
         bits = [c - 48 for c in data[at:] if c in (48, 49)]
         out = 1 - np.array(bits[: w * h], np.uint8)
@@ -69,6 +77,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         out = 1 - np.unpackbits(rows, axis=1)[:, :w].reshape(-1)
     else:
         out = np.frombuffer(data, np.uint8 if top < 256 else ">u2", w * h * planes, at + 1)
+    if kind in (2, 3, 5, 6) and (len(out) < w * h * planes or out.min() < 0 or out.max() > top):
+        raise ValueError("too few samples, or samples beyond the top value")
     if top != 255:
         out = (out.astype(np.int64) * 255 + top // 2) // top
     return out.astype(np.uint8).reshape((h, w, 3) if planes == 3 else (h, w))
@@ -79,6 +89,8 @@ def _bmp(data: bytes) -> np.ndarray:
     w, h, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
     if packed or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    if w <= 0 or h == 0 or w * abs(h) > len(data) or size < 40 or start < 14 + size:
+        raise ValueError("no size, or more samples than the file can hold")
     stride = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)
     rows = rows[:, : w * bits // 8][:: -1 if h > 0 else 1]
@@ -144,7 +156,7 @@ def featurise(media: DataFrame, media_col: str = "media", height: int = 8, width
                 try:
                     a = decode(m or b"")
                     out.append((m, *a.shape[:2], npy(tile(a, height, width)), dhash(tile(a, 8, 9))))
-                except (ValueError, struct.error, IndexError):
+                except (ValueError, OverflowError, struct.error, IndexError):
                     out.append((m, None, None, None, None))
             yield table(dict(zip(FEATURES.names, zip(*out), strict=True)) if out else {n: [] for n in FEATURES.names}, FEATURES)
 
@@ -171,19 +183,39 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string())])
+TILES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_npy", pa.binary()), ("tile_bmp", pa.binary())])
 
 
-def digest(stored: DataFrame) -> DataFrame:
-    """Read stored media back and describe payload, stored form and feature."""
+def tiles(stored: DataFrame, height: int = 8, width: int = 9) -> DataFrame:
+    """Decode stored media; describe payload and stored form, and make the tile as NPY and as BMP."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 a = decode(m)
-                payload, small = a.tobytes(), tile(a)
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), dhash(small), hashlib.sha256(npy(small)).hexdigest()))
-            yield table(dict(zip(DIGEST.names, zip(*rows), strict=True)) if rows else {n: [] for n in DIGEST.names}, DIGEST)
+                payload, small = a.tobytes(), tile(a, height, width)
+                feature = dhash(small if (height, width) == (8, 9) else tile(a))
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature, npy(small), encode_bmp(small)))
+            yield table(dict(zip(TILES.names, zip(*rows), strict=True)) if rows else {n: [] for n in TILES.names}, TILES)
+
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary, tile_bmp binary")
+
+
+def same_samples(tiles_: DataFrame) -> DataFrame:
+    """tiles with bmp_equal: whether the BMP, decoded, has the samples of the NPY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(b.schema.get_field_index("tile_npy")), b.column(b.schema.get_field_index("tile_bmp"))
+            same = [np.array_equal(np.load(io.BytesIO(m)), decode(n)) for m, n in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.bool_())], names=[*b.schema.names, "bmp_equal"])
+
+    return tiles_.mapInArrow(run, tiles_.schema.simpleString()[7:-1].replace(":", " ") + ", bmp_equal boolean")
+
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+def describe_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts stored as PGM, read back, tiles stored and read back: a row of digests a text."""
+    stored = materialise(store_texts(docs, id_col, text_col))
+    found = materialise(tiles(stored))
+    return same_samples(found).withColumn("tile_sha256", F.sha2("tile_npy", 256)).drop("tile_npy", "tile_bmp")

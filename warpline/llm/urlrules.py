@@ -14,7 +14,7 @@ themselves, a list of some millions at most, are numbered in one sort. All work
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; repeated
 rows and ties keep their rows; an empty page table gives an empty result; a rule with a null or empty
-host fits no page; repeated rules count once, allow before block. Columns besides id and url are not read.
+host fits no page; repeated rules count once, allow before block; any character may stand in a host. Columns besides id and url are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +43,10 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.")), END), F.lit(END)))
+    # END and LAST mark borders of keys, so a label that has one is written with escapes
+    plain = F.replace(host, F.lit("\u0002"), F.lit("\u0002\u0003"))
+    plain = F.replace(F.replace(plain, F.lit(END), F.lit("\u0002\u0004")), F.lit(LAST), F.lit("\u0002\u0005"))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(plain, "\\.")), END), F.lit(END)))
 
 
 def _events(rules: DataFrame) -> DataFrame:
