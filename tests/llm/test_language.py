@@ -1,6 +1,7 @@
 import os
 import zlib
 
+import numpy as np
 import pytest
 
 from warpline.llm import language
@@ -37,8 +38,50 @@ def test_scores_are_kernel_products():
     assert [m.languages[i] for i in m.scores([t for _, t in rows]).argmax(axis=1)] == [a for a, _ in rows]
 
 
+def test_kernel_counts_all_grams():
+    """Against sets of byte grams: shared grams, and sizes that count unknown ones too."""
+    texts = [" the cat ", " le chat noir ", " zzz qqq "]
+    raw = [language.normal(t) for t in texts]
+    sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in raw]
+    codes, segment, owner, _ = language.segments(raw[:1])
+    seen = np.unique(np.concatenate(language.grams(codes)))
+    column = np.full(language.SPACE, len(seen), np.int32)
+    column[seen] = np.arange(len(seen))
+    codes, segment, owner, _ = language.segments(raw)
+    m, size = language.presence(codes, segment, column, 3, len(seen))
+    assert size.tolist() == [len(s) for s in sets]
+    assert m.sum(axis=1).tolist() == [len(s & sets[0]) for s in sets]
+
+
 def test_texts_with_letters_stay_without_labels(make_docs):
     docs = make_docs(["a clean text", "12 34", None, "", "été"], langs=[None] * 5)
     got = language.accept(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [0, 4]
+
+
+def test_foreign_texts_are_rejected_and_null_languages_filled(spark):
+    """With columns named as the operator's results; short texts stay, whatever their score."""
+    en, fr = "the cat and the dog sat on the mat and then they went to the house ", "le chat et le chien sont sur le tapis et puis ils vont dans la maison "
+    rows = [(i, (en, fr)[i % 2] * (1 + i % 3) + str(i), ("en", "fr")[i % 2]) for i in range(60)]
+    rows += [(100, en, None), (101, fr, None), (102, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 30, None), (103, "\u65e5\u672c", None), (104, "zxq vjk " * 30, "en")]
+    docs = spark.createDataFrame([(*r, 0.5, "p", "q") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string, __lang string")
+    got = {r.doc_id: r for r in language.accept(docs).collect()}
+    assert set(range(60)) | {100, 101, 103} <= set(got) and 102 not in got
+    assert got[100].lang == "en" and got[101].lang == "fr" and got[0].lang == "en" and got[100].score == 0.5
+    assert language.accept(docs, least=0.0).count() == len(rows)
+
+
+def test_all_languages_are_learned_and_copies_count_once(make_docs):
+    """Languages beyond a few hundred; a third of the rows one text."""
+    langs = [f"l{i:03d}" for i in range(300)]
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} word{chr(97 + i % 26)} text" for i in range(300)]
+    docs = make_docs(texts + [texts[0]] * 150, ids=list(range(1, 301)) + [7] * 150, langs=langs + [langs[0]] * 150)
+    rows = language.sample(docs, ~language.held_out()).collect()
+    assert {r.lang for r in rows} == {a for i, a in enumerate(langs, 1) if zlib.crc32(str(i).encode()) % 5} and len(rows) <= 301
+
+
+def test_segments_are_spread_over_the_whole_text():
+    text = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)) * 10
+    parts = language.spread(text)
+    assert len(parts) == language.SEGMENTS and parts[-1] in language.normal(text)[-language.SEGMENT :]

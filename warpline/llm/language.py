@@ -7,13 +7,15 @@ segments span the Nystrom approximation; one ridge regression for each language
 solved in it. Scoring multiplies a batch's presence matrix with the landmarks' weights folded over grams,
 which is the same product in another order, and averages the segments of a text by length.
 
-Training takes a bounded, documented sample: at most PER_LANGUAGE labelled rows of each language (those
-with the smallest hash of their id), and at most SAMPLE_BYTES bytes of each. Prediction reads whole texts
-and only the text.
+Training takes a bounded, documented sample of labelled rows: SAMPLE_ROWS in all, dealt evenly over the
+languages but at most PER_LANGUAGE of each (distinct texts with the smallest hashes), and of each row at
+most SEGMENTS segments, spread evenly over the whole text. No language is left out unless there are more than
+SAMPLE_ROWS of them. Prediction reads whole texts and only the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without a language are
-never learned from; ties go to the language first in order; repeated rows are scored alike; with no
-labelled row all texts are `und`; an empty table gives an empty result; extra columns are not read.
+never learned from; ties go to the language first in order; repeated rows are learned once and scored alike;
+with no labelled row all texts are `und`; an empty table gives an empty result; extra columns are not read, and
+accept() keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from warpline.llm.common import small_batches, table
 
-SEGMENT, LANDMARKS, PER_LANGUAGE, SAMPLE_BYTES, LANGUAGES = 1000, 400, 400, 4000, 200
+SEGMENT, LANDMARKS, PER_LANGUAGE, SEGMENTS, SAMPLE_ROWS, SHORT = 1000, 400, 400, 4, 20_000, 40
 RIDGE, SHARPNESS = 1e-3, 4.0
 ASCII_LETTER = re.compile("[A-Za-z]")
 #: codes of bytes: 0 for blanks, a to z, then each byte over 127
@@ -63,6 +66,14 @@ def grams(codes: np.ndarray) -> list[np.ndarray]:
 SPACE = SIZE + SIZE**2 + SIZE**3
 
 
+def spread(text: str) -> list[bytes]:
+    """At most SEGMENTS segments of a text, evenly over all of it."""
+    clean = normal(text)
+    count = max(1, -(-len(clean) // SEGMENT))
+    chosen = range(count) if count <= SEGMENTS else [i * (count - 1) // (SEGMENTS - 1) for i in range(SEGMENTS)]
+    return [clean[k * SEGMENT : (k + 1) * SEGMENT] for k in chosen]
+
+
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(all codes, segment of each byte, text of each segment, bytes of each segment)."""
     length = np.array([len(t) for t in texts], np.int64)
@@ -74,15 +85,22 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return codes, np.repeat(np.arange(len(owner)), size), owner, size
 
 
-def presence(codes: np.ndarray, segment: np.ndarray, column: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """0/1 matrix of segments by known grams; grams that cross segments belong to the first."""
+def presence(codes: np.ndarray, segment: np.ndarray, column: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(0/1 matrix of segments by known grams, number of all distinct grams of each segment).
+
+    Grams that cross segments belong to the first.
+    """
     out = np.zeros((rows, columns + 1), bool)
     flat = out.reshape(-1)
+    others = []
     for n, g in enumerate(grams(codes)):
-        seg = segment[: len(g)]
-        inside = seg == segment[n : n + len(g)] if n else slice(None)
-        flat[(seg * (columns + 1) + column[g])[inside]] = True
-    return out[:, :columns]
+        seg, at = segment[: len(g)], column[g]
+        inside = seg == segment[n : n + len(g)] if n else np.ones(len(g), bool)
+        flat[(seg * (columns + 1) + at)[inside]] = True
+        new = inside & (at == columns)
+        others.append(np.unique(seg[new].astype(np.int64) * SPACE + g[new]) // SPACE)
+    known = out[:, :columns]
+    return known, known.sum(axis=1) + np.bincount(np.concatenate(others), minlength=rows)
 
 
 @dataclass
@@ -104,8 +122,8 @@ class Model:
             for first in range(0, max(1, len(clean[start])) if end == start + 1 else 1, 1 << 19):
                 part = [clean[start][first : first + (1 << 19)]] if end == start + 1 else clean[start:end]
                 codes, segment, owner, length = segments(part)
-                m = presence(codes, segment, self.column, len(owner), len(self.weights)).astype(np.float32)
-                value = m @ self.weights / np.sqrt(np.maximum(m.sum(axis=1), 1))[:, None]
+                m, size = presence(codes, segment, self.column, len(owner), len(self.weights))
+                value = m.astype(np.float32) @ self.weights / np.sqrt(np.maximum(size, 1))[:, None]
                 total = np.zeros((len(part), len(self.languages)))
                 np.add.at(total, owner, value * length[:, None])
                 out[start:end] += total
@@ -115,57 +133,84 @@ class Model:
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The bounded training sample: lang, text.
+    """The bounded training sample: lang, segments.
 
-    A language with many rows is thinned by the hash of the id before its rows are ranked, so no task
-    gets more than some thousand rows of a language; a third pass would only be needed if far fewer
-    than expected stayed, which a hash of ids does not do.
+    Hashes alone are ranked, after a language with many distinct texts has been thinned by them, so no
+    task gets more than some thousand rows of a language, and whole texts are read only of chosen rows.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    own = own.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", F.lit(1)))
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    bound = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0 * PER_LANGUAGE) / F.col("n")) - F.lit(2.0**63)
-    thin = own.join(F.broadcast(sizes), "lang").filter(F.col("h").cast("double") <= bound)  # at most LANGUAGES rows
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return thin.select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("k", rank).filter(F.col("k") <= PER_LANGUAGE).select("lang", "text")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    own = own.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
+    sizes = sizes.withColumn("each", F.greatest(F.lit(1), F.least(F.lit(PER_LANGUAGE), (F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy())).cast("int"))))
+    bound = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0) * F.col("each") / F.col("n")) - F.lit(2.0**63)
+    sizes = sizes.select("lang", "each", bound.alias("bound"))  # SAMPLE_ROWS rows at most
+    thin = own.select("lang", "h").join(F.broadcast(sizes), "lang").filter(F.col("h").cast("double") <= F.col("bound")).distinct()
+    ranked = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter("k <= each")
+    chosen = ranked.select("lang", "h")
+    texts = own.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE_ROWS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [(lang, spread(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if has_letter(t)]
+            yield table({"lang": [k[0] for k in kept], "segments": [k[1] for k in kept]}, pa.schema([("lang", pa.string()), ("segments", pa.list_(pa.binary()))]))
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, segments array<binary>")
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
-    """rows: (language, text) of the sample."""
-    rows = sorted((a, t) for a, t in rows if has_letter(t))
-    languages = sorted({a for a, _ in rows})[:LANGUAGES]
-    if not rows:
+    """rows: (language, text)."""
+    return train_segments([(a, spread(t)) for a, t in rows if has_letter(t)])
+
+
+def train_segments(rows: list[tuple[str, list[bytes]]]) -> Model:
+    """rows: (language, segments of a text) of the sample."""
+    pieces = sorted((a, bytes(p)) for a, ps in rows for p in ps)
+    languages = sorted({a for a, _ in pieces})
+    if not pieces:
         return Model([], np.zeros(SPACE, np.int32), np.zeros((0, 0), np.float32))
-    texts = [normal(t.encode()[:SAMPLE_BYTES].decode(errors="ignore")) for _, t in rows]
-    codes, segment, owner, _ = segments(texts)
-    label = np.array([languages.index(rows[o][0]) if rows[o][0] in languages else -1 for o in owner])
+    number = {a: i for i, a in enumerate(languages)}
+    label = np.array([number[a] for a, _ in pieces])
     rng = np.random.default_rng(7)
     each = max(1, LANDMARKS // len(languages))
     marks = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:each] for k in range(len(languages))])
+    codes, segment, owner, _ = segments([pieces[m][1] for m in marks.tolist()])
     starts = np.searchsorted(segment, np.arange(len(owner) + 1))
-    seen = np.unique(np.concatenate([g for m in marks.tolist() for g in grams(codes[starts[m] : starts[m + 1]])]))
+    seen = np.unique(np.concatenate([g for m in range(len(marks)) for g in grams(codes[starts[m] : starts[m + 1]])]))
     column = np.full(SPACE, len(seen), np.int32)
     column[seen] = np.arange(len(seen))
-    p = presence(codes, segment, column, len(owner), len(seen)).astype(np.float32)
-    p /= np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
-    k_nm = (p @ p[marks].T).astype(np.float64)
-    k_mm = k_nm[marks]
-    target = np.where(label[:, None] == np.arange(len(languages)), 1.0, 0.0)
-    balance = (1 / np.maximum(np.bincount(label[label >= 0], minlength=len(languages)), 1))[np.maximum(label, 0)] * (label >= 0)
-    left = k_nm.T @ (k_nm * balance[:, None]) + RIDGE * k_mm + 1e-8 * np.eye(len(marks))
-    alpha = np.linalg.solve(left, k_nm.T @ (target * balance[:, None]))
-    return Model(languages, column, (p[marks].T @ alpha).astype(np.float32))
 
+    def kernel_rows(part: list[bytes]) -> np.ndarray:
+        codes, segment, owner, _ = segments(part)
+        p, size = presence(codes, segment, column, len(owner), len(seen))
+        return p.astype(np.float32) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32)
 
-PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
+    base = np.concatenate([kernel_rows([pieces[m][1] for m in marks[i : i + 256].tolist()]) for i in range(0, len(marks), 256)])
+    balance = (1 / np.bincount(label, minlength=len(languages)))[label]
+    left, right = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(languages)))
+    for i in range(0, len(pieces), 512):  # normal equations, summed over blocks of segments
+        k = (kernel_rows([p for _, p in pieces[i : i + 512]]) @ base.T).astype(np.float64)
+        weighted = k * balance[i : i + 512, None]
+        left += k.T @ weighted
+        right += weighted.T @ (label[i : i + 512, None] == np.arange(len(languages)))
+    left += RIDGE * (base @ base.T) + 1e-8 * np.eye(len(marks))
+    alpha = np.linalg.solve(left, right)
+    return Model(languages, column, (base.T @ alpha).astype(np.float32))
 
 
 def fit(docs: DataFrame, learn: Column, **columns: str) -> Model:
-    return train([tuple(r) for r in sample(docs, learn, **columns).select("lang", "text").collect()])
+    return train_segments([(r["lang"], r["segments"]) for r in sample(docs, learn, **columns).collect()])  # SAMPLE_ROWS rows at most
+
 
+def chances(f: np.ndarray) -> np.ndarray:
+    """A softmax of regression values, texts by languages."""
+    p = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)))
+    return p / p.sum(axis=1, keepdims=True)
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score (a softmax of the regression values)."""
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns with the predicted language and its score (a softmax of the regression values)."""
+    if set(names) & set(keep):
+        raise ValueError("a kept column has the name of a result")
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the sample's bounds only
     at = len(keep)
@@ -175,19 +220,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
         for b in batches:
             texts = b.column(at).to_pylist()
             ok = [i for i, t in enumerate(texts) if m.languages and has_letter(t)]
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            best, scores = ["und"] * len(texts), np.zeros(len(texts))
             if ok:
-                f = m.scores([texts[i] for i in ok])
-                p = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)))
-                p /= p.sum(axis=1, keepdims=True)
-                best = f.argmax(axis=1)
-                for j, i in enumerate(ok):
-                    names[i], scores[i] = m.languages[best[j]], p[j, best[j]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+                p = chances(m.scores([texts[i] for i in ok]))
+                for j, (i, k) in enumerate(zip(ok, p.argmax(axis=1).tolist())):
+                    best[i], scores[i] = m.languages[k], p[j, k]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(best, pa.string()), pa.array(scores)], names=[*keep, *names])
 
     small_batches(docs.sparkSession)
-    ddl = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
-    return own.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    schema = T.StructType([*(own.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return own.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -202,10 +244,23 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs (all columns) without texts that have no language: null, no letter, or a score below least.
+def threshold(model: Model, rows: list[tuple[str, list[bytes]]]) -> float:
+    """A quarter of the way from chance to the lowest score among labelled texts that were not learned from."""
+    texts = [b"".join(map(bytes, p)).decode(errors="ignore") for _, p in rows]
+    texts = [t for t in texts if len(t.encode()) >= SHORT]
+    chance = 1 / max(1, len(model.languages))
+    if not texts or len(model.languages) < 2:
+        return 0.0
+    lowest = min(float(chances(model.scores(texts[i : i + 256])).max(axis=1).min()) for i in range(0, len(texts), 256))
+    return chance + (lowest - chance) / 4
+
+
+def accept(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """docs without texts that have no learned language; a null lang of a row that stays is filled in.
 
-    Where nothing could be learned, all texts with a letter stay.
+    Rejected are null texts, texts without a letter, and texts of SHORT bytes or more whose score is below
+    `least`, which is set by threshold() on a bounded sample of held-out labelled rows unless given. Where
+    nothing could be learned, all texts with a letter stay.
     """
     model = fit(docs, ~held_out())
     columns = docs.columns
@@ -218,5 +273,10 @@ def accept(docs: DataFrame, least: float = 0.0) -> DataFrame:
 
         small_batches(docs.sparkSession)
         return docs.mapInArrow(run, docs.schema)
-    out = predict(docs, model, keep=tuple(columns))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*columns)
+    if least is None:
+        least = threshold(model, [(r["lang"], r["segments"]) for r in sample(docs, held_out()).collect()])  # SAMPLE_ROWS rows at most
+    mark = "_" * (1 + max(map(len, columns)))  # longer than any name of docs
+    names = f"{mark}lang", f"{mark}score"
+    out = predict(docs, model, keep=tuple(columns), names=names)
+    kept = out.filter((F.col(names[0]) != "und") & ((F.octet_length("text") < SHORT) | (F.col(names[1]) >= least)))
+    return kept.withColumn("lang", F.coalesce("lang", names[0])).select(*[f"`{c}`" for c in columns])
