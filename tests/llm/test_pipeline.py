@@ -8,7 +8,7 @@ import tiktoken
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_repeats import brute_bytes
-from tests.llm.test_simhash import near_groups, wide_print
+from tests.llm.test_simhash import near_groups
 from warpline.llm import language
 
 
@@ -41,7 +41,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     rows = {r[0]: r[1] for r in [*map(tuple, docs), *extra] if language.has_letter(r[1])}
     ids = sorted(rows)
-    low = near_groups([wide_print(rows[i]) for i in ids], ids)
+    low = near_groups([rows[i] for i in ids], ids)
     rows = {i: rows[i] for i in ids if low[i] == i}
     seen = {}
     for t in rows.values():

@@ -75,28 +75,15 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def wide_print(text):
-    """256 bits of distinct five-word shingles, by plain integers."""
+def shingles(text):
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    grams = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    full, factor = 2**64 - 1, 0xBF58476D1CE4E5B9
-    hashes = []
-    for g in grams:
-        wide = 0
-        for i in range(4):
-            x = (xxhash.xxh3_64_intdigest(g) + i * 0x9E3779B97F4A7C15) & full
-            x ^= x >> 30
-            x = x * factor & full
-            wide |= (x ^ x >> 27) << 64 * i
-        hashes.append(wide)
-    return sum(1 << b for b in range(256) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
-
-
-def near_groups(prints, ids):
-    low, radius = dict(zip(ids, ids)), simhash.radius_of(0.8)
-    near = [(i, j) for i, a in zip(ids, prints) for j, b in zip(ids, prints) if i < j and (a ^ b).bit_count() <= radius]
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_groups(texts, ids):
+    """Smallest id of each group of chained texts with a Jaccard similarity of 0.8 or more, by all pairs."""
+    low, sets = dict(zip(ids, ids)), [shingles(t) for t in texts]
+    near = [(i, j) for i, a in zip(ids, sets) for j, b in zip(ids, sets) if i < j and len(a & b) >= 0.8 * len(a | b) - 1e-9]
     changed = True
     while changed:
         changed = False
@@ -107,6 +94,25 @@ def near_groups(prints, ids):
     return low
 
 
+def test_wide_fingerprint_by_plain_integers():
+    rnd = random.Random(3)
+    full, factor = 2**64 - 1, 0xBF58476D1CE4E5B9
+    for n in (1, 4, 5, 9, 300):
+        text = " ".join(rnd.choice("abcdefg") * rnd.randint(1, 3) for _ in range(n))
+        hashes = []
+        for g in shingles(text):
+            wide = 0
+            for i in range(4):
+                x = (xxhash.xxh3_64_intdigest(g) + i * 0x9E3779B97F4A7C15) & full
+                x ^= x >> 30
+                x = x * factor & full
+                wide |= (x ^ x >> 27) << 64 * i
+            hashes.append(wide)
+        want = sum(1 << b for b in range(256) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+        got = simhash.wide_fingerprint(simhash.shingle_hashes(text.encode()))
+        assert sum(int(w) << 64 * i for i, w in enumerate(got.tolist())) == want
+
+
 def jaccard(a, b):
     s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
     return len(s & t) / len(s | t)
@@ -137,6 +143,75 @@ def test_near_copies_go_and_others_stay(make_docs, monkeypatch, shard):
     assert len(extra) <= 0.03 * len(texts)
 
 
+def chain(n, step, rnd):
+    """Texts that drift: neighbours share more than 0.8 of their shingles, far ones less."""
+    words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    out = []
+    for _ in range(n):
+        out.append(" ".join(words))
+        words = words[step:] + [f"w{rnd.randrange(5000)}" for _ in range(step)]
+    return out
+
+
+@pytest.mark.parametrize("shard", [1024, 3])
+def test_groups_against_all_pairs(make_docs, monkeypatch, shard):
+    """Chains of drifting copies, and a template whose texts are alike at about 0.7: equal to brute force where shards miss none."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "RECALL", 1 - 1e-7)
+    rnd = random.Random(9)
+    base = [f"t{rnd.randrange(9999)}" for _ in range(200)]
+    texts = chain(25, 25, rnd) + chain(10, 35, rnd) + chain(6, 45, rnd)
+    for _ in range(25):
+        copy = list(base)
+        at = rnd.randrange(150)
+        copy[at : at + 36] = [f"u{rnd.randrange(9999)}" for _ in range(36)]
+        texts.append(" ".join(copy))
+    ids = list(range(len(texts)))
+    rnd.shuffle(ids)
+    got = {r.doc_id for r in simhash.keep_one_similar(make_docs(texts, ids)).collect()}
+    assert got == set(near_groups(texts, ids).values())
+
+
+def test_pairs_at_the_threshold(spark, make_docs):
+    """Recall over pairs at a similarity of 0.80 to 0.82 among other texts, and no false removal."""
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(100):
+        words = [f"v{rnd.randrange(20000)}" for _ in range(rnd.randint(150, 400))]
+        copy, at = list(words), rnd.randrange(40)
+        k = int(len(words) * 0.19 / 1.8) - 3
+        copy[at : at + k] = [f"x{rnd.randrange(20000)}" for _ in range(k)]
+        texts += [" ".join(words), " ".join(copy)]
+    want = near_groups(texts, range(len(texts)))
+    kept = {r.doc_id for r in simhash.keep_one_similar(make_docs(texts)).collect()}
+    near = {i for i in want if want[i] != i}
+    assert len(near) > 60 and len(near - kept) >= 0.95 * len(near)
+    assert set(range(len(texts))) - kept <= near
+
+
+def test_rows_of_one_id_are_judged_apart(make_docs):
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = make_docs([long, "another text", long, long + " x", "b", "b", "b"], [5, 5, 7, 5, 9, 9, 3])
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one_similar(docs).collect())
+    assert [t for _, t in got if t == "another text"] and sum(t.startswith("w0 ") for _, t in got) == 1
+    assert [i for i, t in got if t == "b"] == [3]
+    assert simhash.keep_one_similar(make_docs(["b", "b"], [9, 9])).count() == 1
+
+
+def test_spanning_forests_have_no_common_edges():
+    r = np.random.default_rng(2)
+    f = r.integers(0, 2**64, (40, simhash.WIDE), dtype=np.uint64)
+    f[:30] = f[0]
+    f[:30, 0] ^= np.uint64(1) << np.arange(30, dtype=np.uint64)
+    one = np.ones(40)
+    a, b = simhash.candidate_links(f, one, np.arange(40), np.empty(0, np.int64), 10, 0.8, 1, None)
+    assert len(a) == 29 and len(set(simhash.spanning(np.arange(40), a, b)[1].tolist())) == 11
+    a, b = simhash.candidate_links(f, one, np.arange(40), np.empty(0, np.int64), 10, 0.8, 4, None)
+    assert len(a) == len(set(zip(a.tolist(), b.tolist()))) > 29 * 3
+    a, b = simhash.candidate_links(f, one, np.arange(40), a * 40 + b, 10, 0.8, 1, None)
+    assert len(a) >= 29 - 4
+
+
 def test_near_copies_of_short_empty_and_null(make_docs):
     texts = ["a", "A", "", None, "b c", "b  c", "x"]
     kept = {r.doc_id for r in simhash.keep_one_similar(make_docs(texts)).collect()}
@@ -159,4 +234,4 @@ def test_hot_shards_lose_no_link(spark, monkeypatch):
             bits[free[j * step : (j + 1) * step]] = k >> j & 1
         rows.append((k, *np.packbits(bits, bitorder="little").view("<i8").tolist()))
     classes = spark.createDataFrame(rows, "id long, " + simhash.PRINT_DDL)
-    assert {(r.node, r.component) for r in components(simhash.similar_links(classes, 0.8)).collect()} == {(k, 0) for k in range(32)}
+    assert {(r.node, r.component) for r in components(simhash.similar_links(classes, 0.8).select("a", "b")).collect()} == {(k, 0) for k in range(32)}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import buffers, id_text, materialise, partitions, small_batches, table
+from warpline.llm.common import buffers, id_text, materialise, partitions, remove, small_batches, table
 from warpline.llm.components import components
 
 SHARD = 1024
@@ -203,29 +203,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, id_co
 
 # near copies by similarity ---------------------------------------------------------------------------
 
-WIDE, ROOM, RECALL = 4, 256, 0.97  # words of a wide fingerprint; members a shard should have; wanted recall
+#: words of a wide fingerprint; members a shard should have; recall of the shards for a pair at the similarity
+#: wanted; standard deviations that the radius leaves room for
+WIDE, ROOM, RECALL, DEVIATIONS = 4, 256, 0.995, 3.0
 
 
 def radius_of(similarity: float, words: int = WIDE) -> int:
-    """Bits within which texts of this Jaccard similarity lie but for one and a half standard deviations."""
+    """Bits within which texts of this Jaccard similarity lie but for DEVIATIONS standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * words
-    return int(share * n + 1.5 * np.sqrt(share * (1 - share) * n))
+    return int(share * n + DEVIATIONS * np.sqrt(share * (1 - share) * n))
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
-    """WIDE words: each bit set if more than half of the distinct shingles' hashes have it."""
+def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     n = len(words) - k + 1
-    s, e = starts[:n].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh3_64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(s, e)), np.uint64, n))
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDE words: each bit set if more than half of the distinct shingles' hashes have it."""
     total = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(h), 16384):
         part = np.repeat(h[at : at + 16384, None], WIDE, axis=1)
@@ -236,8 +241,7 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
             x *= MORE
             x ^= x >> np.uint64(27)
         total += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    n = len(h)
-    return np.packbits(total * 2 > n, bitorder="little").view("<u8")
+    return np.packbits(total * 2 > len(h), bitorder="little").view("<u8")
 
 
 MORE = np.uint64(0xBF58476D1CE4E5B9)
@@ -247,21 +251,27 @@ PRINT_DDL = ", ".join(f"{c} long" for c in COLUMNS)
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COLUMNS)])
+    """doc_id, th (tells texts of one doc_id apart), id (hash of the set of shingles), n (its size), f0, f1, ..."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "id", "n", *COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, off = buffers(b.column(1))
+            raw, off = buffers(b.column(2))
             data, edges = raw.tobytes(), off.tolist()
-            fp = np.array([wide_fingerprint(data[s:e], shingle) for s, e in zip(edges, edges[1:])], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield table({"doc_id": b.column(0), **{c: fp[:, i] for i, c in enumerate(COLUMNS)}}, schema)
+            sets = [shingle_hashes(data[s:e], shingle) for s, e in zip(edges, edges[1:])]
+            fp = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            own = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield table({"doc_id": b.column(0), "th": b.column(1), "id": own, "n": [len(h) for h in sets], **{c: fp[:, i] for i, c in enumerate(COLUMNS)}}, schema)
 
     small_batches(docs.sparkSession)
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + PRINT_DDL)
+    return id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, id long, n long, " + PRINT_DDL)
 
 
 def tables_for(n: int, similarity: float) -> list[np.ndarray]:
-    """Sampled bit places, a table each: shards of about ROOM members, and as many tables as RECALL needs."""
+    """Sampled bit places, a table each: shards of about ROOM members, and as many tables as RECALL needs.
+
+    Bits and tables grow with the logarithm of the rows; the recall of a pair is the same at every size.
+    """
     bits = int(np.clip(np.ceil(np.log2(max(n, 2) / ROOM)), 8, 30))
     agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
     count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree)))
@@ -269,16 +279,81 @@ def tables_for(n: int, similarity: float) -> list[np.ndarray]:
     return [rng.choice(64 * WIDE, bits, replace=False) for _ in range(count)]
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between ids of classes (id, f0...) whose fingerprints lie within the radius.
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of edges (a, b) that connect the labels as all of them do, without cycles; new labels).
+
+    Boruvka rounds: each label takes its first edge to another one.
+    """
+    label, taken = label.copy(), []
+    live = np.arange(len(a))
+    while len(live := live[label[a[live]] != label[b[live]]]):
+        ends = np.concatenate([label[a[live]], label[b[live]]])
+        first_of = np.full(int(label.max()) + 1, len(a))
+        np.minimum.at(first_of, ends, np.concatenate([live, live]))
+        first = np.unique(first_of[first_of < len(a)])
+        taken.append(first)
+        x, y = label[a[first]], label[b[first]]
+        new = np.arange(len(first_of))
+        while True:
+            before = new.copy()
+            np.minimum.at(new, x, new[y])
+            np.minimum.at(new, y, new[x])
+            new = new[new]
+            if (new == before).all():
+                break
+        label = new[label]
+    return (np.concatenate(taken) if taken else np.empty(0, np.int64)), label
+
+
+def candidate_links(fps: np.ndarray, size: np.ndarray, label: np.ndarray, refused: np.ndarray, radius: int, similarity: float, times: int, first: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard's members within the radius that have different labels and are not refused.
+
+    Returned are `times` forests without common edges that each connect what such pairs connect. Pairs whose
+    set sizes rule the similarity out are none. With `first`, only pairs between the first so many members and
+    the others count. refused holds codes a * len(fps) + b with a < b.
+    """
+    m = len(fps)
+    tree = BKTree(fps[:first])
+    now, a, b = label.copy(), np.empty(0, np.int64), np.empty(0, np.int64)
+    for s in range(first or 0, m, 512):
+        q, node = tree.search(fps[s : s + 512], radius)
+        x, y = np.minimum(q + s, node), np.maximum(q + s, node)
+        ok = (label[x] != label[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+        x, y = x[ok], y[ok]
+        if len(refused):
+            ok = ~np.isin(x * m + y, refused)
+            x, y = x[ok], y[ok]
+        code = np.unique(x * m + y)
+        if times == 1:  # what a part connects need not be connected again
+            code = code[now[code // m] != now[code % m]]
+            chosen, now = spanning(now, code // m, code % m)
+            code = code[chosen]
+        a, b = np.concatenate([a, code // m]), np.concatenate([b, code % m])
+    if times == 1:
+        return a, b
+    left, out = np.ones(len(a), bool), []
+    for _ in range(times):
+        at = np.flatnonzero(left)
+        chosen = at[spanning(label, a[at], b[at])[0]]
+        if not len(chosen):
+            break
+        left[chosen] = False
+        out.append(chosen)
+    chosen = np.concatenate(out) if out else np.empty(0, np.int64)
+    return a[chosen], b[chosen]
+
+
+def similar_links(classes: DataFrame, similarity: float, *, keys: DataFrame | None = None, times: int = 1) -> DataFrame:
+    """Candidate links (key, a, b) between ids of classes (id, f0...) whose fingerprints lie within the radius.
 
     Shards are equal sampled bits. A shard of more than 4 * SHARD members is dealt in chunks, and each
     chunk meets each other one, with all members, in a task of its own: no link of a shard is lost.
+    Optional columns of classes: n, the size of the set; label, what is connected already; refused, ids that are no
+    partners. keys: only these shards.
     """
     spark = classes.sparkSession
-    radius, places = radius_of(similarity), tables_for(classes.count(), similarity)
-    row_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in COLUMNS)])
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    radius, places = radius_of(similarity), tables_for(classes.count() if keys is None else keys.first()["rows"], similarity)
+    out_schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,25 +361,37 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
             on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
             for t, where in enumerate(places):
                 key = on[:, where].astype(np.int64) @ (1 << np.arange(len(where), dtype=np.int64)) | t << 32
-                yield table({"key": key, "id": b.column(0), **{c: fp[:, i] for i, c in enumerate(COLUMNS)}}, row_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", *b.schema.names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         now = None
 
         def done() -> pa.RecordBatch:
-            x = np.concatenate(held, axis=1)
-            first = None
+            t = pa.Table.from_batches(held)
+            own = t["own"].to_numpy()
+            order, first = np.arange(len(own)), None
             if now[1] != now[2]:  # two chunks: those inside each are linked in another task
-                x = x[:, np.argsort(x[0], kind="stable")]
-                first = int((x[0] == now[1]).sum())
-            ids, fp = x[1], np.ascontiguousarray(x[2:].T).view(np.uint64)
-            m, r = forest(fp, radius, first)
-            return table({"a": ids[m], "b": ids[r]}, out_schema)
+                order = np.argsort(own, kind="stable")
+                first = int((own == now[1]).sum())
+            ids, size, name = (t[c].to_numpy()[order] for c in ("id", "n", "label"))
+            fp = np.stack([t[c].to_numpy()[order] for c in COLUMNS], axis=1).view(np.uint64)
+            refused = np.empty(0, np.int64)
+            lists = t["refused"].combine_chunks().take(pa.array(order))
+            no = lists.flatten().to_numpy()
+            if len(no):
+                who = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+                by = np.argsort(ids)
+                at = np.minimum(np.searchsorted(ids[by], no), len(ids) - 1)
+                here = ids[by][at] == no
+                x, y = who[here], by[at[here]]
+                refused = np.minimum(x, y) * len(ids) + np.maximum(x, y)
+            label = np.unique(name, return_inverse=True)[1]
+            a, b = candidate_links(np.ascontiguousarray(fp), size, label, refused, radius, similarity, times, first)
+            return table({"key": np.full(len(a), now[0]), "a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}, out_schema)
 
         for b in batches:
             key, low, high = (np.asarray(b.column(i)) for i in range(3))
-            rows = np.stack([np.asarray(b.column(3 + i)) for i in range(WIDE + 2)])
             cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1).tolist(), len(key)]
             for s, e in zip(cut, cut[1:]):
                 if s == e:
@@ -313,33 +400,103 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
                     yield done()
                     held = []
                 now = (int(key[s]), int(low[s]), int(high[s]))
-                held.append(rows[:, s:e])
+                held.append(b.slice(s, e - s))
         if held:
             yield done()
 
-    rows = classes.select("id", *COLUMNS).mapInArrow(deal, f"key long, id long, {PRINT_DDL}")  # dealt twice rather than stored
-    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    chunks = F.ceil(F.col("n") / (4 * SHARD))
-    dealt = rows.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    has = lambda name, other: F.col(name) if name in classes.columns else other
+    own = classes.select("id", *COLUMNS, has("n", F.lit(1)).cast("long").alias("n"), has("label", F.col("id")).alias("label"), F.coalesce(has("refused", F.lit(None).cast("array<long>")), F.array().cast("array<long>")).alias("refused"))
+    ddl = f"id long, {PRINT_DDL}, n long, label long, refused array<long>"
+    rows = own.mapInArrow(deal, f"key long, {ddl}")  # dealt twice rather than stored
+    if keys is not None:
+        rows = rows.join(keys.select("key"), "key", "left_semi")
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    dealt = rows.join(sizes, "key").withColumn("chunks", F.ceil(F.col("m") / (4 * SHARD))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    pairs = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", *COLUMNS)
+    pairs = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", *COLUMNS, "n", "label", "refused")
     by = ["key", "low", "high"]
-    return materialise(pairs.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long")).distinct()
+    return materialise(pairs.repartition(partitions(spark), *by).sortWithinPartitions(*by, "id").mapInArrow(search, "key long, a long, b long"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b, ok) of pairs: ok if the sets of shingles of texts (id, text) have this Jaccard similarity or more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ok", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok, last, x = [], None, None
+            for own, t, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if own != last:  # pairs of one text tend to follow one another
+                    last, x = own, shingle_hashes(t.encode(), shingle)
+                y = shingle_hashes(u.encode(), shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield table({"a": b.column(0), "b": b.column(1), "ok": ok}, schema)
+
+    small_batches(pairs.sparkSession)
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("t")), texts.select(F.col("id").alias("b"), F.col("text").alias("u"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "t", "u").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def similar_classes(docs: DataFrame, classes: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of classes (id, n, rep of doc_id and th, f0...) under verified links.
+
+    Shards first name links that would connect their members as all candidates do; these are verified on
+    whole texts. Only a shard with a refused link can hold more: it is searched again, without what is
+    refused, for four times as many forests as before, until none is left. So every candidate either is
+    verified or lies within one component, and no group of copies is expanded to pairs.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    reps = classes.select("id", "rep.doc_id", "rep.th")
+    good = bad = keys = None
+    now, times, rows = classes, 1, classes.count()
+    while True:
+        pairs = similar_links(now, similarity, keys=keys, times=times)
+        new = materialise(pairs.select("a", "b").distinct())
+        if new.isEmpty():
+            break
+        wanted = new.select(F.col("a").alias("id")).union(new.select("b")).distinct()
+        texts = materialise(own.join(reps.join(wanted, "id"), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"]))
+        checked = materialise(verified(new, texts, shingle, similarity))
+        remove(new, texts)
+        good = checked.filter("ok") if good is None else good.unionByName(checked.filter("ok"))
+        refused = checked.filter("not ok").select("a", "b")
+        if refused.isEmpty():
+            break
+        keys = materialise(pairs.join(refused, ["a", "b"], "left_semi").select("key", F.lit(rows).alias("rows")).distinct())
+        bad = refused if bad is None else bad.unionByName(refused)
+        no = bad.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("refused"))
+        labels = components(good.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("label"))
+        now = materialise(classes.join(labels, "id", "left").join(no, "id", "left").withColumn("label", F.coalesce("label", "id")))
+        times *= 4
+    none = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return components(none if good is None else good.select("a", "b"))
 
 
 def keep_one_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group of near copies; null doc_ids stay.
+    """One row of docs of each group of near copies: that of the smallest doc_id, then text hash; null doc_ids stay.
 
-    Near copies are texts whose wide fingerprints lie as close as those of texts with this Jaccard
-    similarity of word shingles do; equal fingerprints are always linked.
+    Near copies are texts whose sets of word shingles have this Jaccard similarity or more, or a chain
+    of such texts. BK-trees find candidates; each link is verified on the sets. Texts of equal sets are always
+    near copies; rows that share doc_id and text count once; rows that share a doc_id are judged apart.
     """
     names = docs.columns
     prints = materialise(wide_fingerprints(docs, shingle).filter("doc_id is not null"))
-    classes = materialise(prints.groupBy(*COLUMNS).agg(F.min("doc_id").alias("id")))
-    nodes = components(similar_links(classes, similarity))
-    roots = materialise(classes.join(nodes, classes["id"] == nodes["node"], "left").select(*COLUMNS, F.coalesce("component", "id").alias("root")))
-    gone = prints.join(roots, COLUMNS).filter("doc_id <> root").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(materialise(gone), docs["doc_id"] == F.col("__gone"), "left_anti").select(*names)
+    classes = materialise(prints.groupBy("id", "n", *COLUMNS).agg(F.min(F.struct("doc_id", "th")).alias("rep")))
+    nodes = similar_classes(docs, classes, shingle=shingle, similarity=similarity)
+    whole = classes.select("id", "rep").join(nodes.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = whole.groupBy("group").agg(F.min("rep").alias("least"))
+    firsts = whole.join(least, "group").select("id", "least")
+    rows = prints.groupBy("id", "doc_id", "th").agg(F.count("*").alias("copies")).join(firsts, "id")
+    judged = materialise(rows.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "copies", (F.struct("doc_id", "th") == F.col("least")).alias("first")).filter("copies > 1 or not first"))
+    mark = "_" * (1 + max(map(len, names)))  # longer than any name of docs
+    own = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = lambda t: (own["doc_id"].cast("long") == t["__id"]) & (own[mark] == t["__th"])
+    kept = own.join(judged, same(judged), "left_anti")
+    again = judged.filter("first")
+    if not again.isEmpty():
+        kept = kept.unionByName(own.join(again, same(again), "left_semi").dropDuplicates(["doc_id", mark]))
+    return kept.select(*[f"`{c}`" for c in names])
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
