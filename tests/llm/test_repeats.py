@@ -128,3 +128,37 @@ def test_suffix_array_against_brute_force(monkeypatch, base, memory):
         assert order == sorted(s)
         for (x, y), k in zip(zip(order, order[1:]), prefix.tolist()[1:]):
             assert x[:k] == y[:k] and (k == cap or k == min(len(x), len(y)) or x[k] != y[k])
+
+
+def test_shards_run_recursion_and_disk_runs_with_normal_settings():
+    """A shard of text of 1 MB: several levels, runs and arrays on disk; windows are classed as by hashing."""
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    passage = " ".join(rnd.choice(vocabulary) for _ in range(400)).encode()
+    contents = []
+    while sum(map(len, contents)) < 1 << 20:
+        at = rnd.randrange(len(passage) - 300)
+        contents.append(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(20, 400))).encode() + passage[at : at + rnd.randint(0, 300)])
+    before = dict(induced.RAN)
+    who, offset, same = suffixdedup.byte_classes(contents, 200)
+    ran = {k: v - before[k] for k, v in induced.RAN.items()}
+    assert ran["levels"] >= 4 and ran["spills"] >= 1 and ran["filed"] >= 3
+    assert len(who) == sum(max(0, len(c) - 199) for c in contents)
+    number = {}
+    want = [number.setdefault(hash(contents[w][o : o + 200]), len(number)) for w, o in zip(who.tolist(), offset.tolist())]
+    pairs = set(zip(same.tolist(), want))
+    assert len(pairs) == len(set(same.tolist())) == len(number) < len(who)
+
+
+def test_queue_order_with_ties_and_runs(monkeypatch):
+    """Long runs of one symbol, all symbols alike, and many symbols, with tiny ranges."""
+    monkeypatch.setattr(induced, "RANGE", 2)
+    monkeypatch.setattr(induced, "MEMORY", 16)
+    r = np.random.default_rng(5)
+    for t in ([3] * 90, [0] * 40 + [1] * 40, [5, 4, 3, 2, 1, 0] * 15, r.permutation(200).tolist(), r.integers(0, 40_000, 300).tolist(), [1, 2] * 60, [7]):
+        places, prefix = induced.suffix_array(np.array(t), 40, 1)
+        s = [tuple(t[i : i + 40]) for i in range(len(t))]
+        order = [s[i] for i in places.tolist()]
+        assert sorted(places.tolist()) == list(range(len(t))) and order == sorted(s)
+        for (x, y), k in zip(zip(order, order[1:]), prefix.tolist()[1:]):
+            assert x[:k] == y[:k] and (k == 40 or k == min(len(x), len(y)) or x[k] != y[k])

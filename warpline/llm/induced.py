@@ -1,14 +1,18 @@
 """External induced sorting of suffixes, with common-prefix values carried along.
 
 The scheme of eSAIS (Bingmann, Fischer, Osipov, Inducing Suffix and LCP Arrays in External Memory,
-2013), over byte-sized symbols: suffixes are of type L or S; suffixes at left-most S places (S*) are
-sorted by naming the substrings between them and solving the string of names, recursively while it is
-longer than BASE symbols; two scans then induce all L suffixes from the S* ones and all S suffixes
-from the L ones. A scan is driven by a priority queue whose keys are (first symbol, order of arrival),
-held as one first-in-first-out run of tuples (place, common prefix with the forerunner) a symbol.
-Runs beyond MEMORY bytes go to an unnamed scratch file of the task, which ends with it. The common prefix of two
-neighbours in a run is one more than the smallest value passed between the two suffixes that induced
-them. Values are cut off at `cap`; suffixes that agree on cap symbols may come in either order.
+2013): suffixes are of type L or S; suffixes at left-most S places (S*) are sorted by naming the substrings
+between them and solving the string of names by recursion, until names are all different or no more
+than BASE; two scans then induce all L suffixes from the S* ones and all S suffixes from the L ones.
+
+A scan is driven by a priority queue of tuples (symbol, order of arrival, place, common prefix with the
+forerunner). Symbols are dealt in ranges of about as many suffixes; the queue keeps one first-in-first-out run a
+range, beyond MEMORY bytes in an unnamed scratch file of the task, which ends with it. A range is taken whole, and
+suffixes that its own suffixes induce within it are put in order by doubling along their chains. The common
+prefix of two neighbours in a run is one more than the smallest value passed between the two suffixes that induced
+them. Long arrays (text, order, prefixes) lie in scratch files as well and are mapped, so that what
+must be in memory is MEMORY and one range, not the shard. Values are cut off at `cap`;
+suffixes that agree on cap symbols may come in either order.
 """
 
 from __future__ import annotations
@@ -17,25 +21,38 @@ import tempfile
 
 import numpy as np
 
-BASE = 1 << 20
-MEMORY = 128 << 20
-STRING = 1 << 26
+#: names that are ordered in memory; bytes of a queue, or of one array, in memory; ranges of a scan and their least size
+BASE, MEMORY, RANGES, RANGE = 1 << 10, 2 << 20, 64, 1 << 13
+#: what ran in this process, for tests
+RAN = {"levels": 0, "spills": 0, "filed": 0}
+
 
+def filed(array: np.ndarray) -> np.ndarray:
+    """The array, mapped from an unnamed scratch file if it is longer than MEMORY."""
+    if array.nbytes <= MEMORY:
+        return array
+    RAN["filed"] += 1
+    with tempfile.TemporaryFile() as f:  # the mapping keeps it
+        array.tofile(f)
+        f.flush()
+        return np.asarray(np.memmap(f, array.dtype, "r+", shape=array.shape))
 
-class Queue:
-    """Runs of (place, prefix) tuples by symbol; the largest in memory go to disk first."""
 
-    def __init__(self, symbols: int, memory: int | None = None):
-        self.runs: list[list] = [[] for _ in range(symbols)]
-        self.held, self.memory, self.file = 0, MEMORY if memory is None else memory, None
+class Runs:
+    """First-in-first-out runs of (place, prefix) tuples by number; all in memory go to disk beyond MEMORY."""
 
-    def push(self, symbol: int, place: np.ndarray, prefix: np.ndarray) -> None:
-        self.runs[symbol].append((place, prefix))
+    def __init__(self, count: int):
+        self.runs: list[list] = [[] for _ in range(count)]
+        self.held, self.file = 0, None
+
+    def push(self, run: int, place: np.ndarray, prefix: np.ndarray) -> None:
+        self.runs[run].append((place, prefix))
         self.held += place.nbytes + prefix.nbytes
-        if self.held > self.memory:
+        if self.held > MEMORY:
             self.spill()
 
     def spill(self) -> None:
+        RAN["spills"] += 1
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         self.file.seek(0, 2)
@@ -48,9 +65,9 @@ class Queue:
                     run[i] = (at, len(part[0]))
         self.held = 0
 
-    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         places, prefixes = [], []
-        for a, b in self.runs[symbol]:
+        for a, b in self.runs[run]:
             if isinstance(a, int):
                 self.file.seek(a)
                 raw = self.file.read(b * 5)
@@ -59,7 +76,7 @@ class Queue:
                 self.held -= a.nbytes + b.nbytes
             places.append(a)
             prefixes.append(b)
-        self.runs[symbol] = []
+        self.runs[run] = []
         if not places:
             return np.empty(0, np.int32), np.empty(0, np.uint8)
         return np.concatenate(places), np.concatenate(prefixes)
@@ -109,76 +126,119 @@ def types(text: np.ndarray) -> np.ndarray:
     return s
 
 
+def _arranged(text: np.ndarray, entries: np.ndarray, inner: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Order of a range's suffixes: by symbol, in it entries as they arrived, inner ones by what follows them, seeds."""
+    place = np.concatenate([entries, inner, seeds])
+    symbol = text[place]
+    e, n = len(entries), len(place) - len(seeds)
+    kind = np.repeat(np.array([0, 1, 2], np.int8), [e, n - e, len(seeds)])
+    arrival = np.arange(len(place))
+    arrival[e:n] = 0
+    order = np.lexsort((arrival, kind, symbol))
+    if n == e:
+        return order
+    tie = np.zeros(len(order), bool)  # the same group as the one before
+    k, s = kind[order], symbol[order]
+    tie[1:] = (k[1:] == 1) & (k[:-1] == 1) & (s[1:] == s[:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(tie, 0, np.arange(len(order))))
+    by = np.argsort(place)
+    after = np.arange(len(place))
+    after[e:n] = by[np.searchsorted(place[by], inner + 1)]
+    while True:
+        r = rank[order]
+        same = r[1:] == r[:-1]
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(at):
+            return order
+        item = order[at]
+        key = rank[after[item]]
+        turn = np.lexsort((key, rank[item]))
+        item, key = item[turn], key[turn]
+        order[at] = item
+        fresh = np.append(True, (key[1:] != key[:-1]) | (rank[item][1:] != rank[item][:-1]))
+        rank[item] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        after = after[after]
+
+
 def induce(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray, symbols: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Scan in ascending order; a scanned suffix induces the one before it if that is wanted.
 
     seeds come in ascending order with their common prefix with the seed before. Returned are the
     induced places in ascending order and their common prefix with the induced one before.
     """
-    queue = Queue(symbols)
-    cuts = np.searchsorted(text[seeds], np.arange(symbols + 1))
+    count = np.bincount(text, minlength=symbols)
+    range_of = np.unique((np.cumsum(count) - count) // max(RANGE, len(text) // RANGES), return_inverse=True)[1]
+    ranges = int(range_of[-1]) + 1
+    queue, made = Runs(ranges), Runs(1)
+    cuts = np.searchsorted(range_of[text[seeds]], np.arange(ranges + 1))
     passed = np.full(symbols, -1, np.int16)  # smallest prefix since the last push to each symbol; -1: none yet
-    made_at, made_prefix = [], []
-    last_seed = -1  # the scan's last suffix that is a seed, to know what a seed's own value spans
-
-    def scan(place: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Push what the suffixes induce; returns those that come in the same bucket."""
-        m = len(place)
-        before = place - 1
-        at = np.flatnonzero(before >= 0)
-        at = at[wanted[before[at]]]
+    for r in range(ranges):
+        entries, known = queue.take(r)
+        entries = entries.astype(np.int64)
+        own = seeds[cuts[r] : cuts[r + 1]].astype(np.int64)
+        inner, now = [], np.concatenate([entries, own])
+        while len(now):  # what the range's suffixes induce within it
+            now = now[now > 0] - 1
+            now = now[wanted[now]]
+            now = now[range_of[text[now]] == r]
+            inner.append(now)
+        within = np.concatenate(inner) if inner else entries
+        order = _arranged(text, entries, within, own)
+        place = np.concatenate([entries, within, own])[order]
+        if not len(place):
+            continue
+        value = np.concatenate([known, np.zeros(len(within), np.uint8), prefixes[cuts[r] : cuts[r + 1]]])[order].astype(np.int16)
+        kind = np.repeat(np.array([0, 1, 2], np.int8), [len(entries), len(within), len(own)])[order]
+        symbol = text[place]
+        value[0] = 0
+        fresh = symbol[1:] != symbol[:-1]
+        value[1:][fresh] = 0
+        seam = np.flatnonzero(~fresh & ((kind[1:] == 1) | (kind[1:] != kind[:-1]))) + 1
+        value[seam] = extend(text, place[seam - 1], place[seam], np.ones(len(seam), np.int64), cap)
+        value = value.astype(np.uint8)
+        mine = kind != 2
+        if mine.any():
+            made.push(0, place[mine].astype(np.int32), value[mine])
+        # push what is induced in later ranges
+        m, at = len(place), np.flatnonzero(place > 0)
+        before = place[at] - 1
+        ok = wanted[before] & (range_of[text[before]] > r)
+        at, before = at[ok], before[ok]
+        least = np.int16(value.min())
         if not len(at):
-            np.minimum(passed, prefix.min().astype(np.int16), out=passed)
-            return None
-        kinds = text[before[at]]
-        order = np.argsort(kinds, kind="stable")
-        at, kinds = at[order], kinds[order]
-        first = np.concatenate([[True], kinds[1:] != kinds[:-1]])
-        low = np.concatenate([[0], at[:-1] + 1])
+            np.minimum(passed, least, out=passed)
+            continue
+        target = text[before]
+        by = np.argsort(target, kind="stable")
+        at, before, target = at[by], before[by], target[by]
+        first = np.append(True, target[1:] != target[:-1])
+        low = np.append(0, at[:-1] + 1)
         low[first] = 0
-        values = RangeMin(prefix)(low, at).astype(np.int16)
+        carried = RangeMin(value)(low, at).astype(np.int16)
         heads = np.flatnonzero(first)
-        values[heads] = np.minimum(values[heads], passed[kinds[heads]])
-        values = np.minimum(values + 1, cap).astype(np.uint8)
+        carried[heads] = np.minimum(carried[heads], passed[target[heads]])
+        carried = np.minimum(carried + 1, cap).astype(np.uint8)
         tails = np.append(heads[1:], len(at)) - 1
-        np.minimum(passed, prefix.min().astype(np.int16), out=passed)
-        rest = np.minimum.accumulate(prefix[::-1])[::-1]
-        after = at[tails] + 1
-        passed[kinds[heads]] = np.where(after < m, rest[np.minimum(after, m - 1)], cap).astype(np.int16)
-        same = None
-        for h, t in zip(heads.tolist(), (tails + 1).tolist()):
-            k = int(kinds[h])
-            part = before[at[h:t]].astype(np.int32), values[h:t]
-            if k == symbol:
-                same = part
-            else:
-                queue.push(k, *part)
-        return same
-
-    for symbol in range(symbols):
-        wave = queue.take(symbol)
-        ended = -1
-        while wave is not None and len(wave[0]):
-            made_at.append(wave[0])
-            made_prefix.append(wave[1])
-            ended = int(wave[0][-1])
-            wave = scan(*wave)
-        s, e = cuts[symbol], cuts[symbol + 1]
-        if s < e:
-            own = prefixes[s:e].copy()
-            own[0] = 0 if ended < 0 else extend(text, np.array([ended]), seeds[s : s + 1].astype(np.int64), np.array([1]), cap)[0]
-            scan(seeds[s:e].astype(np.int64), own)
-    if not made_at:
-        return np.empty(0, np.int64), np.empty(0, np.uint8)
-    return np.concatenate(made_at).astype(np.int64), np.concatenate(made_prefix)
+        np.minimum(passed, least, out=passed)
+        rest = np.minimum.accumulate(value[::-1])[::-1]
+        beyond = at[tails] + 1
+        passed[target[heads]] = np.where(beyond < m, rest[np.minimum(beyond, m - 1)], cap)
+        to = range_of[target]  # targets are sorted, so ranges are
+        edges = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        for s, e in zip(edges.tolist(), np.append(edges[1:], len(to)).tolist()):
+            turn = np.argsort(at[s:e], kind="stable")  # a run keeps the order of arrival
+            queue.push(int(to[s]), before[s:e][turn].astype(np.int32), carried[s:e][turn])
+    place, value = made.take(0)
+    return filed(place.astype(np.int64)), filed(value)
 
 
 def _names(text: np.ndarray, s_type: np.ndarray, stars: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(name of each S* substring in order, common prefix of each name's substring with the name before)."""
     ends = np.append(stars[1:], len(text) - 1)
     size = np.minimum(ends - stars + 1, cap + 1)
-    per, bits = 6, 10
-    code = (text.astype(np.uint64) << np.uint64(1)) | s_type
+    bits = (2 * int(text.max()) + 2).bit_length()
+    per = 62 // bits
     columns = int(-(-size.max() // per))
     rank = np.zeros(len(stars), np.int64)
     for c in range(columns - 1, -1, -1):
@@ -187,7 +247,8 @@ def _names(text: np.ndarray, s_type: np.ndarray, stars: np.ndarray, cap: int) ->
         for k in range(per):
             at = stars[rows] + c * per + k
             ok = c * per + k < size[rows]
-            word = (word << np.uint64(bits)) | np.where(ok, code[np.minimum(at, len(text) - 1)] + np.uint64(1), np.uint64(0))
+            at = np.minimum(at, len(text) - 1)
+            word = (word << np.uint64(bits)) | np.where(ok, (text[at].astype(np.uint64) << np.uint64(1) | s_type[at]) + np.uint64(1), np.uint64(0))
         if c < columns - 1:
             order = np.lexsort((rank[rows], word))
             w, r = word[order], rank[rows][order]
@@ -254,29 +315,20 @@ def _by_doubling(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     return order, shared
 
 
-def _stars(text: np.ndarray, s_type: np.ndarray, symbols: int, cap: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+def _stars(text: np.ndarray, s_type: np.ndarray, cap: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """S* suffixes in order, with common prefixes."""
     stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(stars) < 2:
         return stars, np.zeros(len(stars), np.uint8)
     names, near = _names(text, s_type, stars, cap)
     m, depth = len(stars), cap // 2 + 2  # an S* substring moves at least two symbols on
-    count = len(near)
-    if count == m:
+    if len(near) == m:
         order, shared = np.argsort(names), np.zeros(m - 1, np.int64)
     elif m <= base:
         order, shared = _by_doubling(names, depth)
-    else:  # each name becomes symbols of a byte, so that the queue keeps one run a byte value
-        width = 1 if count <= 256 else 2 if count <= 1 << 16 else 3 if count <= 1 << 24 else 4
-        string = np.empty((m, width), np.int16)
-        for k in range(width):
-            string[:, k] = (names >> (8 * (width - 1 - k))) & 255
-        places, prefix = suffix_array(string.reshape(-1) + 1, min(255, depth * width), max(base, 2 * m if depth < 8 else 0))
-        whole = places % width == 0
-        # the value between two kept suffixes is the smallest passed on the way
-        upto = np.flatnonzero(whole)
-        low = RangeMin(prefix)(upto[:-1] + 1, upto[1:]) if len(upto) > 1 else np.empty(0, np.uint8)
-        order, shared = places[whole] // width, low.astype(np.int64) // width
+    else:
+        order, prefix = suffix_array(names, min(depth, cap), base)
+        shared = prefix[1:].astype(np.int64)
     a, b = order[:-1], order[1:]
     last = np.minimum(np.maximum(a, b) + shared, m - 1) - np.maximum(a, b)  # within the string of names
     prefix = stars[a + last] - stars[a]
@@ -289,23 +341,24 @@ def _stars(text: np.ndarray, s_type: np.ndarray, symbols: int, cap: int, base: i
 
 
 def suffix_array(text: np.ndarray, cap: int, base: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of text (symbols 0 to 256) in order up to cap symbols (at most 255), and the common
+    """Suffixes of text (symbols from 0) in order up to cap symbols (at most 255), and the common
     prefix of each with the one before, cut off at cap."""
-    if not 0 < cap < 256 or len(text) > STRING:
-        raise ValueError("cap must be 1 to 255 and a shard at most STRING symbols")
+    if not 0 < cap < 256 or len(text) >= 2**31 - 1:
+        raise ValueError("cap must be 1 to 255 and a shard less than 2**31 symbols")
+    RAN["levels"] += 1
     base = BASE if base is None else base
-    symbols = 257
-    text = np.append(text.astype(np.int16) + 1, 0).astype(np.int64) if len(text) < 1024 else np.append(text.astype(np.int16) + 1, np.int16(0))
-    symbols += 1
+    symbols = int(text.max()) + 2 if len(text) else 1
+    text = filed(np.append(text.astype(np.int16 if symbols < 2**15 else np.int32) + 1, 0).astype(np.int16 if symbols < 2**15 else np.int32))
     n = len(text)
     s_type = types(text)
     s_type[-1] = True  # the sentinel
-    stars, near = _stars(text, s_type, symbols, cap, base)
+    s_type = filed(s_type)
+    stars, near = _stars(text, s_type, cap, base)
     if not len(stars):
         stars, near = np.array([n - 1]), np.zeros(1, np.uint8)
     l_at, l_prefix = induce(text, ~s_type, stars, near, symbols, cap)
     # the mirrored scan: descending order is ascending order of mirrored symbols
-    mirror = (symbols - 1) - text
+    mirror = filed((symbols - 1) - text)
     down = np.concatenate([l_prefix[1:][::-1], [0]]) if len(l_at) else l_prefix
     down = np.concatenate([[0], down[:-1]]).astype(np.uint8) if len(l_at) else l_prefix
     s_at, s_prefix = induce(mirror, s_type, l_at[::-1], down, symbols, cap)

@@ -20,17 +20,20 @@ from warpline.llm.induced import suffix_array
 from warpline.llm.repeats import cut, keyed, packed, repeated
 
 
+#: symbols of a shard: its queue and arrays are longer than what induced.MEMORY lets stay in memory
+SHARD = 2 << 20
+
+
 def byte_classes(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content, offset, class) of every window of a shard; equal windows have one class."""
     size = np.array([len(c) for c in contents], np.int64)
-    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + 1
+    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     starts = np.cumsum(size + 1) - (size + 1)
     text[starts + size] = 0  # between contents: below all bytes
-    owner = np.repeat(np.arange(len(contents)), size + 1)
     places, prefix = suffix_array(text, window)
-    same = np.cumsum(prefix < window)
-    who = owner[places]
-    offset = places - starts[who]
+    same = np.cumsum(prefix < window, dtype=np.int32)
+    who = np.repeat(np.arange(len(contents), dtype=np.int32), size + 1)[places]
+    offset = (places - starts[who]).astype(np.int32)
     ok = offset + window <= size[who]
     return who[ok], offset[ok], same[ok]
 
@@ -40,7 +43,7 @@ def _spans(docs: DataFrame, window: int, id_col: str, text_col: str, mode: str,
         raise ValueError("window must be 32 to 255 bytes")
     base = keyed(docs, id_col, text_col)
     texts = packed(base)
-    return texts, repeated(base, texts, byte_classes, words=False, window=window, k=16 if window < 64 else 32, mode=mode, **limits)
+    return texts, repeated(base, texts, byte_classes, words=False, window=window, k=16 if window < 64 else 32, mode=mode, **{"shard": SHARD, **limits})
 
 
 def deduplicate(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text", mode: str = "all", keep_text: bool = False, **limits: int) -> DataFrame:
