@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from warpline.llm import induced, repeats, substrings, suffixdedup
+from warpline.llm import fmindex, induced, substrings, suffixdedup
 
 
 def corpus(seed, n=60):
@@ -162,3 +162,16 @@ def test_queue_order_with_ties_and_runs(monkeypatch):
         assert sorted(places.tolist()) == list(range(len(t))) and order == sorted(s)
         for (x, y), k in zip(zip(order, order[1:]), prefix.tolist()[1:]):
             assert x[:k] == y[:k] and (k == 40 or k == min(len(x), len(y)) or x[k] != y[k])
+
+
+def test_index_is_smaller_than_its_text():
+    """Against the bytes of its words; and counts across many blocks are right."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(2000)]
+    words = [min(rnd.randrange(2000), rnd.randrange(2000)) for _ in range(50_000)]
+    ids = np.array([w + 1 for w in words] + [0])
+    index = fmindex.FMIndex(ids, 20)
+    assert index.nbytes < sum(len(vocabulary[w]) + 1 for w in words) / 2
+    assert not hasattr(index, "rows")
+    length, low, high = index.statistics(ids, np.array([1000, 30_000, 50_000]), 1)
+    assert (high - low).tolist() == [words.count(words[e - 1]) for e in (1000, 30_000, 50_000)]
