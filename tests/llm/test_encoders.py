@@ -28,6 +28,27 @@ def test_boundaries_against_library(enc):
         assert v.encode(t)[0] == enc.encode_ordinary(t)
 
 
+def test_groups_of_texts_against_library(enc, monkeypatch):
+    """Texts side by side in one group: edges of texts are edges of slices, whatever stands there."""
+    rnd, v = random.Random(5), bpe.Vocabulary(BYTE)
+    monkeypatch.setattr(v, "GROUP", 200, raising=False)
+    texts = ["".join(rnd.choice("a'  \n\tst're ll ve dm 1\u0663 \u00e9 -!.\u3000\xa0x\U0001f600") for _ in range(rnd.choice((0, 1, 2, 3, 9, 30)))) for _ in range(4000)]
+    for t, (ids, starts, tokens) in zip(texts, v.encode_all(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(t)
+        raw, n = t.encode(), 0
+        for s, e, k in zip(starts.tolist(), [*starts.tolist()[1:], len(raw)], tokens.tolist()):
+            assert v.decode(ids[n : n + k].tolist()) == raw[s:e]
+            n += k
+        assert n == len(ids)
+
+
+def test_both_ways_of_merging_agree():
+    rnd, v = random.Random(6), bpe.vocabulary(BYTE)
+    for _ in range(3000):
+        piece = "".join(rnd.choice("etaoin \u00e9\u65e5") for _ in range(rnd.randint(2, 20))).encode()
+        assert v.merge(piece) == (v.merge_long(piece) if piece not in v.ranks else [v.ranks[piece]])
+
+
 def test_round_trip_query(spark, make_docs, enc):
     rows = {r.doc_id: r for r in bpe.round_trip(make_docs(TEXTS), BYTE).collect()}
     for i, t in enumerate(TEXTS):

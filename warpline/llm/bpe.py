@@ -4,7 +4,8 @@ Code points map to classes by one table lookup; a small automaton over the class
 contractions and token starts. Its transition functions form a finite monoid, so runs of a text are
 composed independently and joined afterwards: an associative scan, not a regular expression. The
 slices between boundaries are merged by rank once and cached; ids keep the byte offsets of their
-slices, and decoding joins the bytes of ids.
+slices, and decoding joins the bytes of ids. Texts are taken in groups, a line feed between two of them: it
+brings the automaton to its first state, and its own slice is dropped.
 
 Defined cases: null and empty texts give no ids; ids outside the vocabulary can't occur, as every
 single byte is a token; repeated rows are encoded alike; an empty table gives an empty table. Extra
@@ -20,6 +21,7 @@ import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +104,11 @@ def states(kinds: np.ndarray, start: int = FRESH, run: int = 128) -> np.ndarray:
     return acts[f, entry[None, :]].T.reshape(-1)[:n]
 
 
-def boundaries(points: np.ndarray) -> np.ndarray:
-    """Starts of the pattern's matches, as indexes of code points."""
+def starts_of(points: np.ndarray) -> np.ndarray:
+    """Whether one of the pattern's matches starts at each code point."""
     n = len(points)
     if n == 0:
-        return np.empty(0, np.int64)
+        return np.empty(0, bool)
     kinds = classes()[points]
     group = GROUP[kinds]
     start = np.empty(n, bool)
@@ -121,13 +123,13 @@ def boundaries(points: np.ndarray) -> np.ndarray:
         start[np.where(two, cut - 1, cut)] = False
         after = cut + 1
         start[after[after < n]] = True
-    return np.flatnonzero(start)
+    return start
 
 
 class Vocabulary:
     """Ranks of byte strings, with a bounded cache of merged slices."""
 
-    CACHED = 300_000
+    CACHED, GROUP = 600_000, 1 << 20
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -135,13 +137,34 @@ class Vocabulary:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for k, v in self.ranks.items():
             self.tokens[v] = k
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.clear()
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Lowest rank first, leftmost of equal ranks; a heap keeps long slices near linear."""
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.sizes, self.begin = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Lowest rank first, leftmost of equal ranks."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
+        if len(piece) > 64:
+            return self.merge_long(piece)
+        get, none = self.ranks.get, len(self.tokens)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap, which keeps long slices near linear."""
         n = len(piece)
         end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         get = self.ranks.get
@@ -163,35 +186,72 @@ class Vocabulary:
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])
             i = end[i]
-        return tuple(out)
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """(ids, byte starts of slices, ids of each slice)."""
-        raw = text.encode()
-        if len(raw) == len(text):
-            starts = boundaries(np.frombuffer(raw, np.uint8))
+        return out
+
+    def learn(self, pieces: list[bytes]) -> None:
+        merged = [self.merge(p) for p in pieces]
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(merged), np.int32)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, merged), np.int64, len(merged))])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def encode_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, ids of each text, byte starts of all slices in their text, ids of each slice, slices of each text)."""
+        if len(self.index) > self.CACHED or len(self.flat) > 8 * self.CACHED:
+            self.clear()
+        joined = "\n".join(texts)
+        raw = joined.encode()
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(length + 1) - (length + 1)
+        between = (first + length)[:-1]
+        if len(raw) == len(joined):
+            points, at = np.frombuffer(raw, np.uint8), None
         else:
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
             width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
             at = np.cumsum(width) - width
-            starts = at[boundaries(points)]
-        edges = starts.tolist()
-        ends = edges[1:] + [len(raw)]
-        cache, merge = self.cache, self.merge
-        if len(cache) > self.CACHED:
-            cache.clear()
-        ids: list[int] = []
-        sizes = []
-        for s, e in zip(edges, ends):
-            piece = raw[s:e]
-            got = cache.get(piece)
-            if got is None:
-                got = merge(piece)
-                if e - s <= 64:
-                    cache[piece] = got
-            ids += got
-            sizes.append(len(got))
-        return ids, starts, np.array(sizes, np.int64)
+        start = starts_of(points)
+        start[first[first < len(points)]] = True
+        start[between] = True
+        places = np.flatnonzero(start)
+        own = np.ones(len(points), bool)
+        own[between] = False
+        own = own[places]
+        byte = places if at is None else at[places]
+        edges = np.append(byte, len(raw)).tolist()
+        pieces = [raw[s:e] for s, e, ok in zip(edges, edges[1:], own.tolist()) if ok]
+        row = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(row < 0).tolist()
+        if missing:
+            self.learn(list(dict.fromkeys(pieces[i] for i in missing)))
+            row[missing] = [self.index[pieces[i]] for i in missing]
+        n = self.sizes[row]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.begin[row] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        text = np.searchsorted(first, places[own], "right") - 1
+        slices = np.bincount(text, minlength=len(texts))
+        edge = np.append(0, ends)[np.append(0, np.cumsum(slices))]
+        of_text = first if at is None else np.append(at, len(raw))[np.minimum(first, len(points))]
+        return ids, np.diff(edge), byte[own] - of_text[text], n, slices
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, byte starts of slices, ids of each slice) of each text; texts go in groups of about GROUP characters."""
+        s = 0
+        while s < len(texts):
+            e, size = s + 1, len(texts[s])
+            while e < len(texts) and size + len(texts[e]) <= self.GROUP:
+                size += len(texts[e])
+                e += 1
+            ids, n, starts, tokens, slices = self.encode_group(texts[s:e])
+            a, b = np.append(0, np.cumsum(n)).tolist(), np.append(0, np.cumsum(slices)).tolist()
+            for i in range(e - s):
+                yield ids[a[i] : a[i + 1]], starts[b[i] : b[i + 1]], tokens[b[i] : b[i + 1]]
+            s = e
+
+    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(ids, byte starts of slices, ids of each slice)."""
+        ids, starts, tokens = next(self.encode_all([text]))
+        return ids.tolist(), starts, tokens
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -211,8 +271,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path)
         for b in batches:
-            rows = [v.encode(t) for t in b.column(1).to_pylist()]
-            yield table({"doc_id": b.column(0), "n_tokens": [len(r[0]) for r in rows], "ids": [np.array(r[0], np.int32) for r in rows], "slice_starts": [r[1] for r in rows], "slice_tokens": [r[2] for r in rows]}, ENCODED)
+            rows = list(v.encode_all(b.column(1).to_pylist()))
+            yield table({"doc_id": b.column(0), "n_tokens": [len(r[0]) for r in rows], "ids": [r[0] for r in rows], "slice_starts": [r[1] for r in rows], "slice_tokens": [r[2] for r in rows]}, ENCODED)
 
     small_batches(docs.sparkSession)
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, slice_starts array<long>, slice_tokens array<long>")
@@ -232,24 +292,26 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_slices", pa.int64())])
 
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Digests of ids and of the bytes decoded from them, encoded and decoded in one pass."""
-    schema = DIGEST.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else DIGEST
+    """Digests of ids and of the bytes decoded from them, encoded and decoded in one pass.
+
+    with_ids adds the ids, and byte start and number of ids of each slice.
+    """
+    lists = [pa.field("ids", pa.list_(pa.int32())), pa.field("slice_starts", pa.list_(pa.int64())), pa.field("slice_tokens", pa.list_(pa.int64()))]
+    schema = pa.schema([*DIGEST, *lists]) if with_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks_path)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = v.encode(text)[0]
-                flat = np.array(ids, "<i4")
-                row = (doc, len(ids), hashlib.sha256(flat.tobytes()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest())
-                rows.append((*row, flat) if with_ids else row)
+            for doc, (ids, starts, tokens) in zip(b.column(0).to_pylist(), v.encode_all(b.column(1).to_pylist()), strict=True):
+                row = (doc, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(v.decode(ids.tolist())).hexdigest(), len(starts))
+                rows.append((*row, ids, starts, tokens) if with_ids else row)
             yield table(dict(zip(schema.names, zip(*rows), strict=True)) if rows else {n: [] for n in schema.names}, schema)
 
     small_batches(docs.sparkSession)
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long" + ", ids array<int>, slice_starts array<long>, slice_tokens array<long>" * with_ids
     return id_text(docs, id_col, text_col).mapInArrow(run, ddl)
