@@ -74,8 +74,17 @@ def test_probabilities_sum_to_one(spark, make_docs):
     assert 0 < total <= 1 and 0 < first_end < 1 and np.allclose(m.emit.sum(axis=0), 1)
 
 
+def test_rare_words_teach_states(spark, make_docs):
+    """Words beyond the most frequent ones have classes of their own: with top=1 the model still beats the base."""
+    rnd = __import__("random").Random(3)
+    sides = [[f"{a}{i}" for i in range(40)] for a in "xy"]
+    texts = [" ".join(rnd.choice(sides[k % 2]) for _ in range(40)) for k in range(300)]
+    rows = [r for r in hmm.score(make_docs(texts), top=1).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 5 * len(rows)
+
+
 def test_empty_and_untrained(spark, make_docs):
     assert hmm.score(make_docs([])).count() == 0
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     for r in hmm.score(make_docs(["a b", "c", None], ids)).collect():
-        assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0
+        assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0 and abs(r.score) < 1e-9

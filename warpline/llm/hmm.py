@@ -2,16 +2,17 @@
 
 Tokens are words (runs of other than white space, A-Z lower-cased) and one end a text. The base model is
 add-one unigrams over the training tokens. The hidden Markov model has STATES states; each emits the TOP
-most frequent training tokens with probabilities of its own, and all others through one shared class
-whose words divide its mass as the base model does. So every text has an exact likelihood, and what is
-broadcast has a size fixed by STATES and TOP alone.
+most frequent training tokens with probabilities of its own, and every other word, seen or not, through one of RARE
+classes, by its hash; the words of a class divide its mass as the base model does. So every text has an
+exact likelihood, all words of all languages teach the states, and what is broadcast has a size fixed by
+STATES, TOP and RARE alone.
 
 1. Texts are packed in blocks of BLOCK bytes: distinct words once, tokens as numbers of them.
 2. Distinct words of blocks are counted over the corpus by joins; nothing that grows with the corpus is
    broadcast. Each block gets back its words' counts and becomes a row of symbols.
 3. Each Baum-Welch round runs forward and backward on sequences of CUT tokens of all training texts
-   side by side, adds expected counts within each task, and sums them across tasks. Training sequences
-   are cut; scoring is not.
+   side by side, adds expected counts within each task, and sums them across tasks. Every training token is
+   in a sequence, but one step in CUT between tokens counts as a start; scoring cuts nothing.
 4. Scoring runs the scaled forward recursion along each whole text.
 
 Defined cases: null, empty and blank texts are their end alone; ids are hashed as text, and a null id is
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from warpline.llm.common import buffers, materialise, partitions, release, remove, small_batches, table
 
-STATES, TOP, ROUNDS, CUT, BLOCK, LANES = 8, 16_384, 4, 256, 8 << 20, 2048
+STATES, TOP, RARE, ROUNDS, CUT, BLOCK, LANES = 8, 16_384, 4096, 4, 256, 8 << 20, 2048
+TASK_BLOCKS = 8  # blocks whose words one task puts together
 PRIOR, STAY = 100.0, 0.95
 
 
@@ -109,14 +111,17 @@ def block_words(packed: DataFrame) -> DataFrame:
 class Model:
     start: np.ndarray  # states
     move: np.ndarray  # states by states
-    emit: np.ndarray  # symbols by states; the last symbol is the class of all other words
+    emit: np.ndarray  # symbols by states; the classes of all other words come last
 
 
-def first_model(words: list[bytes], base: np.ndarray, rest: float) -> Model:
-    """States start out leaning to words by the hash of their first two bytes, and tend to stay."""
+def first_model(words: list[bytes], base: np.ndarray, rest: np.ndarray | float) -> Model:
+    """States start out leaning to words by the hash of their first two bytes, and to classes in turn, and tend to stay."""
     lean = np.array([xxhash.xxh3_64_intdigest(w[:2]) % STATES for w in words], np.int64)
-    share = np.full((len(words) + 1, STATES), 1.0)
+    share = np.full((len(words) + np.size(rest), STATES), 1.0)
     share[np.arange(len(words)), lean] = 3.0
+    if np.size(rest) > 1:
+        others = np.arange(np.size(rest))
+        share[len(words) + others, others % STATES] = 3.0
     emit = share * np.append(base, rest)[:, None]
     move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1)) + np.eye(STATES) * (STAY - (1 - STAY) / (STATES - 1))
     return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
@@ -187,8 +192,8 @@ CODED = pa.schema([("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()
 CODED_DDL = "docs array<long>, sizes array<int>, held array<boolean>, symbols binary, known array<long>, base array<double>, inside array<double>"
 
 
-def code(packed: DataFrame, columns: DataFrame, total: int, distinct: int, tops: int, rest: float) -> DataFrame:
-    """Blocks with tokens as symbols, and each text's base score and the part of it within the shared class."""
+def code(packed: DataFrame, columns: DataFrame, total: int, distinct: int, tops: int, rest: np.ndarray) -> DataFrame:
+    """Blocks with tokens as symbols, and each text's base score and the part of it within the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -199,7 +204,7 @@ def code(packed: DataFrame, columns: DataFrame, total: int, distinct: int, tops:
                 sizes = np.array(r["sizes"], np.int64)
                 starts = np.cumsum(sizes) - sizes
                 log = np.log10((count + 1) / (total + distinct + 1))
-                within = np.where(symbol == tops, log - np.log10(rest), 0.0)
+                within = np.where(symbol >= tops, log - np.log10(rest[np.maximum(symbol.astype(np.int64) - tops, 0)]), 0.0)
                 add = np.add.reduceat
                 row = {"docs": [r["docs"]], "sizes": [r["sizes"]], "held": [r["held"]], "symbols": [press.compress(symbol[tokens].tobytes())], "known": [add((count > 0)[tokens].astype(np.int64), starts)], "base": [add(log[tokens], starts)], "inside": [add(within[tokens], starts)]}
                 yield table(row, CODED)
@@ -207,7 +212,11 @@ def code(packed: DataFrame, columns: DataFrame, total: int, distinct: int, tops:
     return packed.select("blk", "docs", "sizes", "held", "tokens").join(columns, "blk").mapInArrow(run, CODED_DDL)
 
 
-def _columns(counted: DataFrame, tops: int) -> DataFrame:
+def rare_class(word: Column, classes: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(classes)).cast("int")
+
+
+def _columns(counted: DataFrame, tops: int, classes: int, n_blocks: int) -> DataFrame:
     """blk, c (counts of the block's words in their order), s (their symbols), as binaries."""
     schema = pa.schema([("blk", pa.int64()), ("c", pa.binary()), ("s", pa.binary())])
 
@@ -232,8 +241,9 @@ def _columns(counted: DataFrame, tops: int) -> DataFrame:
         if held:
             yield done()
 
-    rows = counted.select("blk", "local", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("symbol", F.lit(tops)).cast("int").alias("s"))
-    return rows.repartition(partitions(counted.sparkSession), "blk").sortWithinPartitions("blk", "local").select("blk", "c", "s").mapInArrow(run, "blk long, c binary, s binary")
+    rows = counted.select("blk", "local", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("symbol", F.lit(tops) + rare_class(F.col("word"), classes)).cast("int").alias("s"))
+    tasks = max(partitions(counted.sparkSession), -(-n_blocks // TASK_BLOCKS))
+    return rows.repartition(tasks, "blk").sortWithinPartitions("blk", "local").select("blk", "c", "s").mapInArrow(run, "blk long, c binary, s binary")
 
 
 def _round(coded: DataFrame, model: Model) -> list:
@@ -268,12 +278,12 @@ def _round(coded: DataFrame, model: Model) -> list:
     return parts.groupBy("key").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(k)]).toArrow()
 
 
-def train(coded: DataFrame, words: list[bytes], base: np.ndarray, rest: float, rounds: int) -> Model:
+def train(coded: DataFrame, words: list[bytes], base: np.ndarray, rest: np.ndarray, rounds: int) -> Model:
     model = first_model(words, base, rest)
     prior = PRIOR * np.append(base, rest)[:, None]
-    symbols = len(words) + 1
+    symbols = len(words) + len(rest)
     for _ in range(rounds):
-        got = _round(coded, model)  # TOP + STATES + 2 rows at most
+        got = _round(coded, model)  # TOP + RARE + STATES + 1 rows at most
         total = np.zeros((symbols + STATES + 1, STATES))
         total[got["key"].to_numpy()] = np.stack([got[f"v{j}"].to_numpy() for j in range(STATES)], axis=1)
         emit = total[:symbols] + prior
@@ -310,14 +320,18 @@ def score(docs: DataFrame, *, held: Column | None = None, id_col: str = "doc_id"
     best = [(bytes(r["word"]), r["c"]) for r in most_frequent(counts, top)]
     tops = len(best)
     base = np.array([(c + 1) / (total + distinct + 1) for _, c in best])
-    rest = max(1.0 - float(base.sum()), 1e-300)
     spark = docs.sparkSession
     symbols = spark.createDataFrame([(bytearray(w), i) for i, (w, _) in enumerate(best)], "word binary, symbol int")
     known = counts.join(F.broadcast(symbols), "word", "left")  # at most top rows are broadcast
     known = materialise(known)
     remove(counts)
-    release(spark)
-    columns = materialise(_columns(words.select("blk", "local", "word").join(known, "word", "left"), tops))
+    # mass of each class: its words and one unknown word
+    classes = RARE if distinct else 1
+    rest = np.ones(classes)
+    for r in known.filter("symbol is null").groupBy(rare_class(F.col("word"), classes).alias("k")).agg((F.sum("c") + F.count("*")).alias("n")).collect():  # RARE rows at most
+        rest[r["k"]] += r["n"]
+    rest /= total + distinct + 1
+    columns = materialise(_columns(words.select("blk", "local", "word").join(known, "word", "left"), tops, classes, packed.count()))
     remove(known)
     release(spark)
     coded = materialise(code(packed, columns, total, distinct, tops, rest))
