@@ -90,9 +90,10 @@ def brute(url):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("chunk", [3, 20_000])
-def test_rules_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "keys"), [(3, 40), (20_000, 200_000)])
+def test_rules_against_brute_force(spark, monkeypatch, chunk, keys):
     monkeypatch.setattr(urlrules, "CHUNK", chunk)
+    monkeypatch.setattr(urlrules, "KEYS", keys)
     hosts = ["com", "Example.COM", "b.example.com", "a.example.com", "x.a.example.com", "xexample.com", "example.net", "m.example.net", "w.org", "", "Ü.com", "com.net", "zz", "com\u0001x", "a\u0001.net", "x.a\u0001.net", "a.net", "\U0010ffffz.example.com", "b\u0001.example.com", "\u0002.com", "com\u0002\u0004x"]
     urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/7x", "/en/1", "/de/8", "/de/1?a=/en/", "#/en/", "/es/?x://y")] + [None, "", "no", "x://", "://com/en/", "http://com/en/"]
     pages = spark.createDataFrame([(i, u, "h", "k", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, key string, rule string")
@@ -101,3 +102,16 @@ def test_rules_against_brute_force(spark, monkeypatch, chunk):
     assert got == {i: brute(u) for i, u in enumerate(urls)}
     assert urlrules.match(pages.limit(0), rules).count() == 0
     assert {r.rule for r in urlrules.match(pages, rules.limit(0)).collect()} == {None}
+
+
+def test_many_nested_path_rules_of_one_host(spark, monkeypatch):
+    """Runs cut inside a host's nest of rules; repeated pages keep their rows; no event carries more than one rule."""
+    monkeypatch.setattr(urlrules, "CHUNK", 4)
+    rules = [("block" if i % 2 else "allow", "h.com", "/" + "a/" * i) for i in range(12)] + [("block", "h.com", "/a/b"), ("allow", "com", ""), ("block", "x.h.com", "/a/a/")]
+    df = spark.createDataFrame(rules, "verdict string, host string, path string")
+    urls = [f"http://{h}/{'a/' * i}{t}" for h in ("h.com", "x.h.com", "com", "y.com") for i in range(14) for t in ("", "b", "c?/a/")]
+    pages = spark.createDataFrame([(i // 2, u) for i, u in enumerate(urls + urls)], "page_id long, url string")
+    fits = lambda host, path: max(((len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, 0, None, "allow"))[2:]
+    want = sorted((i // 2, *fits(u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0])) for i, u in enumerate(urls + urls))
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urlrules.match(pages, df).collect()) == want
+    assert "array" not in str(urlrules._events(df).schema["top"].dataType).lower()
