@@ -3,32 +3,22 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warpline.session import shared_folder
+
 #: what stands for a null doc_id in keys
 NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor can read and write.
-
-    Where the session names none (tests on one machine), a temporary folder is made and set for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="warpline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/warpline-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which every executor can read and write."""
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
