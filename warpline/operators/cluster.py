@@ -3,7 +3,9 @@
 Clustering works on distinct fingerprints in order of their first place. Adjacent pairs come from an
 inverted index on the rarest features only (prefix filter), with a size filter, and are verified. Leaders
 are the lexicographically first maximal independent set, found in rounds: a fingerprint whose earlier
-neighbours are all covered leads, and its later neighbours are covered.
+neighbours are all covered leads, and its later neighbours are covered. There are as many rounds as the longest
+chain of undecided neighbours in order of arrival: few for a random order, up to the length of a chain
+of fingerprints that each resemble only the one before.
 Published method: Blelloch, Fineman, Shun, SPAA 2012.
 """
 
