@@ -198,18 +198,32 @@ def test_rows_of_one_id_are_judged_apart(make_docs):
     assert simhash.keep_one_similar(make_docs(["b", "b"], [9, 9])).count() == 1
 
 
-def test_spanning_forests_have_no_common_edges():
-    r = np.random.default_rng(2)
+def test_forests_and_settled_links_by_plain_loops():
+    """A forest connects what all candidates connect; settled links what all similar pairs connect, in one shard or two chunks."""
+    r, rnd = np.random.default_rng(2), random.Random(2)
     f = r.integers(0, 2**64, (40, simhash.WIDE), dtype=np.uint64)
     f[:30] = f[0]
     f[:30, 0] ^= np.uint64(1) << np.arange(30, dtype=np.uint64)
-    one = np.ones(40)
-    a, b = simhash.candidate_links(f, one, np.arange(40), np.empty(0, np.int64), 10, 0.8, 1, None)
-    assert len(a) == 29 and len(set(simhash.spanning(np.arange(40), a, b)[1].tolist())) == 11
-    a, b = simhash.candidate_links(f, one, np.arange(40), np.empty(0, np.int64), 10, 0.8, 4, None)
-    assert len(a) == len(set(zip(a.tolist(), b.tolist()))) > 29 * 3
-    a, b = simhash.candidate_links(f, one, np.arange(40), a * 40 + b, 10, 0.8, 1, None)
-    assert len(a) >= 29 - 4
+    sets = [np.array(sorted(rnd.sample(range(13), 11)) if i < 30 else [100 + i], np.int64) for i in range(40)]
+    size, label = np.array([len(x) for x in sets]), np.arange(40)
+
+    def groups(a, b):
+        low = list(range(40))
+        for _ in range(40):
+            for x, y in zip(a, b):
+                low[x] = low[y] = min(low[x], low[y])
+        return low
+
+    for first in (None, 17):
+        parts = list(simhash.candidates(f, size, label, 10, 0.8, first))
+        a, b = (np.concatenate(x) for x in zip(*parts))
+        assert sorted(zip(a.tolist(), b.tolist())) == [(i, j) for i in range(30) for j in range(i + 1, 30) if first is None or i < first <= j]
+        chosen, now = simhash.spanning(label, a, b)
+        assert len(chosen) == 29 and len(set(now.tolist())) == 11
+        near = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])) - 1e-9]
+        x, y = simhash.linked(sets, label, iter(parts), 0.8)
+        assert set(zip(x.tolist(), y.tolist())) <= set(near) and 0 < len(near) < len(a)
+        assert groups(x, y) == groups(*zip(*near)) and len(x) == 40 - len(set(groups(x, y)))
 
 
 def test_near_copies_of_short_empty_and_null(make_docs):

@@ -16,12 +16,12 @@ empty table gives an empty result; extra columns are not read; texts are read wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warpline.llm.common import buffers, id_text, materialise, partitions, remove, small_batches, table
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, radius: int = 4, id_co
 #: words of a wide fingerprint; members a shard should have; recall of the shards for a pair at the similarity
 #: wanted; standard deviations that the radius leaves room for
 WIDE, ROOM, RECALL, DEVIATIONS = 4, 256, 0.995, 3.0
+HEAVY = 1 << 21  # shingles of a chunk whose members bring their sets
 
 
 def radius_of(similarity: float, words: int = WIDE) -> int:
@@ -305,90 +306,43 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return (np.concatenate(taken) if taken else np.empty(0, np.int64)), label
 
 
-def candidate_links(fps: np.ndarray, size: np.ndarray, label: np.ndarray, refused: np.ndarray, radius: int, similarity: float, times: int, first: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a shard's members within the radius that have different labels and are not refused.
+def candidates(fps: np.ndarray, size: np.ndarray, label: np.ndarray, radius: int, similarity: float, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of a shard's members within the radius that have different labels, in parts.
 
-    Returned are `times` forests without common edges that each connect what such pairs connect. Pairs whose
-    set sizes rule the similarity out are none. With `first`, only pairs between the first so many members and
-    the others count. refused holds codes a * len(fps) + b with a < b.
+    Pairs whose set sizes rule the similarity out are none. With `first`, only pairs between the first so many
+    members and the others count.
     """
     m = len(fps)
     tree = BKTree(fps[:first])
-    now, a, b = label.copy(), np.empty(0, np.int64), np.empty(0, np.int64)
     for s in range(first or 0, m, 512):
         q, node = tree.search(fps[s : s + 512], radius)
         x, y = np.minimum(q + s, node), np.maximum(q + s, node)
         ok = (label[x] != label[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
-        x, y = x[ok], y[ok]
-        if len(refused):
-            ok = ~np.isin(x * m + y, refused)
-            x, y = x[ok], y[ok]
-        code = np.unique(x * m + y)
-        if times == 1:  # what a part connects need not be connected again
-            code = code[now[code // m] != now[code % m]]
-            chosen, now = spanning(now, code // m, code % m)
-            code = code[chosen]
-        a, b = np.concatenate([a, code // m]), np.concatenate([b, code % m])
-    if times == 1:
-        return a, b
-    left, out = np.ones(len(a), bool), []
-    for _ in range(times):
-        at = np.flatnonzero(left)
-        chosen = at[spanning(label, a[at], b[at])[0]]
-        if not len(chosen):
-            break
-        left[chosen] = False
-        out.append(chosen)
-    chosen = np.concatenate(out) if out else np.empty(0, np.int64)
-    return a[chosen], b[chosen]
-
-
-def similar_links(classes: DataFrame, similarity: float, *, keys: DataFrame | None = None, times: int = 1) -> DataFrame:
-    """Candidate links (key, a, b) between ids of classes (id, f0...) whose fingerprints lie within the radius.
-
-    Shards are equal sampled bits. A shard of more than 4 * SHARD members is dealt in chunks, and each
-    chunk meets each other one, with all members, in a task of its own: no link of a shard is lost.
-    Optional columns of classes: n, the size of the set; label, what is connected already; refused, ids that are no
-    partners. keys: only these shards.
-    """
-    spark = classes.sparkSession
-    radius, places = radius_of(similarity), tables_for(classes.count() if keys is None else keys.first()["rows"], similarity)
-    out_schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+        code = np.unique(x[ok] * m + y[ok])
+        yield code // m, code % m
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.stack([np.asarray(b.column(1 + i)) for i in range(WIDE)], axis=1)
-            on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-            for t, where in enumerate(places):
-                key = on[:, where].astype(np.int64) @ (1 << np.arange(len(where), dtype=np.int64)) | t << 32
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", *b.schema.names])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_shards(rows: DataFrame, work: Callable[[int, dict[str, np.ndarray], int | None], dict], schema: pa.Schema, ddl: str, weight: Column | None = None) -> DataFrame:
+    """work(key, columns, first) for the members of each shard of rows (key, id, n, label, f0, ...).
+
+    A shard of more than 4 * SHARD members, or of a weight beyond HEAVY, is dealt in chunks, and each chunk meets
+    each other one, with all members, in a task of its own: no pair of a shard is lost. first is the size
+    of the first of two chunks; None: one chunk, all pairs.
+    """
+    names = [c for c in rows.columns if c != "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
 
         def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
+            t, first = pa.Table.from_batches(held), None
             own = t["own"].to_numpy()
-            order, first = np.arange(len(own)), None
-            if now[1] != now[2]:  # two chunks: those inside each are linked in another task
+            if now[1] != now[2]:  # two chunks: pairs inside each are another task's
                 order = np.argsort(own, kind="stable")
-                first = int((own == now[1]).sum())
-            ids, size, name = (t[c].to_numpy()[order] for c in ("id", "n", "label"))
-            fp = np.stack([t[c].to_numpy()[order] for c in COLUMNS], axis=1).view(np.uint64)
-            refused = np.empty(0, np.int64)
-            lists = t["refused"].combine_chunks().take(pa.array(order))
-            no = lists.flatten().to_numpy()
-            if len(no):
-                who = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-                by = np.argsort(ids)
-                at = np.minimum(np.searchsorted(ids[by], no), len(ids) - 1)
-                here = ids[by][at] == no
-                x, y = who[here], by[at[here]]
-                refused = np.minimum(x, y) * len(ids) + np.maximum(x, y)
-            label = np.unique(name, return_inverse=True)[1]
-            a, b = candidate_links(np.ascontiguousarray(fp), size, label, refused, radius, similarity, times, first)
-            return table({"key": np.full(len(a), now[0]), "a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}, out_schema)
+                t, first = t.take(pa.array(order)), int((own == now[1]).sum())
+            cols = {c: t[c].combine_chunks() if pa.types.is_list(t[c].type) else t[c].to_numpy() for c in names}
+            return table(work(now[0], cols, first), schema)
 
         for b in batches:
             key, low, high = (np.asarray(b.column(i)) for i in range(3))
@@ -404,18 +358,118 @@ def similar_links(classes: DataFrame, similarity: float, *, keys: DataFrame | No
         if held:
             yield done()
 
-    has = lambda name, other: F.col(name) if name in classes.columns else other
-    own = classes.select("id", *COLUMNS, has("n", F.lit(1)).cast("long").alias("n"), has("label", F.col("id")).alias("label"), F.coalesce(has("refused", F.lit(None).cast("array<long>")), F.array().cast("array<long>")).alias("refused"))
-    ddl = f"id long, {PRINT_DDL}, n long, label long, refused array<long>"
-    rows = own.mapInArrow(deal, f"key long, {ddl}")  # dealt twice rather than stored
-    if keys is not None:
-        rows = rows.join(keys.select("key"), "key", "left_semi")
-    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
-    dealt = rows.join(sizes, "key").withColumn("chunks", F.ceil(F.col("m") / (4 * SHARD))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.lit(0) if weight is None else weight).alias("w")).filter("m > 1"))
+    chunks = F.ceil(F.greatest(F.col("m") / (4 * SHARD), F.col("w") / HEAVY))
+    dealt = rows.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    pairs = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", *COLUMNS, "n", "label", "refused")
+    pairs = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *names)
     by = ["key", "low", "high"]
-    return materialise(pairs.repartition(partitions(spark), *by).sortWithinPartitions(*by, "id").mapInArrow(search, "key long, a long, b long"))
+    return materialise(pairs.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "id").mapInArrow(run, ddl))
+
+
+def dealt(classes: DataFrame, places: list[np.ndarray]) -> DataFrame:
+    """classes (id, n, label, f0, ...) with the key of each table's shard: a row a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([np.asarray(b.column(3 + i)) for i in range(WIDE)], axis=1)
+            on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+            for t, where in enumerate(places):
+                key = on[:, where].astype(np.int64) @ (1 << np.arange(len(where), dtype=np.int64)) | t << 32
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", *b.schema.names])
+
+    has = lambda name, other: F.col(name) if name in classes.columns else other
+    own = classes.select("id", has("n", F.lit(1)).cast("long").alias("n"), has("label", F.col("id")).alias("label"), *COLUMNS)
+    return own.mapInArrow(run, f"key long, id long, n long, label long, {PRINT_DDL}")
+
+
+def _members(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, labels numbered from 0) of a shard."""
+    return np.stack([cols[c] for c in COLUMNS], axis=1).view(np.uint64), np.unique(cols["label"], return_inverse=True)[1]
+
+
+LINKS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def similar_links(classes: DataFrame, similarity: float, places: list[np.ndarray] | None = None) -> DataFrame:
+    """(key, a, b): in each shard a spanning forest of candidate links between ids of classes (id, f0, ...)."""
+    radius = radius_of(similarity)
+
+    def work(key: int, cols: dict[str, np.ndarray], first: int | None) -> dict:
+        fps, now = _members(cols)
+        label, found = now, []
+        for a, b in candidates(fps, cols["n"], label, radius, similarity, first):
+            open_ = now[a] != now[b]  # what a part connects need not be connected again
+            a, b = a[open_], b[open_]
+            chosen, now = spanning(now, a, b)
+            found.append((a[chosen], b[chosen]))
+        a, b = (cols["id"][np.concatenate(x)] if found else np.empty(0, np.int64) for x in (list(zip(*found)) or [[], []]))
+        return {"key": np.full(len(a), key), "a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    return in_shards(dealt(classes, tables_for(classes.count(), similarity) if places is None else places), work, LINKS, "key long, a long, b long")
+
+
+def open_members(classes: DataFrame, keys: DataFrame, similarity: float, places: list[np.ndarray]) -> DataFrame:
+    """(key, id): members of the shards in keys that are within the radius of one with another label."""
+    radius, schema = radius_of(similarity), pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+    def work(key: int, cols: dict[str, np.ndarray], first: int | None) -> dict:
+        fps, label = _members(cols)
+        found = [np.unique(np.concatenate(ab)) for ab in candidates(fps, cols["n"], label, radius, similarity, first)]
+        ids = cols["id"][np.unique(np.concatenate(found))] if found else np.empty(0, np.int64)
+        return {"key": np.full(len(ids), key), "id": ids}
+
+    rows = dealt(classes, places).join(keys, "key", "left_semi")
+    return in_shards(rows, work, schema, "key long, id long").distinct()
+
+
+def linked(sets: list[np.ndarray], label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sets those that have the similarity and connect what was not connected before."""
+    label, size = label.copy(), np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    out: list[tuple[int, int]] = []
+    for a, b in pairs:
+        edge = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+        for s, e in zip(edge, edge[1:]):
+            if s == e:
+                continue
+            q = int(a[s])
+            others = b[s:e]
+            others = others[(label[others] != label[q]) & (size[others] > 0)]
+            if not len(others) or not size[q]:
+                continue
+            mine = flat[start[q] : start[q] + size[q]]
+            mark[mine] = True
+            n = size[others]
+            ends = np.cumsum(n)
+            at = np.repeat(start[others] - (ends - n), n) + np.arange(int(ends[-1]))
+            both = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - n)
+            mark[mine] = False
+            for o in others[both >= similarity * (size[q] + n - both) - 1e-9].tolist():
+                if label[o] != label[q]:
+                    out.append((q, o))
+                    label[label == label[o]] = label[q]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def settled_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(key, a, b): links between members (key, id, n, label, f0, ..., hashes) of a shard, verified on the sets of
+    hashes there and then: all candidates are looked at, and those that connect anything new are passed on."""
+    radius = radius_of(similarity)
+
+    def work(key: int, cols: dict[str, np.ndarray], first: int | None) -> dict:
+        fps, label = _members(cols)
+        lists = cols["hashes"]
+        flat, off = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        sets = [flat[s:e] for s, e in zip(off, off[1:])]
+        a, b = linked(sets, label, candidates(fps, cols["n"], label, radius, similarity, first), similarity)
+        a, b = cols["id"][a], cols["id"][b]
+        return {"key": np.full(len(a), key), "a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    return in_shards(members, work, LINKS, "key long, a long, b long", weight=F.col("n"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -442,35 +496,35 @@ def similar_classes(docs: DataFrame, classes: DataFrame, *, shingle: int, simila
     """(node, component) of classes (id, n, rep of doc_id and th, f0...) under verified links.
 
     Shards first name links that would connect their members as all candidates do; these are verified on
-    whole texts. Only a shard with a refused link can hold more: it is searched again, without what is
-    refused, for four times as many forests as before, until none is left. So every candidate either is
-    verified or lies within one component, and no group of copies is expanded to pairs.
+    whole texts. Only a shard with a refused link can hold more: its members that still have a candidate with
+    another label bring their sets of shingles there, and all their candidates are verified in the shard,
+    which passes on no more than what connects them. So every candidate either is verified or lies within
+    one component, and neither copies nor candidates are expanded to rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     reps = classes.select("id", "rep.doc_id", "rep.th")
-    good = bad = keys = None
-    now, times, rows = classes, 1, classes.count()
-    while True:
-        pairs = similar_links(now, similarity, keys=keys, times=times)
-        new = materialise(pairs.select("a", "b").distinct())
-        if new.isEmpty():
-            break
-        wanted = new.select(F.col("a").alias("id")).union(new.select("b")).distinct()
-        texts = materialise(own.join(reps.join(wanted, "id"), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"]))
-        checked = materialise(verified(new, texts, shingle, similarity))
-        remove(new, texts)
-        good = checked.filter("ok") if good is None else good.unionByName(checked.filter("ok"))
-        refused = checked.filter("not ok").select("a", "b")
-        if refused.isEmpty():
-            break
-        keys = materialise(pairs.join(refused, ["a", "b"], "left_semi").select("key", F.lit(rows).alias("rows")).distinct())
-        bad = refused if bad is None else bad.unionByName(refused)
-        no = bad.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("refused"))
-        labels = components(good.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("label"))
-        now = materialise(classes.join(labels, "id", "left").join(no, "id", "left").withColumn("label", F.coalesce("label", "id")))
-        times *= 4
-    none = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return components(none if good is None else good.select("a", "b"))
+    texts_of = lambda ids: own.join(reps.join(ids, "id"), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"])
+    places = tables_for(classes.count(), similarity)
+    pairs = similar_links(classes, similarity, places)
+    new = materialise(pairs.select("a", "b").distinct())
+    texts = materialise(texts_of(new.select(F.col("a").alias("id")).union(new.select("b")).distinct()))
+    checked = materialise(verified(new, texts, shingle, similarity))
+    remove(new, texts)
+    good, refused = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+    if refused.isEmpty():
+        return components(good)
+    keys = materialise(pairs.join(refused, ["a", "b"], "left_semi").select("key").distinct())
+    labels = components(good).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    now = materialise(classes.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"), *COLUMNS))
+    members = materialise(open_members(now, keys, similarity, places))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield table({"id": b.column(0), "hashes": [shingle_hashes(t.encode(), shingle).view(np.int64) for t in b.column(1).to_pylist()]}, pa.schema([("id", pa.int64()), ("hashes", pa.list_(pa.int64()))]))
+
+    sets = materialise(texts_of(members.select("id").distinct()).mapInArrow(hashed, "id long, hashes array<long>"))
+    more = settled_links(members.join(now, "id").join(sets, "id").select("key", "id", "n", "label", *COLUMNS, "hashes"), similarity)
+    return components(good.unionByName(more.select("a", "b")))
 
 
 def keep_one_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
