@@ -1,11 +1,14 @@
 import http.server
 import json
+import os
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
-from warpline.operators import ingest
+from warpline.operators import ingest, ordering
 from warpline.plans import fixtures
+from warpline.session import checkpoint_folder, children
 from warpline.sources import feeds, queue
 from warpline.streaming import ingest as stream
 
@@ -97,25 +100,125 @@ def test_stream_equals_batch(spark, tmp_path):
     messages = fixtures.ioc(spark, SF)
     half = F.col("seq") % 20_000 == 0
     for part in (messages.filter(half), messages.filter(~half)):
-        queue.push(part.coalesce(1), q)
+        queue.push(part, q, order="seq")
         stream.start(spark, q, base).awaitTermination()
+    # the order of arrival: the first push before the second, and seq within each
+    messages = messages.withColumn("seq", F.when(half, F.col("seq")).otherwise(F.col("seq") + 10**15))
     rows = ingest.judged(messages)
     key = lambda df, *c: sorted(map(str, df.select(*c).collect()))
     for name, want, cols in (
         ("raw", ingest.raw(messages), ("value", "type", "source", "confidence")),
         ("rejected", ingest.rejected(rows), ("value", "type", "source", "reason")),
-        ("indicators", ingest.indicators(rows), ("value", "type")),
+        ("indicators", ingest.indicators(rows), ("value", "type", "source", "confidence")),
         ("metadata", ingest.sightings(rows, ingest.indicators(rows)), ("source", "confidence")),
         ("timeline", ingest.discovered(messages), ("event_type", "event_value", "source")),
     ):
         assert key(stream.table(spark, base, name), *cols) == key(want, *cols), name
-    ids = stream.table(spark, base, "indicators").select("id")
+    in_order = lambda df, by, *c: [tuple(r) for r in df.orderBy(by).select(*c).collect()]
+    own, want = stream.table(spark, base, "indicators"), ingest.indicators(rows)
+    assert in_order(own, "id", "value", "type", "source", "confidence") == in_order(want, "id", "value", "type", "source", "confidence")
+    assert in_order(stream.table(spark, base, "raw"), "seq", "value", "source") == in_order(messages, "seq", "value", "source")
+    first = lambda sights, known: in_order(sights.join(known.select(F.col("id").alias("indicator_id"), "value", "type"), "indicator_id"), "seq", "value", "type", sights["source"])
+    assert first(stream.table(spark, base, "metadata"), own) == first(ingest.sightings(rows, want), want)
+    ids = own.select("id")
     assert ids.count() == ids.distinct().count()
-    before = stream.table(spark, base, "indicators").count()
+    before = own.count()
     stream.apply_batch(queue.parse(spark.read.text(q)), 1, base)  # a batch that runs again replaces its part
     assert stream.table(spark, base, "indicators").count() == before
 
 
+def test_first_in_first_out_over_files_of_any_size(spark, tmp_path):
+    """One batch reads a small file and a larger one that came later: the first sighting still wins."""
+    q, base = str(tmp_path / "q"), str(tmp_path / "out")
+    queue.push(spark.createDataFrame([("8.8.8.8", "ip", "first", 10)], queue.MESSAGE), q)
+    queue.push(spark.createDataFrame([(f"9.9.{i // 250}.{i % 250}", "ip", "x", 1) for i in range(3000)] + [("8.8.8.8", "ip", "second", 20)], queue.MESSAGE), q)
+    stream.start(spark, q, base).awaitTermination()
+    got = stream.table(spark, base, "indicators").orderBy("id").collect()
+    assert (got[0].value, got[0].source, got[0].confidence, got[0].id) == ("8.8.8.8", "first", 10, 0)
+    sights = stream.table(spark, base, "metadata").filter("indicator_id = 0").orderBy("seq").collect()
+    assert [(r.source, r.confidence) for r in sights] == [("first", 10), ("second", 20)] and sights[1].seq == 3001
+
+
+def test_foreign_records_come_in_order_of_their_files(spark, tmp_path):
+    q = tmp_path / "q"
+    q.mkdir()
+    for i, name in enumerate(("z.txt", "a.txt", "m.txt")):
+        (q / name).write_text("".join(json.dumps({"value": f"{name}{k}", "type": "md5"}) + "\n" for k in range(50)))
+        os.utime(q / name, (1000 + i, 1000 + i))
+    rows = queue.in_order(queue.pop_all(spark, str(q))).orderBy("seq").collect()
+    assert [r.value for r in rows] == [f"{n}.txt{k}" for n in "zam" for k in range(50)]
+    assert [r.seq for r in rows] == list(range(150)) and all(r["keys"] == ["value", "type"] for r in rows)
+
+
+def test_numbers_are_unique_over_many_partitions_and_batches(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 1500).select((3000 - F.col("id")).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1500")
+    try:
+        got = ordering.numbered(rows, "k", first=7)
+        assert got.agg(F.min("seq"), F.max("seq"), F.count_distinct("seq"), F.count_if(F.col("seq") != F.col("k") + 6)).first() == (7, 3006, 3000, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    base = str(tmp_path / "out")
+    one = spark.createDataFrame([("8.8.8.8", "ip", "s", 5, "{}", ["source", "confidence"])], "value string, type string, source string, confidence int, raw_payload string, keys array<string>")
+    for batch in (2**21 - 1, 2**21, 2**27 - 1):
+        stream.guarded_batch(one, batch, base)
+    assert stream.table(spark, base, "indicators").first().id == (2**21 - 1) << 36
+    assert [r.seq for r in stream.table(spark, base, "metadata").orderBy("seq").collect()] == [b << 36 for b in (2**21 - 1, 2**21, 2**27 - 1)]
+    assert stream.table(spark, base, "quarantine").count() == 0
+    with pytest.raises(OverflowError):
+        ordering.batch_first(2**27)
+    assert ordering.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_one_bad_message_of_a_thousand(spark, tmp_path, monkeypatch):
+    """The batch is halved until the bad message alone is set aside; the quarantine goes through again once the fault is gone."""
+    q, base = str(tmp_path / "q"), str(tmp_path / "out")
+    real = ingest.judged
+    broken = lambda m: real(m).withColumn("reason", F.when(F.col("value") == "v617.com", F.raise_error(F.lit("bad message")).cast("string")).otherwise(F.col("reason")))
+    monkeypatch.setattr(ingest, "judged", broken)
+    queue.push(spark.createDataFrame([(f"v{i}.com", "domain", "s", 5) for i in range(1000)], queue.MESSAGE), q)
+    stream.start(spark, q, base).awaitTermination()
+    assert [r.value for r in stream.table(spark, base, "quarantine").collect()] == ["v617.com"]
+    assert "bad message" in stream.table(spark, base, "quarantine").first().error
+    for name in ("raw", "timeline", "indicators", "metadata"):
+        assert stream.table(spark, base, name).count() == 999
+    monkeypatch.setattr(ingest, "judged", real)
+    assert stream.redrive(spark, base, q) == 1
+    stream.start(spark, q, base).awaitTermination()
+    for name in ("raw", "timeline", "indicators", "metadata"):
+        assert stream.table(spark, base, name).count() == 1000
+    assert stream.table(spark, base, "quarantine").count() == stream.redrive(spark, base, q) == 0
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    base = str(tmp_path / "out")
+    messages = lambda *v: spark.createDataFrame([(x, "md5", "s", i, "{}", ["source", "confidence"]) for i, x in enumerate(v)], "value string, type string, source string, confidence int, raw_payload string, keys array<string>")
+    for batch in range(12):
+        stream.apply_batch(messages(*[f"b{batch}v{i}" for i in range(20)], "always"), batch, base)
+    own = messages("always", "b3v7").select(stream.bucket().alias("b")).distinct()
+    buckets = [r.b for r in own.collect()]
+    files = stream.known(spark, base, buckets, 12).inputFiles()
+    assert len(buckets) == 2 and {f.split("bucket=")[1].split("/")[0] for f in files} == set(map(str, buckets))
+    assert len(files) < 12 < len(stream.table(spark, base, "indicators").inputFiles())
+    everything = lambda: sorted((r.id, r.value) for r in stream.table(spark, base, "indicators").collect())
+    before = everything()
+    assert len(before) == 241 and stream.compact(spark, base, before=12, parts=1) > 0
+    assert everything() == before
+    stream.apply_batch(messages("always", "new"), 12, base)
+    assert len(everything()) == 242 and stream.table(spark, base, "metadata").filter(F.col("indicator_id") == dict((v, i) for i, v in before)["always"]).count() == 13
+
+
+def test_shared_folder_does_not_grow(spark, tmp_path):
+    folder = checkpoint_folder(spark)
+    queue.push(spark.createDataFrame([("a.com", "domain", "s", 5)], queue.MESSAGE), str(tmp_path / "q"))
+    stream.start(spark, str(tmp_path / "q"), str(tmp_path / "out")).awaitTermination()
+    before = children(spark, folder)
+    for i in range(3):
+        queue.push(spark.createDataFrame([(f"{i}.com", "domain", "s", 5)], queue.MESSAGE), str(tmp_path / "q"))
+        stream.start(spark, str(tmp_path / "q"), str(tmp_path / "out")).awaitTermination()
+    assert children(spark, folder) == before
+
+
 def test_guarded_consumer(spark, tmp_path):
     q, base = str(tmp_path / "q"), str(tmp_path / "out")
     queue.push(spark.createDataFrame([('{"data": 1}', "md5", "s", 5), ("ok", "md5", "s", 5)], queue.MESSAGE), q)

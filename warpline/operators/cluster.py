@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warpline.functions import columns as C
-from warpline.operators.graph import checkpointed
+from warpline.session import checkpointed
 
 
 def fingerprint(enriched: DataFrame, *keep: str) -> DataFrame:

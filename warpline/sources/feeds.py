@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from warpline.functions.columns import strip
-from warpline.operators.graph import checkpointed
+from warpline.session import checkpointed
 
 LOG = logging.getLogger(__name__)
 
