@@ -26,6 +26,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,6 +43,7 @@ from warpline.llm.common import id_text, small_batches, table
 
 PART = 1 << 20  # characters that an encoder gets at once
 EDGE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+ROWS = 100  # alignments that are taken apart at once
 
 
 @functools.cache
@@ -100,7 +102,7 @@ class Transducer:
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.read = (b, a)
-        self.closed: dict = {}
+        self.closed: dict = {-1: 0}
         self.states: dict[tuple[int, bytes], dict] = {}
         self.suffix: dict[int, bytes] = {}
         self.lead = [self.state(0, t) if t else None for t in a]
@@ -131,20 +133,24 @@ class Transducer:
         lead, closed, learn = self.lead, self.closed, self.learn
         i = j = 0
         ends_a, ends_b, n = [], [], len(a)
+        add_a, add_b = ends_a.append, ends_b.append
         while i < n:
-            state = lead[a[i]]
+            state = lead[a[i]]  # B reads next
             i += 1
-            while state is not closed:
-                if state[-1]:
+            while True:
+                t = b[j]
+                j += 1
+                state = state.get(t) or learn(state, t)
+                if state is closed:
+                    break
+                while state[-1]:  # A reads until it leads or a group closes
                     t = a[i]
                     i += 1
-                else:
-                    t = b[j]
-                    j += 1
-                to = state.get(t)
-                state = learn(state, t) if to is None else to
-            ends_a.append(i)
-            ends_b.append(j)
+                    state = state.get(t) or learn(state, t)
+                if state is closed:
+                    break
+            add_a(i)
+            add_b(j)
         return ends_a, ends_b
 
 
@@ -185,10 +191,9 @@ PACKED = pa.schema([("doc_id", pa.int64()), ("a_ids", pa.binary()), ("a_last", p
 
 
 def _bits(ends: list[int], n: int) -> bytes:
-    last = np.zeros(n, bool)
-    if ends:
-        last[np.array(ends) - 1] = True
-    return np.packbits(last).tobytes()
+    last = np.zeros(n + 1, np.uint8)
+    last[np.frombuffer(array("q", ends), np.int64)] = 1
+    return np.packbits(last[1:]).tobytes()
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +206,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             out["doc_id"] = batch.column(0)
             for text in batch.column(1):
                 a, b, ea, eb = x.align(text.as_py())
-                out["a_ids"].append(np.array(a, "<u4").tobytes())
-                out["b_ids"].append(np.array(b, "<u4").tobytes())
+                out["a_ids"].append(np.frombuffer(array("i", a), np.int32).astype("<u4").tobytes())
+                out["b_ids"].append(np.frombuffer(array("i", b), np.int32).astype("<u4").tobytes())
                 out["a_last"].append(_bits(ea, len(a)))
                 out["b_last"].append(_bits(eb, len(b)))
             yield table(out, PACKED)
@@ -226,6 +231,10 @@ def _side(ids: pa.Array, last: pa.Array) -> Side:
     return Side(np.frombuffer(b"".join(rows), "<u4").astype(np.int64), np.concatenate(flags).astype(bool) if flags else np.empty(0, bool), n)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS))
+
+
 def _sides(b: pa.RecordBatch) -> tuple[Side, Side]:
     col = lambda name: b.column(b.schema.get_field_index(name))
     return _side(col("a_ids"), col("a_last")), _side(col("b_ids"), col("b_last"))
@@ -243,7 +252,7 @@ def groups(aligned: DataFrame) -> DataFrame:
     """One row a group: doc_id, its number in the document from 0, and its ids on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             a, b = _sides(batch)
             off = np.append(0, np.cumsum(a.n))
             doc = np.searchsorted(off, np.flatnonzero(a.last), "right") - 1
@@ -266,7 +275,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             k, m = np.unique(_pairs(*_sides(batch)), return_counts=True)
             both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n, m]), len(both)).astype(np.int64)
@@ -312,7 +321,7 @@ def digest(aligned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, count, best = known.value
-        for batch in batches:
+        for batch in _slices(batches):
             a, b = _sides(batch)
             at = np.searchsorted(keys, _pairs(a, b))
             off_a, rows = np.append(0, np.cumsum(a.n)), len(a.n)
