@@ -58,6 +58,47 @@ def test_bounded_reach(spark):
     assert graph.candidates(graph.clusters(df)).filter("size < 2").count() == 0
 
 
+def balls(rows, hops):
+    """Distinct sorted value sets by breadth-first search."""
+    near = {}
+    for a, b, _, c, d in rows:
+        if (a, b) != (c, d):
+            near.setdefault((a, b), set()).add((c, d))
+            near.setdefault((c, d), set()).add((a, b))
+    out = set()
+    for start in (n for n in near if n[0] in graph.TYPED):
+        seen, frontier = {start}, {start}
+        for _ in range(hops):
+            frontier = {m for n in frontier for m in near[n]} - seen
+            seen |= frontier
+        out.add(tuple(sorted({v for lab, v in seen if lab in graph.TYPED})))
+    return {c for c in out if len(c) > 1}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_against_a_search(spark, seed):
+    """Random graphs with hubs, twins, pendants, self-loops, and values under two labels."""
+    rnd = random.Random(seed)
+    labels = ["URL", "Domain", "IP", "Indicator", "ASN", "Nameserver"]
+    node = lambda: (rnd.choice(labels), f"v{rnd.randint(0, 25)}")
+    rows = [(*node(), "R", *node()) for _ in range(30)]
+    rows += [("URL", f"twin{i}", "HOSTS", "Domain", "v1") for i in range(20)] + [("Indicator", f"p{i}", "INDICATES", "URL", f"twin{i}") for i in range(20)]
+    rows += [("Domain", f"far{i}", "R", "Domain", f"far{i + 1}") for i in range(9)] + [("URL", "alone", "R", "URL", "alone")]
+    for hops in (1, 2, 4):
+        got = [tuple(r.cluster) for r in graph.clusters(spark.createDataFrame(rows, schemas.EDGES), hops).collect()]
+        assert len(got) == len(set(got)) and set(got) == balls(rows, hops)
+
+
+def test_clusters_around_hubs(spark):
+    """5,000 leaves of two hubs: as twins they stand once, and with a neighbour of their own each they still make no pairs."""
+    rows = spark.range(5000).select(F.lit("URL").alias("src_label"), F.concat(F.lit("u"), "id").alias("src_value"), F.lit("R").alias("rel"), F.lit("Domain").alias("dst_label"), F.concat(F.lit("d"), (F.col("id") % 2).cast("string")).alias("dst_value"))
+    sizes = lambda df, hops: sorted(r.n for r in graph.clusters(df, hops).select(F.size("cluster").alias("n")).collect())
+    assert sizes(rows, 4) == [2501, 2501]
+    own = rows.withColumns({"rel": F.lit("S"), "dst_label": F.lit("IP"), "dst_value": F.concat(F.lit("ip"), "src_value")}).unionByName(rows)
+    assert sizes(own, 4) == [5001, 5001]
+    assert graph.clusters(rows.limit(0)).count() == 0
+
+
 def sequential(items):
     """Greedy leader clustering as a plain loop: (pos, value, features) in order."""
     close = lambda a, b: bool(a) and bool(b) and len(a & b) / len(a | b) >= 0.75
@@ -87,6 +128,46 @@ def test_leader_clusters_against_a_loop(spark, seed):
     assert {k: sorted(v) for k, v in got.items()} == sequential(items)
 
 
+def test_ten_appends_equal_one_run(spark, tmp_path):
+    rnd = random.Random(0)
+    items = [(i, f"v{i}", sorted(rnd.sample("abcdefgh" if i < 30 else "abcdefghxyz", rnd.randint(0, 7)))) for i in range(80)]
+    df = spark.createDataFrame(items, "pos long, value string, fp array<string>")
+    key = lambda rows: sorted((r.leader, r.member_pos, r.member) for r in rows.collect())
+    grown = cluster.Leaders(spark, str(tmp_path / "l"))
+    cuts = [0, 1, 9, 15, 30, 31, 44, 50, 62, 70, 80]
+    for run, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        grown.append(df.filter(F.col("pos").between(a, b - 1)), run)
+    want = key(cluster.clusters(df))
+    assert key(grown.members()) == want != []
+    grown.append(df.filter(F.col("pos") >= 70), 9)  # the last append once more
+    grown.append(df, 10)  # nothing new
+    assert key(grown.members()) == want
+    with pytest.raises(ValueError):
+        grown.append(spark.createDataFrame([(5, "early", ["a"])], df.schema), 11)
+    with pytest.raises(ValueError):
+        grown.append(spark.createDataFrame([(90, "v3", ["q"])], df.schema), 11)
+    grown.rebuild(df, 12)
+    assert key(grown.members()) == want
+
+
+def test_an_append_reads_no_old_fingerprints(spark, tmp_path):
+    """Buckets of the new features are all that is read of the index, and the second run makes pairs of new rows only."""
+    grown = cluster.Leaders(spark, str(tmp_path / "l"))
+    fp = lambda i: [f"f{i}{k}" for k in "abcd"]
+    rows = lambda r: spark.createDataFrame([(i, f"v{i}", fp(i % 100)) for i in r], "pos long, value string, fp array<string>")
+    grown.append(rows(range(100)), 0)
+    read = []
+    real = grown._read
+    grown._read = lambda name, *a: read.append((name, a, real(name, *a))) or read[-1][2]
+    grown.append(rows(range(100, 102)), 1)
+    own = [(a, df) for name, a, df in read if name == "index"]
+    buckets = set(own[0][0][1])
+    assert len(own) == 1 and len(buckets) <= 4  # two fingerprints, two features each
+    assert {f.split("bucket=")[1].split("/")[0] for f in own[0][1].inputFiles()} <= set(map(str, buckets))
+    assert "members" not in [name for name, _, _ in read]
+    assert sorted(r.member for r in grown.members().collect()) == ["v0", "v1", "v100", "v101"]
+
+
 def test_leader_order_matters(spark):
     a, b, c = ["a", "n1", "n2", "r"], ["a", "h1", "n1", "n2", "r"], ["a", "h2", "n1", "n2", "r"]
     make = lambda fps: spark.createDataFrame([(i, x, f) for i, (x, f) in enumerate(fps)], "pos long, value string, fp array<string>")

@@ -82,3 +82,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{base}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_table(spark: SparkSession) -> str:
+    """A new folder for a table that grows by appends: in the open scratch folder, or below checkpoint_folder()."""
+    base = _SCRATCH.get()
+    return f"{base}/{uuid.uuid4().hex}" if base else shared_folder(spark)
