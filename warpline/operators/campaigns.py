@@ -42,6 +42,15 @@ def materialised(scored_: DataFrame) -> DataFrame:
     return scored_.select("campaign_id", "confidence", "strength", F.col("size").alias("indicator_count"))
 
 
+def with_infrastructure(found: DataFrame, features: DataFrame) -> DataFrame:
+    """Clusters with registrar and asn: what most members have, of equals the smaller; features are (member, fp)."""
+    held = found.select("campaign_id", F.explode("indicators").alias("member")).join(features, "member").select("campaign_id", F.explode("fp").alias("f"))
+    counted = held.groupBy("campaign_id", "f").agg(F.count("*").alias("k"))
+    most = lambda tag: F.substring(F.min(F.when(F.startswith("f", F.lit(tag)), F.struct((-F.col("k")).alias("k"), F.col("f").alias("f"))))["f"], len(tag) + 1, 2000)
+    best = counted.groupBy("campaign_id").agg(most("registrar:").alias("registrar"), most("asn:").alias("asn"))
+    return found.join(best, "campaign_id", "left")
+
+
 def actors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *a) for i, a in enumerate(ACTORS)], "ord int, actor string, registrars array<string>, asns array<string>, techniques array<string>")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warpline.functions import columns as C
@@ -57,12 +57,13 @@ UNION ALL SELECT 50000000000000 + c_custkey * {STEP}, c_name, 'domain', 'manual'
 UNION ALL SELECT * FROM (VALUES {", ".join(f"({6 * 10**13 + i * STEP}, {_q(v)}, {_q(t)}, {_q(s)}, {c})" for i, (v, t, s, c) in enumerate(MESSAGES))}))"""
 
 
-def hosts(spark: SparkSession, sf: str) -> DataFrame:
+def hosts(spark: SparkSession, sf: str, where: Column | None = None) -> DataFrame:
     """Distinct hosts of pages with infrastructure read off their names, as an enrichment table.
 
     indicator_id is a fixed number made from the host's order of first page, so no global sort is needed.
     """
-    h = read(spark, sf, "pages").filter("url is not null").select(C.netloc(F.col("url")).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("indicator_id"))
+    pages = read(spark, sf, "pages")
+    h = (pages if where is None else pages.filter(where)).filter("url is not null").select(C.netloc(F.col("url")).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("indicator_id"))
     lab = F.regexp_extract("host", r"([^.]*)\.example\.", 1)
     tld = F.regexp_extract("host", r"([^.]*)$", 1)
     sub = F.nullif(F.regexp_extract("host", r"^(blog|m|www)\.", 1), F.lit(""))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warpline.functions import columns as C
-from warpline.operators import campaigns, cluster, enrich, graph, ingest, lookup
+from warpline.operators import campaigns, cluster, enrich, evidence, graph, ingest, lifecycle, lookup
 from warpline.plans import fixtures as X
 from warpline.session import shared_folder
 from warpline.sources import feeds, queue
@@ -529,31 +530,112 @@ def technique_url(s, d):
     return _indicators(s, d).filter("type = 'url'").select("id", F.array_join(C.technique(F.col("value"), C.URL_KEYWORDS), "|").alias("techniques"))
 
 
+def _infrastructure(s: SparkSession, d: str) -> DataFrame:
+    return _values(s, d).select(F.col("value").alias("member"), "fp")
+
+
 def _attributed(s: SparkSession, d: str) -> DataFrame:
-    """Customers stand for campaigns with a registrar, a network and a first indicator."""
-    c = X.read(s, d, "customer")
-    k = F.col("c_custkey")
-    first = F.when(k % 4 == 0, F.lit("login.evil.com")).when(k % 4 == 1, F.lit("update.evil.com")).otherwise(F.lit("x.com"))
-    return c.select(F.concat(F.lit("c"), k.cast("string")).alias("campaign_id"), F.array(first, F.lit("login.b.com")).alias("indicators"), F.when(k % 3 == 0, "Namecheap").when(k % 3 == 1, "GoDaddy").alias("registrar"), F.when(k % 5 == 0, "AS13335").when(k % 5 == 1, "AS20940").otherwise("AS1").alias("asn"))
+    """The campaigns with the registrar and network of most members, under names that actor profiles know."""
+    rows = campaigns.with_infrastructure(_found(s, d), _infrastructure(s, d))
+    r, a = F.col("registrar"), F.pmod(F.substring("asn", 3, 20).cast("long"), F.lit(4))
+    return rows.withColumns({"registrar": F.when(r == "com", "Namecheap").when(r == "net", "GoDaddy").otherwise(r), "asn": F.when(a == 0, "AS13335").when(a == 1, "AS20940").otherwise(F.col("asn"))})
 
 
-_ACTORS = """base AS (SELECT 'c' || c_custkey AS campaign_id, c_custkey % 4 AS q, c_custkey % 3 AS t, c_custkey % 5 AS f FROM customer),
-scores AS (SELECT campaign_id, 'APT29' AS actor, 0 AS ord, round(CASE WHEN t = 0 THEN 0.3 ELSE 0 END + CASE WHEN f = 0 THEN 0.3 ELSE 0 END + CASE WHEN q = 0 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM base
-UNION ALL SELECT campaign_id, 'Lazarus', 1, round(CASE WHEN t = 1 THEN 0.3 ELSE 0 END + CASE WHEN f = 1 THEN 0.3 ELSE 0 END + CASE WHEN q = 1 THEN 0.2 ELSE 0 END, 6)::DOUBLE FROM base)"""
+_MEM = f"""{_LEAD}, mem AS (SELECT DISTINCT campaign_id, unnest(indicators) AS member FROM camp),
+feat AS (SELECT campaign_id, f, count(*) AS k FROM (SELECT campaign_id, unnest(fp) AS f FROM mem JOIN fps ON member = value) GROUP BY ALL)"""
+_ACTORS = f"""{_MEM}, most AS (SELECT campaign_id, arg_min(substr(f, 11), struct_pack(a := -k, b := f)) FILTER (starts_with(f, 'registrar:')) AS r, arg_min(substr(f, 5), struct_pack(a := -k, b := f)) FILTER (starts_with(f, 'asn:')) AS a FROM feat GROUP BY campaign_id),
+base AS (SELECT campaign_id, indicators[1] AS one, r = 'com' AS com, r = 'net' AS net, CAST(substr(a, 3) AS BIGINT) % 4 AS m FROM camp LEFT JOIN most USING (campaign_id)),
+scores AS (SELECT campaign_id, 'APT29' AS actor, 0 AS ord, round(CASE WHEN com THEN 0.3 ELSE 0 END + CASE WHEN m = 0 THEN 0.3 ELSE 0 END + CASE WHEN contains(one, 'login') THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM base
+UNION ALL SELECT campaign_id, 'Lazarus', 1, round(CASE WHEN net THEN 0.3 ELSE 0 END + CASE WHEN m = 1 THEN 0.3 ELSE 0 END + CASE WHEN contains(one, 'update') THEN 0.2 ELSE 0 END, 6)::DOUBLE FROM base)"""
 
 
-@query(f"WITH {_ACTORS} SELECT campaign_id, actor, score FROM scores")
+@query(f"{_ACTORS} SELECT campaign_id, actor, score FROM scores")
 def actor_scores(s, d):
     return campaigns.actor_scores(_attributed(s, d)).select("campaign_id", "actor", "score")
 
 
-@query(f"WITH {_ACTORS} SELECT campaign_id, actor, score FROM scores QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY score DESC, ord) = 1")
+@query(f"{_ACTORS} SELECT campaign_id, actor, score FROM scores QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY score DESC, ord) = 1")
 def attribution_best(s, d):
     return campaigns.attribution(campaigns.actor_scores(_attributed(s, d)))
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 0.20 ELSE 0 END + 0.15 + CASE WHEN c_custkey % 7 = 0 THEN 0.10 ELSE 0 END, 6)::DOUBLE AS evidence_score FROM customer")
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    """Signals of the campaigns; a host is sighted on its pages, whose numbers stand for time."""
+    at = X.read(s, d, "pages").filter("url is not null").select(C.netloc(F.col("url")).alias("member"), F.col("page_id").alias("at"))
+    return evidence.signals(lifecycle.memberships(_found(s, d)), _infrastructure(s, d), at)
+
+
+_SIGNALS = f"""{_MEM}, sz AS (SELECT campaign_id, count(*) AS n FROM mem GROUP BY campaign_id),
+held AS (SELECT campaign_id, max(k) FILTER (starts_with(f, 'asn:')) AS a, max(k) FILTER (starts_with(f, 'ns:')) AS s, max(k) FILTER (starts_with(f, 'hosting:')) AS h FROM feat GROUP BY campaign_id),
+seen AS (SELECT regexp_extract(url, '{C.URI}', 2) AS member, min(page_id) AS first, max(page_id) AS last FROM pages WHERE url IS NOT NULL GROUP BY 1),
+span AS (SELECT * FROM mem JOIN seen USING (member)),
+two AS (SELECT x.campaign_id, count(*) AS pairs, count(*) FILTER (x.first <= y.last AND y.first <= x.last) AS o FROM span x JOIN span y ON x.campaign_id = y.campaign_id AND x.member < y.member GROUP BY 1),
+alike AS (SELECT x.campaign_id, count(DISTINCT lower(x.member)) AS k FROM mem x JOIN mem y ON x.campaign_id = y.campaign_id AND lower(x.member) <> lower(y.member) AND levenshtein(lower(x.member), lower(y.member)) <= 2 GROUP BY 1),
+signals AS (SELECT campaign_id, coalesce(a >= 2 AND 2 * a >= n, false) AS shared_asn, coalesce(s >= 2 AND 2 * s >= n, false) AS shared_nameserver, coalesce(h >= 2 AND 2 * h >= n, false) AS shared_hosting,
+  coalesce(pairs > 0 AND 2 * o >= pairs, false) AS temporal_overlap, coalesce(2 * k >= n, false) AS domain_similarity FROM sz LEFT JOIN held USING (campaign_id) LEFT JOIN two USING (campaign_id) LEFT JOIN alike USING (campaign_id))"""
+
+
+@query(f"{_SIGNALS} SELECT * FROM signals")
+def evidence_signals(s, d):
+    return _signals(s, d)
+
+
+@query(f"{_SIGNALS} SELECT campaign_id, round(0.25 * shared_asn::INT + 0.20 * shared_nameserver::INT + 0.15 * shared_hosting::INT + 0.10 * temporal_overlap::INT + 0.20 * domain_similarity::INT, 6)::DOUBLE AS evidence_score FROM signals")
 def evidence_score(s, d):
-    k = F.col("c_custkey")
-    rows = X.read(s, d, "customer").select("c_custkey", (k % 2 == 0).alias("shared_asn"), (k % 3 == 0).alias("shared_nameserver"), F.lit(True).alias("shared_hosting"), (k % 7 == 0).alias("temporal_overlap"), F.lit(False).alias("domain_similarity"))
-    return campaigns.evidence(rows).select("c_custkey", "evidence_score")
+    return campaigns.evidence(_signals(s, d)).select("campaign_id", "evidence_score")
+
+
+@query(f"{_SIGNALS} SELECT campaign_id, count(*) AS pairs, count(*) FILTER (x.first <= y.last AND y.first <= x.last) AS overlapping FROM span x JOIN span y USING (campaign_id) WHERE x.member < y.member GROUP BY campaign_id")
+def evidence_overlaps(s, d):
+    at = X.read(s, d, "pages").filter("url is not null").groupBy(C.netloc(F.col("url")).alias("member")).agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    return evidence.overlaps(lifecycle.memberships(_found(s, d)).join(at, "member"), "campaign_id").select("campaign_id", "pairs", "overlapping")
+
+
+@query(f"WITH {X.HOSTS} SELECT registrar, a.value AS a, b.value AS b FROM hosts a JOIN hosts b USING (registrar) WHERE a.value < b.value AND levenshtein(a.value, b.value) <= 2")
+def similar_domains(s, d):
+    """Names within two edits of one another under one registrar."""
+    return evidence.similar(X.hosts(s, d).select("registrar", F.col("value").alias("text")), "registrar")
+
+
+# lifecycle -----------------------------------------------------------------------------------------
+
+
+def _half(s: SparkSession, d: str, first: bool) -> DataFrame:
+    """Clusters of the hosts on the first or the second half of the pages."""
+    middle = (X.read(s, d, "pages").agg(F.max("page_id")).first()[0] or 0) // 2
+    h = X.hosts(s, d, F.col("page_id") <= middle if first else F.col("page_id") > middle)
+    values = cluster.fingerprint(h.withColumn("pos", F.col("indicator_id")), "pos", "value")
+    return campaigns.identified(cluster.as_arrays(cluster.clusters(values)))
+
+
+def _half_sql(suffix: str, test: str) -> str:
+    """The clusters' SQL over some pages, with names of its own."""
+    text = _LEAD.removeprefix("WITH RECURSIVE ").replace("FROM pages WHERE url IS NOT NULL", f"FROM pages WHERE url IS NOT NULL AND page_id {test} (SELECT max(page_id) // 2 FROM pages)")
+    names = ("host0", "host1", "hosts", "fps", "pairs", "numbered", "nb", "step", "lead", "members", "clus", "camp")
+    return re.sub(rf"\b({'|'.join(names)})\b", lambda m: m[1] + suffix, text)
+
+
+_LIFE = f"""WITH RECURSIVE {_half_sql("_a", "<=")}, {_half_sql("_b", ">")},
+was AS (SELECT DISTINCT campaign_id AS p, unnest(indicators) AS member FROM camp_a), found AS (SELECT DISTINCT campaign_id AS q, unnest(indicators) AS member FROM camp_b),
+edge AS (SELECT p, q, count(*) AS k FROM was JOIN found USING (member) GROUP BY ALL), listed AS (SELECT p, q, row_number() OVER (ORDER BY p = q DESC, k DESC, p, q) AS i FROM edge),
+walk(i, ps, qs) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+  SELECT e.i, CASE WHEN list_contains(w.ps, e.p) OR list_contains(w.qs, e.q) THEN w.ps ELSE list_append(w.ps, e.p) END, CASE WHEN list_contains(w.ps, e.p) OR list_contains(w.qs, e.q) THEN w.qs ELSE list_append(w.qs, e.q) END FROM walk w JOIN listed e ON e.i = w.i + 1),
+matched AS (SELECT unnest(ps) AS p, unnest(qs) AS q FROM (SELECT ps, qs FROM walk ORDER BY i DESC LIMIT 1)),
+goes AS (SELECT coalesce(p, q) AS p, member FROM found LEFT JOIN matched USING (q)),
+life AS (SELECT DISTINCT p AS campaign_id, 'campaign_created' AS event_type, p AS event_value FROM goes WHERE p NOT IN (SELECT p FROM was)
+UNION ALL SELECT p, 'indicator_added', member FROM goes WHERE p IN (SELECT p FROM was) AND (p, member) NOT IN (SELECT p, member FROM was)
+UNION ALL SELECT p, 'indicator_removed', member FROM was WHERE p IN (SELECT p FROM goes) AND (p, member) NOT IN (SELECT p, member FROM goes)
+UNION ALL SELECT DISTINCT p, 'campaign_resolved', p FROM was WHERE p NOT IN (SELECT p FROM goes))"""
+
+
+@query(f"{_LIFE} SELECT * FROM life")
+def campaign_lifecycle(s, d):
+    """Events from the campaigns of the first half of the pages to those of the second."""
+    was = lifecycle.memberships(_half(s, d, True))
+    return lifecycle.step(was, _half(s, d, False))[1]
+
+
+@query(f"{_LIFE} SELECT p AS campaign_id, q AS found_id, k AS overlap FROM matched JOIN edge USING (p, q)")
+def campaign_matches(s, d):
+    old, new = graph.checkpointed(lifecycle.memberships(_half(s, d, True))), graph.checkpointed(lifecycle.memberships(_half(s, d, False)))
+    return lifecycle.match(old, new)
