@@ -155,9 +155,14 @@ def undotted(c: Column) -> Column:
     return F.regexp_replace(c, r"\.+$", "")
 
 
+def campaign_key(members: Column) -> Column:
+    """The whole digest of a cluster's sorted members: what tells campaigns apart, as shorter ids can collide."""
+    return F.sha2(F.array_join(F.array_sort(members), "|"), 256)
+
+
 def campaign_id(members: Column) -> Column:
-    """A stable id of a cluster: from a digest of its sorted members."""
-    digest = F.substring(F.sha2(F.array_join(F.array_sort(members), "|"), 256), 1, 15)
+    """A stable label of a cluster: from the digest of its sorted members."""
+    digest = F.substring(campaign_key(members), 1, 15)
     return F.concat(F.lit("campaign_"), F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(10_000_000_000)).cast("string"))
 
 

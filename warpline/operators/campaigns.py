@@ -14,14 +14,15 @@ EVIDENCE = {"shared_asn": 0.25, "shared_nameserver": 0.20, "shared_hosting": 0.1
 
 
 def identified(clusters: DataFrame) -> DataFrame:
-    """campaign_id, indicators, size of clusters with a column indicators."""
-    return clusters.select(C.campaign_id(F.col("indicators")).alias("campaign_id"), "indicators", F.size("indicators").alias("size"))
+    """campaign_id, indicators, size, campaign_key of clusters with a column indicators."""
+    i = F.col("indicators")
+    return clusters.select(C.campaign_id(i).alias("campaign_id"), "indicators", F.size(i).alias("size"), C.campaign_key(i).alias("campaign_key"))
 
 
 def new_rows(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows to insert: unknown ids once, at the fixed first rating."""
-    fresh = found.join(stored.select("campaign_id"), "campaign_id", "left_anti").dropDuplicates(["campaign_id"])
-    return fresh.select("campaign_id", F.lit(60).alias("confidence"), F.lit("emerging").alias("strength"), F.col("size").alias("indicator_count"))
+    """Rows to insert: unknown campaigns once, at the fixed first rating. Keys decide, so two campaigns whose ids collide are both kept."""
+    fresh = found.join(stored.select("campaign_key"), "campaign_key", "left_anti").dropDuplicates(["campaign_key"])
+    return fresh.select("campaign_id", F.lit(60).alias("confidence"), F.lit("emerging").alias("strength"), F.col("size").alias("indicator_count"), "campaign_key")
 
 
 def created_events(new: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def created_events(new: DataFrame) -> DataFrame:
 
 
 def with_status(found: DataFrame, stored: DataFrame) -> DataFrame:
-    known = stored.select("campaign_id", F.lit(True).alias("known")).distinct()
-    return found.join(known, "campaign_id", "left").withColumn("status", F.when(F.col("known"), "existing").otherwise("new")).drop("known")
+    known = stored.select("campaign_key", F.lit(True).alias("known")).distinct()
+    return found.join(known, "campaign_key", "left").withColumn("status", F.when(F.col("known"), "existing").otherwise("new")).drop("known")
 
 
 def scored(found: DataFrame) -> DataFrame:

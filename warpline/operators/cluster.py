@@ -147,6 +147,10 @@ class Leaders:
     def _put(self, rows: DataFrame, name: str, run: int, *by: str) -> None:
         rows.withColumn("run", F.lit(run).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "run").parquet(f"{self.base}/{name}")
 
+    def last_run(self) -> int:
+        """The number of the last append that came to its end; 0 before the first."""
+        return max([0, *(int(c[4:]) for c in children(self.spark, f"{self.base}/values") if c.startswith("run="))])
+
     def members(self) -> DataFrame:
         """(leader, member_pos, member) of clusters of two or more."""
         return of_many(self._read("members").drop("run"))

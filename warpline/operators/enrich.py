@@ -19,14 +19,16 @@ def asn_facts(ref_asn: DataFrame) -> DataFrame:
 
 
 def dns_facts(ref_dns: DataFrame) -> DataFrame:
-    """domain, ns (cleaned list), ips (cleaned list), first_ip; rows without either are no answer."""
+    """domain, ns (cleaned list), ips (cleaned list), first_ip; rows without either are no answer, of several answers the least counts."""
     rows = ref_dns.filter((F.coalesce(F.size("nameservers"), F.lit(0)) > 0) | (F.coalesce(F.size("ips"), F.lit(0)) > 0))
     ns = F.transform("nameservers", C.undotted)
-    return rows.select("domain", C.clean_list(ns).alias("ns"), C.clean_list(F.col("ips")).alias("ips"), F.try_element_at("ips", F.lit(1)).alias("first_ip")).dropDuplicates(["domain"])
+    answer = F.struct(C.clean_list(ns).alias("ns"), C.clean_list(F.col("ips")).alias("ips"), F.try_element_at("ips", F.lit(1)).alias("first_ip"))
+    return rows.groupBy("domain").agg(F.min(answer).alias("d")).select("domain", "d.*")
 
 
 def registrar_facts(ref_whois: DataFrame) -> DataFrame:
-    return ref_whois.select("domain", F.try_element_at("registrar", F.lit(1)).alias("registrar")).dropDuplicates(["domain"])
+    """domain, registrar; of several answers the least."""
+    return ref_whois.groupBy("domain").agg(F.min(F.try_element_at("registrar", F.lit(1))).alias("registrar"))
 
 
 def pending(indicators: DataFrame, stored: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warpline.functions import columns as C
-from warpline.operators import campaigns, cluster, enrich, evidence, graph, ingest, lifecycle, lookup
+from warpline.operators import campaigns, cluster, components, enrich, evidence, graph, ingest, lifecycle, lookup, relations
 from warpline.plans import fixtures as X
 from warpline.session import shared_folder
 from warpline.sources import feeds, queue
@@ -485,7 +485,7 @@ def campaign_new_vs_existing(s, d):
 @query(f"{_LEAD} SELECT DISTINCT campaign_id, 60 AS confidence, 'emerging' AS strength, CAST(size AS INT) AS indicator_count FROM camp WHERE size % 2 <> 0")
 def campaign_list(s, d):
     found = _found(s, d)
-    return lookup.campaign_list(campaigns.new_rows(found, found.filter("size % 2 = 0")))
+    return lookup.campaign_list(campaigns.new_rows(found, found.filter("size % 2 = 0"))).drop("campaign_key")
 
 
 @query(f"{_LEAD} SELECT DISTINCT campaign_id, 'campaign_created' AS event_type, campaign_id AS event_value, 'campaign_engine' AS source FROM camp")
@@ -639,3 +639,52 @@ def campaign_lifecycle(s, d):
 def campaign_matches(s, d):
     old, new = graph.checkpointed(lifecycle.memberships(_half(s, d, True))), graph.checkpointed(lifecycle.memberships(_half(s, d, False)))
     return lifecycle.match(old, new)
+
+
+# derived edges and components ----------------------------------------------------------------------
+
+_HUBS = f"""{_EDGES}, links AS (SELECT DISTINCT src_value AS node, dst_label || ':' || dst_value AS hub FROM edges WHERE src_label = 'Domain' AND rel IN {relations.HUBS}),
+deg AS (SELECT hub, count(*) AS degree FROM links GROUP BY hub), weighed AS (SELECT * FROM links JOIN deg USING (hub)),
+prof AS (SELECT node, array_to_string(list(hub ORDER BY degree, hub), chr(2)) AS profile FROM weighed GROUP BY node),
+placed AS (SELECT hub, node, row_number() OVER (PARTITION BY hub ORDER BY profile, node) AS k FROM weighed JOIN prof USING (node)),
+near AS (SELECT DISTINCT least(x.node, y.node) AS a, greatest(x.node, y.node) AS b FROM placed x JOIN placed y ON x.hub = y.hub AND y.k BETWEEN x.k + 1 AND x.k + {relations.SPAN}),
+scored AS (SELECT a, b, round(sum(1.0 / x.degree), 9) AS weight, count(*) AS shared FROM near JOIN weighed x ON x.node = a JOIN links y ON y.node = b AND y.hub = x.hub GROUP BY ALL),
+ends AS (SELECT a AS node, b AS other, weight FROM scored UNION ALL SELECT b, a, weight FROM scored),
+best AS (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) <= {relations.BEST}))"""
+
+
+@query(f"WITH {_HUBS} SELECT 'Domain' AS src_label, a AS src_value, 'RELATED_TO' AS rel, 'Domain' AS dst_label, b AS dst_value, CAST(weight AS DOUBLE) AS weight FROM scored JOIN best USING (a, b)")
+def related_edges(s, d):
+    return relations.related_edges(_edges(s, d)[1])
+
+
+@query(f"{_MEM} SELECT 'Indicator' AS src_label, member AS src_value, 'BELONGS_TO_CAMPAIGN' AS rel, 'Campaign' AS dst_label, campaign_id AS dst_value FROM mem")
+def campaign_edges(s, d):
+    return relations.campaign_edges(lifecycle.memberships(_found(s, d)))
+
+
+@query(f"WITH {_ENR} SELECT DISTINCT 'IP' AS src_label, ip AS src_value, 'RESOLVES_TO_ASN' AS rel, 'ASN' AS dst_label, asn AS dst_value FROM asn1 WHERE asn IS NOT NULL AND ip IN (SELECT unnest(string_split(resolved_ips, ',')) FROM enr UNION SELECT value FROM enr WHERE type = 'ip')")
+def network_edges(s, d):
+    """Networks of the addresses that indicators are or resolve to."""
+    ind, e = _enriched(s, d)
+    own = ind.filter("type = 'ip'").select(F.col("value").alias("ip")).unionByName(e.select(F.explode(C.split_list(F.col("resolved_ips"))).alias("ip")))
+    return relations.network_edges(enrich.asn_facts(X.references(s, d)[0]).join(own.distinct(), "ip", "left_semi"))
+
+
+@query(f"WITH {_EDGES} SELECT src_label, src_value, 'SERVED_BY' AS rel, dst_label, dst_value FROM edges WHERE rel = 'HOSTED_BY'")
+def served_by_edges(s, d):
+    return relations.served_by(_edges(s, d)[1])
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, near AS (SELECT src_label || chr(1) || src_value AS a, dst_label || chr(1) || dst_value AS b FROM edges UNION SELECT dst_label || chr(1) || dst_value, src_label || chr(1) || src_value FROM edges),
+least(node, comp) USING KEY (node) AS (SELECT a, min(a) FROM near GROUP BY a UNION SELECT n.a, min(l.comp) FROM near n JOIN least l ON n.b = l.node JOIN recurring.least r ON r.node = n.a WHERE l.comp < r.comp GROUP BY n.a)
+SELECT split_part(node, chr(1), 1) AS label, split_part(node, chr(1), 2) AS value, split_part(comp, chr(1), 1) AS component_label, split_part(comp, chr(1), 2) AS component_value FROM least""")
+def graph_components(s, d):
+    return components.of_graph(_edges(s, d)[1])
+
+
+@query(f"""WITH {_EDGES},
+one AS (SELECT rel, src_label AS label, src_value AS value FROM edges WHERE dst_value = '10.1.1.1' UNION SELECT rel, dst_label, dst_value FROM edges WHERE src_value = '10.1.1.1') SELECT * FROM one""")
+def pivot_related(s, d):
+    """What an address is linked with."""
+    return lookup.related(_edges(s, d)[1], "10.1.1.1")

@@ -8,7 +8,8 @@ RAW = "seq long, value string, type string, source string, confidence int, raw_p
 REJECTED = "seq long, value string, type string, source string, reason string, created_at timestamp"
 METADATA = "seq long, indicator_id long, source string, confidence int, first_seen timestamp"
 ENRICHMENT = "indicator_id long, asn string, registrar string, hosting_provider string, nameservers string, resolved_ips string, ssl_fingerprint string, created_at timestamp"
-CAMPAIGNS = "campaign_id string, confidence int, strength string, indicator_count int, created_at timestamp"
+CAMPAIGNS = "campaign_id string, confidence int, strength string, indicator_count int, created_at timestamp, campaign_key string"
+MEMBERSHIPS = "campaign_id string, member string"
 TIMELINE = "id long, campaign_id string, event_type string, event_value string, source string, created_at timestamp"
 FEEDS = "name string, last_run timestamp_ntz, last_success timestamp_ntz, indicators_collected int, status string"
 FEED_SOURCES = "id long, name string, description string"

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from warpline import schemas
-from warpline.operators import campaigns, cluster, enrich, graph, lookup
+from warpline.operators import campaigns, cluster, enrich, lifecycle, lookup
+from warpline.session import children, delete, scratch
+from warpline.streaming.graph_store import GraphStore
 
 LOG = logging.getLogger(__name__)
 
@@ -41,9 +43,22 @@ class Store:
         value = lambda f: F.col(f.name) if f.name in rows.columns else F.current_timestamp() if f.name in stamp else F.lit(None)
         rows.select(*[value(f).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").parquet(f"{self.base}/{name}")
 
+    def last(self, rows: DataFrame, name: str) -> DataFrame:
+        """What a run of a job found, as a table of its own; it goes with the second run after."""
+        runs = self.numbers(f"_last/{name}")
+        path = f"{self.base}/_last/{name}/run={max([0, *runs]) + 1}"
+        rows.write.parquet(path)
+        for n in runs[:-1]:
+            delete(self.spark, f"{self.base}/_last/{name}/run={n}")
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def replace(self, rows: DataFrame, name: str) -> None:
-        """Rewrite a small table by way of a checkpoint, as it may be read from itself."""
-        graph.checkpointed(rows).write.mode("overwrite").parquet(f"{self.base}/{name}")
+        """Rewrite a small table by way of a copy, as it may be read from itself."""
+        self.last(rows, name).write.mode("overwrite").parquet(f"{self.base}/{name}")
+
+    def numbers(self, name: str) -> list[int]:
+        """The numbers of a table's runs."""
+        return sorted(int(c[4:]) for c in children(self.spark, f"{self.base}/{name}") if c.startswith("run="))
 
 
 def enrich_pending(store: Store, indicators: DataFrame, ref_asn: DataFrame, ref_dns: DataFrame, ref_whois: DataFrame) -> DataFrame:
@@ -55,7 +70,7 @@ def enrich_pending(store: Store, indicators: DataFrame, ref_asn: DataFrame, ref_
     todo = enrich.pending(indicators, store.read("enrichment", schemas.ENRICHMENT))
     wanted = enrich.enrich(todo, ref_asn, ref_dns, ref_whois)
     try:
-        new = graph.checkpointed(wanted)
+        new = store.last(wanted, "enrichment")
         store.append(new, "enrichment", schemas.ENRICHMENT)  # a Parquet write adds all its files or none
     except Exception:  # noqa: BLE001
         LOG.exception("enrichment failed")
@@ -65,29 +80,77 @@ def enrich_pending(store: Store, indicators: DataFrame, ref_asn: DataFrame, ref_
 
 
 def build_graph(store: Store, indicators: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all indicators with their first enrichment; both tables are replaced."""
+    """(nodes, edges) of all indicators with their first enrichment. Only indicators that are new, or newly enriched, change the stored graph.
+
+    What a run takes in is written down before it changes anything, so a run that was stopped is finished first, as it was planned.
+    """
+    spark, graph = store.spark, GraphStore(store.spark, f"{store.base}/graph")
     stored = store.read("enrichment", schemas.ENRICHMENT)
     first = campaigns.latest(stored.withColumn("_age", -F.unix_micros("created_at")), "indicator_id", "_age").drop("_age")
-    edges = graph.checkpointed(graph.edges(indicators, first))
-    nodes = graph.nodes(indicators, edges)
-    store.replace(edges, "edges")
-    store.replace(nodes, "nodes")
-    return store.read("nodes", schemas.NODES), store.read("edges", schemas.EDGES)
+    ind = indicators.select("id", "value", "type", "source", "confidence")
+    plan = "id long, enriched boolean, before boolean, run int"
+
+    def take(run: int) -> None:
+        todo = spark.read.schema(plan).option("basePath", f"{store.base}/graph_plan").parquet(f"{store.base}/graph_plan/run={run}")
+        of = lambda where: todo.filter(where).select("id")
+        rows = lambda where: first.join(of(where).withColumnRenamed("id", "indicator_id"), "indicator_id", "left_semi")
+        graph.apply(run, (ind.join(of("true"), "id", "left_semi"), rows("enriched")), (ind.join(of("before"), "id", "left_semi"), rows("false")))
+        spark.createDataFrame([(run,)], "done int").write.mode("overwrite").parquet(f"{store.base}/graph_done/run={run}")
+
+    planned, done = store.numbers("graph_plan"), store.numbers("graph_done")
+    for run in [n for n in planned if n not in set(done)]:
+        take(run)
+    was = store.read("graph_plan", plan).groupBy("id").agg(F.max("enriched").alias("was"))
+    now = ind.select("id").join(first.select(F.col("indicator_id").alias("id"), F.lit(True).alias("has")), "id", "left").join(was, "id", "left")
+    fresh = now.filter(F.col("was").isNull() | (~F.col("was") & F.col("has"))).select("id", F.coalesce("has", F.lit(False)).alias("enriched"), F.col("was").isNotNull().alias("before"))
+    run = max([0, *planned]) + 1
+    fresh = store.last(fresh, "graph_plan")
+    if not fresh.isEmpty():
+        fresh.write.mode("overwrite").parquet(f"{store.base}/graph_plan/run={run}")
+        take(run)
+    return graph.nodes(), graph.edges()
 
 
 def run_campaigns(store: Store, indicators: DataFrame) -> DataFrame:
-    """Detect campaigns, store the new ones with an event each; returns all that were detected."""
+    """Detect campaigns, store the new ones with an event each; returns all that were detected.
+
+    Only values that came since the last run are clustered. Where an earlier value has another fingerprint by now, or was enriched late, the clusters
+    are made anew.
+    """
     values = cluster.by_value(store.read("enrichment", schemas.ENRICHMENT), indicators)
-    found = graph.checkpointed(campaigns.identified(cluster.as_arrays(cluster.clusters(values))))
-    new = graph.checkpointed(campaigns.new_rows(found, store.read("campaigns", schemas.CAMPAIGNS)))
+    grown = cluster.Leaders(store.spark, f"{store.base}/leaders")
+    run = grown.last_run() + 1
+    try:
+        grown.append(values, run)
+    except ValueError as e:
+        LOG.info("clusters are made anew: %s", e)
+        grown.rebuild(values, run)
+    found = store.last(campaigns.identified(cluster.as_arrays(grown.members())), "found")
+    new = store.last(campaigns.new_rows(found, store.read("campaigns", schemas.CAMPAIGNS)), "new_campaigns")
     store.append(new, "campaigns", schemas.CAMPAIGNS)
     store.append(campaigns.created_events(new), "timeline", schemas.TIMELINE)
     return found
 
 
+def track_campaigns(store: Store, found: DataFrame) -> DataFrame:
+    """Extension: compare what was detected with the memberships of the last run, store both sides' changes; returns the memberships under lasting ids."""
+    runs = store.numbers("memberships")
+    path = lambda run: f"{store.base}/memberships/run={run}"
+    read = lambda run: store.spark.read.schema(schemas.MEMBERSHIPS).parquet(path(run))
+    run = max([0, *runs]) + 1
+    with scratch(store.spark):
+        old = read(max(runs)) if runs else store.spark.createDataFrame([], schemas.MEMBERSHIPS)
+        now, events = lifecycle.step(old, found)
+        store.append(events.filter("event_type <> 'campaign_created'"), "timeline", schemas.TIMELINE)  # run_campaigns tells of new ones
+        now.write.mode("overwrite").parquet(path(run))
+    for n in runs[:-1]:
+        delete(store.spark, path(n))
+    return read(run)
+
+
 def materialise_scores(store: Store, found: DataFrame) -> DataFrame:
     """Scored campaigns appended to their own table."""
-    rows = graph.checkpointed(campaigns.materialised(campaigns.scored(found)))
+    rows = store.last(campaigns.materialised(campaigns.scored(found)), "scores")
     store.append(rows, "scored_campaigns", schemas.CAMPAIGNS)
     return rows
 
