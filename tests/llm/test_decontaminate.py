@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from warpline.llm import decontaminate as D
 
@@ -99,3 +100,37 @@ def test_every_allowed_replacement_is_found(spark, make_docs):
         items.append(" ".join(w))
     bench = spark.createDataFrame([(t, i) for i, t in enumerate(items)], "text string, item_id long")
     assert {(r.doc_id, r.item_id) for r in D.matches(make_docs(texts), bench).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_common_seeds_against_brute_force(spark, make_docs, seed, monkeypatch):
+    """Every seed counts as common; items of all lengths, edited passages, and a frame that all items share."""
+    monkeypatch.setattr(D, "COMMON", 0)
+    texts, items = make(seed)
+    rnd = random.Random(seed)
+    for _ in range(6):
+        frame = [f"frame{i}" if keep == "1" else rnd.choice("pqrstuv") * 3 for i, keep in enumerate(D.MASKS[0])]
+        items.append(" ".join(frame + [rnd.choice("abcdefgh") * 2 for _ in range(rnd.randint(0, 9))]))
+        texts.append(" ".join(["before", *frame, *[rnd.choice("abcdefgh") * 2 for _ in range(9)]]))
+    w = items[2].split()
+    for gone in ((0, 12), (3, 4), (11,), (5, 6, 7)):
+        texts.append(" ".join("z" if i in gone else x for i, x in enumerate(w[:13])))
+    bench = spark.createDataFrame([(t, i) for i, t in enumerate(items)], "text string, item_id long")
+    got = {(r.doc_id, r.item_id) for r in D.matches(make_docs(texts), bench).collect()}
+    assert got == brute(texts, items)
+    left = {r.doc_id for r in D.clean(make_docs(texts), bench).collect()}
+    assert left == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_a_seed_in_10000_items_and_10000_texts(spark, monkeypatch):
+    """A frame of seven words that all have: no pair of text and item but the true ones."""
+    frame = lambda tag: F.concat(*[F.lit(f"frame{i} ") if keep == "1" else F.concat(F.lit(f"{tag}{i}x"), "id", F.lit(" ")) for i, keep in enumerate(D.MASKS[0])])
+    more = lambda tag: F.concat(*[F.concat(F.lit(f"{tag}m{i}x"), "id", F.lit(" ")) for i in range(6)])
+    bench = spark.range(10_000).select(F.col("id").alias("item_id"), F.concat(frame("i"), more("i")).alias("text"))
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("so "), frame("i"), more("i"))).otherwise(F.concat(frame("d"), more("d"))).alias("text"))
+    pairs, real = [], D._overlaps
+    monkeypatch.setattr(D, "_overlaps", lambda s, p, *a: pairs.append(p.count()) or real(s, p, *a))
+    got = D.matches(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1000 * i, 1000 * i) for i in range(10)]
+    assert D.clean(docs, bench).count() == 9_990
+    assert max(pairs) < 100

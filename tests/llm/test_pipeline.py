@@ -1,9 +1,11 @@
 import base64
+import hashlib
 import os
 import shutil
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks
@@ -63,3 +65,31 @@ def test_stages_keep_the_columns(spark, make_docs):
     for _, stage in corpus_pipeline.STAGES[:4]:
         for d in (docs, docs.limit(0)):
             assert stage(spark, d, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_stages_keep_clashing_names_and_their_values(spark, make_docs):
+    """Columns under the operators' own names come through all filtering stages as they were."""
+    passage = "".join(chr(97 + i * 7 % 26) + (" " if i % 5 == 0 else "") for i in range(300))
+    docs = make_docs([" ".join(f"{w}{i}" for i in range(150)) + passage for w in "xy"] + [None, "short"]).select("doc_id", "text", "lang", "source", "n_chars")
+    names = ("__th", "__kept", "__nid", "__id", "__key", "a.b", "th", "nid", "group", "shard", "spans", "___________kept")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"keep {i} "), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == ({0, 1, 3} if name == "language_id" else {0, 1, 2, 3})
+        assert all(r[c] == f"keep {i} {k}" for k, r in got.items() for i, c in enumerate(names))
+        assert name != "suffix_dedup" or all(passage not in r.text for r in got.values() if r.text)
+
+
+def test_pipeline_on_an_empty_table_and_without_ids(spark, make_docs, tmp_path):
+    shutil.copy("/root/testdata/sf0.001/benchmark.parquet", tmp_path / "benchmark.parquet")
+    docs = make_docs(["one text", "one text", "another text", None], [None, None, None, 4]).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, df in (("none", docs.limit(0)), ("ids", docs)):
+        base = tmp_path / name
+        df.write.parquet(str(base / "documents.parquet"))
+        shutil.copy(tmp_path / "benchmark.parquet", base / "benchmark.parquet")
+        rows = corpus_pipeline.run(spark, str(base)).collect()
+        assert {r.decoded_sha256 for r in rows} == (set() if name == "none" else {hashlib.sha256(t).hexdigest() for t in (b"one text", b"another text")})
+        assert len(rows) == (0 if name == "none" else 2)

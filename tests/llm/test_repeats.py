@@ -175,3 +175,13 @@ def test_index_is_smaller_than_its_text():
     assert not hasattr(index, "rows")
     length, low, high = index.statistics(ids, np.array([1000, 30_000, 50_000]), 1)
     assert (high - low).tolist() == [words.count(words[e - 1]) for e in (1000, 30_000, 50_000)]
+
+
+def test_copies_of_one_row_bring_their_stretches_once(make_docs):
+    """3,000 rows of one text under one id, and without any: the stretches of a row stand once, the result on every row."""
+    text = "".join(chr(97 + i * i % 26) for i in range(400))
+    texts, ids = [text] * 3000 + ["other " + text[:150]] + [text] * 50, [5] * 3000 + [6] + [None] * 50
+    out = suffixdedup.deduplicate(make_docs(texts, ids)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in out) == sorted([(0, 400)] * 50 + [(5, 400)] * 3000 + [(6, 0)])
+    _, spans = suffixdedup._spans(make_docs(texts, ids), 200, "doc_id", "text", "all")
+    assert max(len(r.spans) for r in spans.collect()) < 50

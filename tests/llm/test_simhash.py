@@ -230,10 +230,16 @@ def test_near_copies_of_short_empty_and_null(make_docs):
     texts = ["a", "A", "", None, "b c", "b  c", "x"]
     kept = {r.doc_id for r in simhash.keep_one_similar(make_docs(texts)).collect()}
     assert kept == {0, 2, 4, 6}
-    assert simhash.keep_one_similar(make_docs(["a", "a"], [None, None])).count() == 2
     assert simhash.keep_one_similar(make_docs([])).count() == 0
 
 
+def test_rows_without_an_id_meet_all_others(make_docs):
+    """Of a group one row stays: one with an id, where there is one."""
+    long = " ".join(f"w{i}" for i in range(60))
+    kept = simhash.keep_one_similar(make_docs(["a", "a", long, long + " x", "b", "b", "c"], [None, None, None, 7, 3, None, None])).collect()
+    assert sorted((r.doc_id or 0, r.text[:3]) for r in kept) == [(0, "a"), (0, "c"), (3, "b"), (7, "w0 ")]
+
+
 def test_hot_shards_lose_no_link(spark, monkeypatch):
     """32 fingerprints, each linked with five others only and alike in all tables' places: one component."""
     monkeypatch.setattr(simhash, "SHARD", 2)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from warpline.session import shared_folder
 
-#: what stands for a null doc_id in keys
-NO_ID = -(2**63)
+#: what stands for a null doc_id in keys, before all others or after them
+NO_ID, LAST_ID = -(2**63), 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +56,11 @@ def partitions(spark: SparkSession, per: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per
 
 
+def spare(docs: DataFrame) -> str:
+    """A prefix that makes any name one that no column of docs has."""
+    return "_" * (1 + max([0, *map(len, docs.columns)]))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch to a Python worker holds, as single texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -8,7 +8,8 @@ out as many groups of words as words may differ. Seeds of all benchmark items ar
 size, which only spares documents' seeds that no item has; documents' seeds that pass are joined with
 the items' seeds by hash. Each hit gives a diagonal (place in the text less place in the item), along
 which whole words are compared: an overlap counts where at least `share` of `least` neighbouring words
-(of the whole item, if it is shorter) are equal.
+(of the whole item, if it is shorter) are equal. Seeds that over COMMON items share are not paired: all windows around
+them are compared by hashes of all words but those that may differ, so rows meet only where an overlap is.
 
 Defined cases: null and empty texts hit nothing; items of fewer than `least` words have masks of their own
 length; items without words are never found; repeated rows give one result a
@@ -23,6 +24,7 @@ import functools
 import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from warpline.llm.common import NO_ID, buffers, materialise, small_batches, tabl
 MASKS = ("11101001011", "11011000111", "10110110101", "11110001101", "11111100001", "10010111011")
 SPAN, LEAST, SHARE = 11, 13, 0.8
 BITS = 27
+COMMON = 64  # items that may share a seed before its places are compared by whole windows
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 FACTOR = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -100,8 +103,8 @@ def item_texts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
 
 
 def item_seeds(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """A row for each seed of texts (ih, item_words): ih, size, hash, at. Linear in an item's length."""
-    schema = pa.schema([("ih", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())])
+    """A row for each seed of texts (ih, item_words): ih, size, span (of its mask), hash, at. Linear in an item's length."""
+    schema = pa.schema([("ih", pa.int64()), ("size", pa.int32()), ("span", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,9 +112,9 @@ def item_seeds(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> Da
                 h = b.column(1)[i].values.to_numpy().view(np.uint64)
                 for mask in shapes(*need_of(len(h), least, share)):
                     got = seeds(h, mask)
-                    yield table({"ih": np.full(len(got), ih), "size": np.full(len(got), len(h), np.int32), "hash": got.view(np.int64), "at": np.arange(len(got), dtype=np.int32)}, schema)
+                    yield table({"ih": np.full(len(got), ih), "size": np.full(len(got), len(h), np.int32), "span": np.full(len(got), len(mask), np.int32), "hash": got.view(np.int64), "at": np.arange(len(got), dtype=np.int32)}, schema)
 
-    return texts.select("ih", "item_words").mapInArrow(run, "ih long, size int, hash long, at int")
+    return texts.select("ih", "item_words").mapInArrow(run, "ih long, size int, span int, hash long, at int")
 
 
 def _bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +188,54 @@ def regions(docs: DataFrame, bits: np.ndarray, masks: list[str], context: int, i
     return own.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, start long, words array<long>, hits array<long>, places array<long>")
 
 
+@functools.cache
+def full_masks(need: int, differ: int) -> tuple[str, ...]:
+    """All ways to leave out as many words of a window as may differ: windows with one such hash in common overlap enough."""
+    return tuple("".join("0" if i in out else "1" for i in range(need)) for out in map(set, itertools.combinations(range(need), differ)))
+
+
+def window_hashes(windows: DataFrame, need: int, differ: int, bits: np.ndarray | None = None) -> DataFrame:
+    """Rows (words, other columns) of windows of `need` words, once for each full mask, with the hash `full` in the words' place; only hashes in bits."""
+    keep = [c for c in windows.columns if c != "words"]
+    schema = pa.schema([pa.field(c, pa.int64()) for c in [*keep, "full"]])
+    sent = None if bits is None else windows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.asarray(b.column(len(keep)).flatten()).view(np.uint64)
+            for mask in full_masks(need, differ):  # windows lie one after another: every need-th start of the mask is a window
+                got = seeds(h, mask)[::need]
+                rows = pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got.view(np.int64))], schema=schema)
+                if sent is not None:
+                    x, y = _bits_of(got)
+                    rows = rows.filter(pa.array(((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & (sent.value[y >> 3] >> (y & 7).astype(np.uint8)) & 1).astype(bool)))
+                yield rows
+
+    return windows.select(*[F.col(c).cast("long").alias(c) for c in keep], "words").mapInArrow(run, ", ".join(f"{c} long" for c in [*keep, "full"]))
+
+
+def common_windows(seed: DataFrame, hits: DataFrame, found: DataFrame, texts: DataFrame, share: float) -> list[tuple[DataFrame, DataFrame]]:
+    """[(windows of texts, windows of items)] with hashes `full`, for seeds (hash, need, ...) that many items hold, such as a task's header.
+
+    Nearly all places of such a seed are no overlap with nearly all of its items, so they aren't paired. Around each of them, in items and in
+    texts, all windows of `need` words are taken that can hold the seed there; an overlap is a pair of
+    windows with a full mask's hash in common, so rows meet for overlaps only, and for all of them.
+    """
+    spots = F.sequence(F.col("place") - (F.col("need") - F.col("span")), F.col("place"))
+    part = F.slice("words", (F.col("w") + 1).cast("int"), F.col("need"))
+    inside = (F.col("w") >= 0) & (F.col("w") + F.col("need") <= F.size("words"))
+    own = seed.select("ih", "size", "need", "span", F.col("at").cast("long").alias("place")).select("ih", "size", "need", F.explode(spots).alias("w")).distinct()
+    own = own.join(texts.select("ih", F.col("item_words").alias("words")), "ih").filter(inside).select("ih", "size", "need", F.col("w").alias("at"), part.alias("words"))
+    places = hits.join(seed.select("hash", "need", "span").distinct(), "hash").select("key", "th", "start", "need", F.explode(spots).alias("w")).distinct()
+    places = places.join(found.select("key", "th", "start", "words"), ["key", "th", "start"]).filter(inside).select("key", "th", "start", "need", "w", part.alias("words"))
+    out = []
+    for need in [r["need"] for r in seed.select("need").distinct().collect()]:  # `least` at most
+        differ = need - max(1, math.ceil(share * need - 1e-9))
+        a = materialise(window_hashes(own.filter(F.col("need") == need).drop("need"), need, differ))
+        out.append((window_hashes(places.filter(F.col("need") == need).drop("need"), need, differ, bit_set(a.select(F.col("full").alias("hash")))), a))
+    return out
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: float) -> tuple[int, int, int] | None:
     """(first word, end, equal words) of what overlaps along a diagonal; None if it is too little."""
     low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
@@ -202,18 +253,36 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, share:
 FOUND = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("ih", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("n_equal", pa.int64())])
 
 
-def located(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and item that it holds: doc_id, th (tells texts of one doc_id apart), item_id, place and size."""
+class _Sought(NamedTuple):
+    """Items and texts of a search: seeds that few items hold and those that many do, hits (hash, place) in stretches of texts."""
+
+    items: DataFrame
+    texts: DataFrame
+    few: DataFrame
+    many: DataFrame | None
+    hits: DataFrame
+    found: DataFrame
+
+
+def _sought(docs: DataFrame, benchmark: DataFrame, least: int, share: float, id_col: str, text_col: str) -> _Sought:
     items = materialise(item_texts(benchmark))
     texts = items.dropDuplicates(["ih"]).select("ih", "item_words")  # equal items are sought once
-    seed = materialise(item_seeds(texts, least, share))
-    sizes = [r["size"] for r in seed.select(F.least("size", F.lit(least)).alias("size")).distinct().collect()]  # `least` at most
+    seed = materialise(item_seeds(texts, least, share).withColumn("need", F.least("size", F.lit(least))))
+    sizes = [r["need"] for r in seed.select("need").distinct().collect()]  # `least` at most
     masks = sorted({m for n in sizes for m in shapes(*need_of(n, least, share))})
     longest = seed.agg(F.max("size")).first()[0] or 1
     found = materialise(regions(docs, bit_set(seed), masks, longest, id_col, text_col)).dropDuplicates(["doc_id", "th", "start"])
     found = found.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     hits = found.select("key", "th", "start", F.explode(F.arrays_zip("hits", "places")).alias("z")).select("key", "th", "start", F.col("z.hits").alias("hash"), F.col("z.places").alias("place"))
-    pairs = hits.join(seed, "hash").select("key", "th", "start", "ih", "size", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    often = materialise(seed.groupBy("hash", "need").agg(F.count_distinct("ih").alias("items")).filter(F.col("items") > COMMON).select("hash", "need"))
+    if often.isEmpty():
+        return _Sought(items, texts, seed, None, hits, found)
+    return _Sought(items, texts, seed.join(often, ["hash", "need"], "left_anti"), materialise(seed.join(often, ["hash", "need"])), hits, found)
+
+
+def _overlaps(s: _Sought, pairs: DataFrame, least: int, share: float) -> DataFrame:
+    """(key, th, ih, first_word, n_words, n_equal) of pairs (key, th, start, ih, size, diagonal) that overlap enough."""
+    found, texts = s.found, s.texts
     low = F.greatest(F.col("diagonal"), F.lit(0))
     part = F.slice("words", (low + 1).cast("int"), (F.col("diagonal") + F.col("size") - low).cast("int"))  # what lies beside the item
     beside = pairs.join(found.select("key", "th", "start", "words"), ["key", "th", "start"]).select("key", "th", "ih", (F.col("start") + low).alias("first"), (low - F.col("diagonal")).cast("int").alias("skip"), part.alias("part"))
@@ -229,7 +298,21 @@ def located(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share:
                     rows.append((key, th, ih, first + got[0], got[1] - got[0], got[2]))
             yield table(dict(zip(FOUND.names, zip(*rows), strict=True)) if rows else {n: [] for n in FOUND.names}, FOUND)
 
-    done = both.mapInArrow(verify, "key long, th long, ih long, first_word long, n_words long, n_equal long")
+    return both.mapInArrow(verify, "key long, th long, ih long, first_word long, n_words long, n_equal long")
+
+
+def _few(s: _Sought) -> DataFrame:
+    return s.hits.join(s.few, "hash").select("key", "th", "start", "ih", "size", (F.col("place") - F.col("at")).cast("long").alias("diagonal"))
+
+
+def located(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document and item that it holds: doc_id, th (tells texts of one doc_id apart), item_id, place and size."""
+    s = _sought(docs, benchmark, least, share, id_col, text_col)
+    pairs = _few(s)
+    for b, a in common_windows(s.many, s.hits, s.found, s.texts, share) if s.many is not None else []:
+        pairs = pairs.unionByName(b.join(a, "full").select("key", "th", "start", "ih", F.col("size").cast("int").alias("size"), (F.col("w") - F.col("at")).alias("diagonal")))
+    done = _overlaps(s, pairs.distinct(), least, share)
+    items = s.items
     best = F.max_by(F.struct("first_word", "n_words", "n_equal"), F.struct("n_equal", "n_words", -F.col("first_word"))).alias("b")
     one = done.groupBy("key", "th", "ih").agg(best)
     ids = items.select("ih", "item_id").distinct()
@@ -242,8 +325,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFra
     return located(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.first_word", "b.n_words", "b.n_equal")
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, th) of texts that hold any item. What many items have in common is looked up once, not once an item."""
+    s = _sought(docs, benchmark, least, share, id_col, text_col)
+    out = _overlaps(s, _few(s).distinct(), least, share).select("key", "th")
+    for b, a in common_windows(s.many, s.hits, s.found, s.texts, share) if s.many is not None else []:
+        out = out.unionByName(b.join(a.select("full").distinct(), "full", "left_semi").select("key", "th"))
+    return out
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns stay."""
-    found = materialise(located(docs, benchmark, **options).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct())
+    found = materialise(leaks(docs, benchmark, **options).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct())
     key, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(found, (key == found["__key"]) & (th == found["__th"]), "left_anti")

@@ -211,7 +211,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     """The kept columns with the predicted language and its score (a softmax of the regression values)."""
     if set(names) & set(keep):
         raise ValueError("a kept column has the name of a result")
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    # by place, as names with dots can't be passed to Python
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the sample's bounds only
     at = len(keep)
 
@@ -225,11 +226,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                 p = chances(m.scores([texts[i] for i in ok]))
                 for j, (i, k) in enumerate(zip(ok, p.argmax(axis=1).tolist())):
                     best[i], scores[i] = m.languages[k], p[j, k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(best, pa.string()), pa.array(scores)], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(best, pa.string()), pa.array(scores)], names=[f"c{i}" for i in range(at)] + ["lang", "score"])
 
     small_batches(docs.sparkSession)
-    schema = T.StructType([*(own.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return own.mapInArrow(run, schema)
+    schema = T.StructType([*own.schema.fields[:at], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -272,7 +273,8 @@ def accept(docs: DataFrame, least: float | None = None) -> DataFrame:
                 yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         small_batches(docs.sparkSession)
-        return docs.mapInArrow(run, docs.schema)
+        own = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+        return own.mapInArrow(run, own.schema).toDF(*columns)
     if least is None:
         least = threshold(model, [(r["lang"], r["segments"]) for r in sample(docs, held_out()).collect()])  # SAMPLE_ROWS rows at most
     mark = "_" * (1 + max(map(len, columns)))  # longer than any name of docs

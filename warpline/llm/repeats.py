@@ -225,7 +225,8 @@ def repeated(docs: DataFrame, texts: DataFrame, classes: Classes, *, words: bool
     whole = F.col("copies") > 1 if mode == "all" else F.struct("nid", "first") > F.struct(F.col("rep_nid").alias("nid"), F.col("rep_first").alias("first"))
     span = F.when(whole, F.array(F.struct(F.col("first").alias("s"), F.col("last").alias("e")))).otherwise(F.transform("inner", lambda x: F.struct((x["low"] + F.col("first")).alias("s"), (x["high"] + F.col("first")).alias("e"))))
     spans = hits.join(facts, ["akey", "chash"]).select("nid", "th", span.alias("span")).filter("span is not null")
-    out = materialise(spans.groupBy("nid", "th").agg(F.flatten(F.collect_list("span")).alias("spans")))
+    # a set: rows that repeat one text under one id bring the same stretches, and are combined before the shuffle
+    out = materialise(spans.groupBy("nid", "th").agg(F.flatten(F.collect_set("span")).alias("spans")))
     remove(hits, contents, several, found, facts)
     release(docs.sparkSession)
     return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import buffers, id_text, materialise, partitions, remove, small_batches, table
+from warpline.llm.common import LAST_ID, buffers, id_text, materialise, partitions, remove, small_batches, table
 from warpline.llm.components import components
 
 SHARD = 1024
@@ -492,6 +492,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return pairs.join(left, "a").join(right, "b").select("a", "b", "t", "u").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def _or_last(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
+
+
 def similar_classes(docs: DataFrame, classes: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of classes (id, n, rep of doc_id and th, f0...) under verified links.
 
@@ -501,7 +505,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, *, shingle: int, simila
     which passes on no more than what connects them. So every candidate either is verified or lies within
     one component, and neither copies nor candidates are expanded to rows.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    own = docs.select(_or_last(F.col("doc_id")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     reps = classes.select("id", "rep.doc_id", "rep.th")
     texts_of = lambda ids: own.join(reps.join(ids, "id"), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"])
     places = tables_for(classes.count(), similarity)
@@ -528,14 +532,14 @@ def similar_classes(docs: DataFrame, classes: DataFrame, *, shingle: int, simila
 
 
 def keep_one_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs of each group of near copies: that of the smallest doc_id, then text hash; null doc_ids stay.
+    """One row of docs of each group of near copies: that of the smallest doc_id, then text hash; rows without a doc_id come after all others.
 
     Near copies are texts whose sets of word shingles have this Jaccard similarity or more, or a chain
     of such texts. BK-trees find candidates; each link is verified on the sets. Texts of equal sets are always
     near copies; rows that share doc_id and text count once; rows that share a doc_id are judged apart.
     """
     names = docs.columns
-    prints = materialise(wide_fingerprints(docs, shingle).filter("doc_id is not null"))
+    prints = materialise(wide_fingerprints(docs, shingle).withColumn("doc_id", _or_last(F.col("doc_id"))))
     classes = materialise(prints.groupBy("id", "n", *COLUMNS).agg(F.min(F.struct("doc_id", "th")).alias("rep")))
     nodes = similar_classes(docs, classes, shingle=shingle, similarity=similarity)
     whole = classes.select("id", "rep").join(nodes.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
@@ -545,7 +549,7 @@ def keep_one_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     judged = materialise(rows.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "copies", (F.struct("doc_id", "th") == F.col("least")).alias("first")).filter("copies > 1 or not first"))
     mark = "_" * (1 + max(map(len, names)))  # longer than any name of docs
     own = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = lambda t: (own["doc_id"].cast("long") == t["__id"]) & (own[mark] == t["__th"])
+    same = lambda t: (_or_last(own["doc_id"]) == t["__id"]) & (own[mark] == t["__th"])
     kept = own.join(judged, same(judged), "left_anti")
     again = judged.filter("first")
     if not again.isEmpty():

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warpline.llm.common import NO_ID, materialise
+from warpline.llm.common import NO_ID, materialise, spare
 from warpline.llm.induced import suffix_array
 from warpline.llm.repeats import cut, keyed, packed, repeated
 
@@ -60,9 +60,11 @@ def clean(docs: DataFrame, *, window: int = 200) -> DataFrame:
     """
     texts, spans = _spans(docs, window, "doc_id", "text", "all")
     touched = materialise(cut(texts.join(spans, ["nid", "th"], "left_semi").dropDuplicates(["nid", "th"]), spans, words=False, window=window, keep_text=True, characters=True))
-    now = touched.select(F.col("nid").alias("__nid"), F.col("th").alias("__th"), F.col("kept").cast("string").alias("__kept"))
-    own = docs.withColumns({"__nid": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    changed = own.join(now, ["__nid", "__th"], "left").withColumn("text", F.coalesce("__kept", "text"))
+    mark = spare(docs)
+    nid, th, kept = (mark + n for n in ("nid", "th", "kept"))
+    now = touched.select(F.col("nid").alias(nid), F.col("th").alias(th), F.col("kept").cast("string").alias(kept))
+    own = docs.withColumns({nid: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    changed = own.join(now, [nid, th], "left").withColumn("text", F.coalesce(F.col(kept), F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        changed = changed.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return changed.select(*[f"`{c}`" for c in docs.columns])
