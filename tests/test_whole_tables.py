@@ -1,5 +1,9 @@
 """Registered queries read their tables whole; sf0.001 has 50 pages and 150 customers."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from warpline.operators import graph
@@ -7,6 +11,7 @@ from warpline.plans import fixtures as X
 from warpline.plans import registry
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_feeds_parse_all_pages(spark):
@@ -52,3 +57,25 @@ def test_clusters_of_the_whole_graph(spark, reached):
     want = {"|".join(c) for c in want if len(c) > 1}
     assert {r.cluster for r in registry.graph_clusters(spark, SF).collect()} == want
     assert {r.indicators for r in registry.graph_candidates(spark, SF).collect()} == want
+
+
+HIDDEN = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name.partition(".")[0] in {names!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+print(len(e.queries()), len(e.oracle_sql()), any(q.startswith("op") for q in e.queries()))
+"""
+
+
+@pytest.mark.parametrize("names", [("xxhash",), ("zstandard",), ("tokenizers", "public_tokenizers"), ("sentencepiece",)])
+def test_engine_queries_do_not_need_the_corpus_packages(names):
+    out = subprocess.run([sys.executable, "-c", HIDDEN.format(names=names)], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(registry.queries())), str(len(registry.oracle_sql())), "False"]
+
+
+def test_every_engine_query_has_a_twin():
+    assert set(registry.queries()) == set(registry.oracle_sql())

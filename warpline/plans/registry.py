@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warpline.functions import columns as C
-from warpline.operators import campaigns, cluster, components, enrich, evidence, graph, ingest, lifecycle, lookup, relations
+from warpline.operators import campaigns, cluster, components, enrich, evidence, graph, ingest, lifecycle, lookup, relations, trigrams
 from warpline.plans import fixtures as X
 from warpline.session import shared_folder
 from warpline.sources import feeds, queue
+from warpline.streaming import ingest as stream
+from warpline.streaming.graph_store import GraphStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -688,3 +690,81 @@ one AS (SELECT rel, src_label AS label, src_value AS value FROM edges WHERE dst_
 def pivot_related(s, d):
     """What an address is linked with."""
     return lookup.related(_edges(s, d)[1], "10.1.1.1")
+
+
+# what arrives bit by bit ---------------------------------------------------------------------------
+
+_ARRIVED = X.IOC.replace("ioc(seq, value, type, source, confidence)", "arrived(came, value, type, source, confidence)") + ", ioc AS (SELECT row_number() OVER (ORDER BY came) - 1 AS seq, value, type, source, confidence FROM arrived)"
+
+
+@query(f"WITH {_ARRIVED} SELECT seq, value, type, source FROM ioc")
+def queue_in_order(s, d):
+    """Messages pushed in their order, read from the queue's files, and numbered by arrival."""
+    path = shared_folder(s)
+    queue.push(X.ioc(s, d), path, order="seq")
+    return queue.in_order(queue.pop_all(s, path)).select("seq", "value", "type", "source")
+
+
+def _streamed(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table that the stream writes from a queue of all messages."""
+    folder = shared_folder(s)
+    queue.push(X.ioc(s, d), f"{folder}/queue", order="seq")
+    stream.start(s, f"{folder}/queue", f"{folder}/out").awaitTermination()
+    return stream.table(s, f"{folder}/out", name)
+
+
+_STREAMED = _IND.replace(X.IOC, _ARRIVED)
+
+
+@query(f"WITH {_STREAMED} SELECT id, value, type, source, confidence FROM ind")
+def stream_indicators(s, d):
+    return _streamed(s, d, "indicators").select("id", "value", "type", "source", "confidence")
+
+
+@query(f"WITH {_STREAMED} SELECT seq, id AS indicator_id, j.source, j.confidence FROM judged j JOIN ind ON j.nvalue = ind.value AND j.type = ind.type WHERE ok")
+def stream_sightings(s, d):
+    return _streamed(s, d, "metadata").select("seq", "indicator_id", "source", "confidence")
+
+
+def _thirds(df: DataFrame, key: str) -> list[DataFrame]:
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(3)) == i) for i in range(3)]
+
+
+def _grown_graph(s: SparkSession, d: str) -> GraphStore:
+    """All indicators in three deltas, of which together they are the whole table."""
+    ind, e = _enriched(s, d)
+    e = graph.checkpointed(e)
+    store = GraphStore(s, shared_folder(s), buckets=64)
+    for run, part in enumerate(zip(_thirds(ind, "id"), _thirds(e, "indicator_id")), 1):
+        store.apply(run, part)
+    return store
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges")
+def graph_edges_grown(s, d):
+    return _grown_graph(s, d).edges()
+
+
+@query(SQL["graph_nodes"])
+def graph_nodes_grown(s, d):
+    return _grown_graph(s, d).nodes()
+
+
+@query(SQL["leader_clusters"])
+def leader_clusters_grown(s, d):
+    """Hosts in the order of arrival, in three appends."""
+    values = graph.checkpointed(_values(s, d))
+    cuts = values.select(F.percentile("pos", F.array(F.lit(0.33), F.lit(0.66)))).first()[0] or [0, 0]
+    grown = cluster.Leaders(s, shared_folder(s))
+    pos = F.col("pos")
+    for run, part in enumerate((pos <= cuts[0], (pos > cuts[0]) & (pos <= cuts[1]), pos > cuts[1])):
+        grown.append(values.filter(part), run)
+    return grown.members()
+
+
+@query(SQL["pivot_domain"])
+def pivot_domain_trigrams(s, d):
+    postings = trigrams.Postings(s, shared_folder(s), buckets=64)
+    for run, part in enumerate(_thirds(graph.checkpointed(_indicators(s, d)), "id")):
+        postings.append(part, run)
+    return postings.pivot("example.n_t")
