@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from warpline.llm import hmm
 
@@ -88,3 +89,76 @@ def test_empty_and_untrained(spark, make_docs):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     for r in hmm.score(make_docs(["a b", "c", None], ids)).collect():
         assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0 and abs(r.score) < 1e-9
+
+
+def plain(texts, held, top, rounds):
+    """doc -> (n_tokens, n_known, train_tokens, base_score, score) by loops in doubles: counts, Baum-Welch, forward recursion."""
+    k = hmm.STATES
+    split = {d: [*(t or "").lower().encode().split(), b""] for d, t in texts.items()}
+    count = Counter(w for d, ws in split.items() if d not in held for w in ws)
+    n, v = sum(count.values()), len(count)
+    log = lambda w: math.log10((count[w] + 1) / (n + v + 1))
+    words = sorted(count, key=lambda w: (-count[w], w))[:top]
+    number = {w: i for i, w in enumerate(words)}
+    signed = lambda h: h - (2**64 if h >= 2**63 else 0)
+    kind = lambda w: signed(xxhash.xxh64_intdigest(w, 42)) % hmm.RARE
+    rest = [1.0] * hmm.RARE
+    for w, c in count.items():
+        if w not in number:
+            rest[kind(w)] += c + 1
+    rest = [x / (n + v + 1) for x in rest]
+    base = [(count[w] + 1) / (n + v + 1) for w in words]
+    mass = np.array(base + rest)
+    symbol = lambda w: number.get(w, len(words) + kind(w))
+    emit = np.empty((len(mass), k))
+    for i in range(len(mass)):
+        lean = xxhash.xxh3_64_intdigest(words[i][:2]) % k if i < len(words) else (i - len(words)) % k
+        emit[i] = [mass[i] * (3.0 if j == lean else 1.0) for j in range(k)]
+    emit /= emit.sum(axis=0)
+    move = np.array([[hmm.STAY if a == b else (1 - hmm.STAY) / (k - 1) for b in range(k)] for a in range(k)])
+    start = np.full(k, 1 / k)
+    for _ in range(rounds):
+        e, m, s = hmm.PRIOR * mass[:, None] * np.ones(k), np.ones((k, k)), np.ones(k)
+        for d, ws in split.items():
+            if d in held:
+                continue
+            x = [symbol(w) for w in ws]
+            alpha, scale = [], []
+            for t, o in enumerate(x):
+                a = (alpha[-1] @ move if t else start) * emit[o]
+                scale.append(a.sum())
+                alpha.append(a / a.sum())
+            beta = np.ones(k)
+            for t in range(len(x) - 1, -1, -1):
+                if t + 1 < len(x):
+                    ahead = emit[x[t + 1]] * beta / scale[t + 1]
+                    m += np.outer(alpha[t], ahead) * move
+                    beta = move @ ahead
+                e[x[t]] += alpha[t] * beta
+            s += alpha[0] * beta
+        emit, move, start = e / e.sum(axis=0), m / m.sum(axis=1, keepdims=True), s / s.sum()
+    out = {}
+    for d, ws in split.items():
+        a, score = start, 0.0
+        for t, w in enumerate(ws):
+            a = (a @ move if t else start) * emit[symbol(w)]
+            score += math.log10(a.sum()) + (0.0 if w in number else log(w) - math.log10(rest[kind(w)]))
+            a = a / a.sum()
+        out[d] = (len(ws), sum(count[w] > 0 for w in ws), n, sum(map(log, ws)), score)
+    return out
+
+
+@pytest.mark.parametrize("top", [30, 10_000])
+def test_scores_against_plain_baum_welch(spark, make_docs, monkeypatch, top):
+    """The query's own columns, value by value: frequent and rare words, unknown ones, empty and repeated texts."""
+    monkeypatch.setattr(hmm, "RARE", 16)
+    r = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in range(12)]
+    texts = [" ".join(r.choice(words[(i % 4) * 20 : (i % 4) * 20 + 30], r.integers(1, 60))) for i in range(60)] + [None, "", "Never seen", "a1 B2 a1", "a1 B2 a1"]
+    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
+    want = plain(dict(enumerate(texts)), held, top, 4)
+    rows = hmm.score(make_docs(texts), top=top).collect()
+    assert len(rows) == len(texts) and {x.doc_id for x in rows if x.held_out} == held
+    for x in rows:
+        assert (x.n_tokens, x.n_known, x.train_tokens) == want[x.doc_id][:3]
+        assert np.allclose((x.base_score, x.score), want[x.doc_id][3:], rtol=2e-4)

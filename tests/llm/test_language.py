@@ -85,3 +85,42 @@ def test_segments_are_spread_over_the_whole_text():
     text = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)) * 10
     parts = language.spread(text)
     assert len(parts) == language.SEGMENTS and parts[-1] in language.normal(text)[-language.SEGMENT :]
+
+
+def test_op7_against_plain_loops(spark):
+    """Sets of grams, the Nystrom kernel, the ridge regressions and the averages over segments, value by value, on a whole table."""
+    from warpline.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.lang, [bytes(p) for p in r.segments]) for r in language.sample(docs, ~language.held_out()).collect()]
+    train = {(r.lang, r.text) for r in docs.collect() if r.lang and language.has_letter(r.text) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert sorted((a, tuple(language.spread(t))) for a, t in train) == sorted({(a, tuple(p)) for a, p in rows})
+    gram_set = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    pieces = sorted((a, p) for a, ps in rows for p in ps)
+    langs = sorted({a for a, _ in pieces})
+    rng = np.random.default_rng(7)
+    marks = [int(i) for a in langs for i in rng.permutation([j for j, (b, _) in enumerate(pieces) if b == a])[: max(1, language.LANDMARKS // len(langs))]]
+    sets = [gram_set(p) for _, p in pieces]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(s, sets[m]) for m in marks] for s in sets])
+    count = {a: sum(b == a for b, _ in pieces) for a in langs}
+    w = np.array([1 / count[a] for a, _ in pieces])
+    y = np.array([[float(a == b) for b in langs] for a, _ in pieces])
+    left = (k * w[:, None]).T @ k + language.RIDGE * k[marks] + 1e-8 * np.eye(len(marks))
+    alpha = np.linalg.solve(left, (k * w[:, None]).T @ y)
+    got = {r.doc_id: r for r in registry.op7_language(spark, sf).collect()}
+    checked = 0
+    for r in docs.collect():
+        g = got.pop(r.doc_id)
+        if not language.has_letter(r.text):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        clean = language.normal(r.text)
+        parts = [clean[i : i + language.SEGMENT] for i in range(0, len(clean), language.SEGMENT)]
+        value = sum(len(p) * (np.array([kernel(gram_set(p), sets[m]) for m in marks]) @ alpha) for p in parts) / len(clean)
+        p = np.exp(language.SHARPNESS * (value - value.max()))
+        p /= p.sum()
+        assert g.lang_pred == langs[int(p.argmax())] and abs(g.score - p.max()) < 2e-3
+        checked += 1
+    assert not got and checked > 150

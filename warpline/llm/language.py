@@ -88,7 +88,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def presence(codes: np.ndarray, segment: np.ndarray, column: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
     """(0/1 matrix of segments by known grams, number of all distinct grams of each segment).
 
-    Grams that cross segments belong to the first.
+    Grams that cross segments belong to none.
     """
     out = np.zeros((rows, columns + 1), bool)
     flat = out.reshape(-1)
