@@ -11,6 +11,7 @@ from warpline.plans import fixtures
 from warpline.session import checkpoint_folder, children
 from warpline.sources import feeds, queue
 from warpline.streaming import ingest as stream
+from warpline.streaming import windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -246,3 +247,24 @@ def test_a_failing_batch_is_set_aside(spark, tmp_path, monkeypatch):
     for name in ("raw", "timeline", "indicators", "metadata"):
         assert stream.table(spark, base, name).count() == 1
     assert stream.table(spark, base, "indicators").first().value == "two.com"
+
+
+def test_windows_close_with_the_watermark(spark, tmp_path):
+    """An event that is late, but within the watermark, counts; a window is written once; one behind the watermark changes nothing."""
+    def put(name, *rows):
+        spark.createDataFrame([(f"2024-01-01 {t}", k) for t, k in rows], "at string, kind string").select(F.col("at").cast("timestamp").alias("at"), "kind").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        rows = spark.readStream.schema("at timestamp, kind string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        windows.start(rows, str(tmp_path / "out")).awaitTermination()
+        return {(r.window_start.hour, r.kind): (r.n, r.first_at.minute, r.last_at.minute) for r in windows.table(spark, str(tmp_path / "out")).collect()}
+
+    put("a", ("00:10:00", "x"), ("00:50:00", "x"), ("01:30:00", "y"))
+    assert run() == {}
+    put("b", ("00:20:00", "y"), ("02:45:00", "x"), ("00:05:00", "x"))  # late, but 00:45 is all that the watermark reaches then
+    assert run() == {}
+    put("c", ("05:00:00", "x"))
+    want = {(0, "x"): (3, 5, 50), (0, "y"): (1, 20, 20), (1, "y"): (1, 30, 30), (2, "x"): (1, 45, 45)}
+    assert run() == want
+    put("d", ("00:30:00", "x"), ("05:30:00", "x"))
+    assert run() == want

@@ -14,6 +14,7 @@ from warpline.plans import fixtures as X
 from warpline.session import shared_folder
 from warpline.sources import feeds, queue
 from warpline.streaming import ingest as stream
+from warpline.streaming import windows
 from warpline.streaming.graph_store import GraphStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -768,3 +769,14 @@ def pivot_domain_trigrams(s, d):
     for run, part in enumerate(_thirds(graph.checkpointed(_indicators(s, d)), "id")):
         postings.append(part, run)
     return postings.pivot("example.n_t")
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS kind, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, kind, n, first_at, last_at FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def event_windows(s, d):
+    """Events an hour and type, as a stream with a watermark closes the hours."""
+    base, schema = shared_folder(s), X.read(s, d, "events").schema
+    # a pattern, as a stream takes a file or a folder only so
+    rows = s.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
+    windows.start(rows, base).awaitTermination()
+    return windows.table(s, base)
