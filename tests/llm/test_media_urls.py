@@ -1,8 +1,10 @@
+import bisect
 import hashlib
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from warpline.llm import media, urlrules
 
@@ -75,6 +77,23 @@ def test_featurise_keeps_unreadable_rows(spark):
     assert sorted(r.height or 0 for r in got) == [0, 0, 9]
 
 
+def test_featurise_keeps_all_columns(spark):
+    df = spark.createDataFrame([(7, bytearray(media.encode_pgm(np.eye(9, dtype=np.uint8) * 200)), "x"), (8, None, None)], "id long, media binary, `a.b` string")
+    got = media.featurise(df)
+    assert got.columns == ["id", "media", "a.b", "height", "width", "tile_npy", "dhash"]
+    assert sorted((r[0], r[2], r.height) for r in got.collect()) == [(7, "x", 9), (8, None, None)]
+    with pytest.raises(ValueError):
+        media.featurise(got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 100])
+def test_places_among_edges(spark, n):
+    edges = sorted(f"k{i * 7 % 103:03d}" for i in range(n))
+    keys = sorted({f"k{i:03d}" for i in range(104)} | set(edges) | {"", "z"})
+    df = spark.createDataFrame([(k,) for k in keys], "key string").select("key", urlrules._place(edges, F.col("key")).alias("p"))
+    assert {r.key: r.p for r in df.collect()} == {k: bisect.bisect_right(edges, k) for k in keys}
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "a.example.com", ""), ("allow", "example.com", "/en/7"), ("block", None, "/x"), ("block", "", "/"), ("block", "a\u0001.net", "/")]
 
 

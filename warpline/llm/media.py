@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from warpline.llm.common import buffers, id_text, materialise, small_batches, table
 
@@ -144,23 +145,30 @@ FEATURES = pa.schema([("media", pa.binary()), ("height", pa.int32()), ("width",
 
 
 def featurise(media: DataFrame, media_col: str = "media", height: int = 8, width: int = 9) -> DataFrame:
-    """Decode a column of Netpbm or BMP bytes; add height, width, tile_npy and dhash.
+    """All columns of media, and of the Netpbm or BMP bytes in one of them height, width, tile_npy and dhash, whose names must be new.
 
     Null, empty or unreadable media keep their row, with null features.
     """
+    names, own, at = media.columns, FEATURES.names[1:], media.columns.index(media_col)
+    if set(names) & set(own):
+        raise ValueError("a column has the name of a feature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for m in b.column(0).to_pylist():
+            for m in b.column(at).to_pylist():
                 try:
                     a = decode(m or b"")
-                    out.append((m, *a.shape[:2], npy(tile(a, height, width)), dhash(tile(a, 8, 9))))
+                    out.append((*a.shape[:2], npy(tile(a, height, width)), dhash(tile(a, 8, 9))))
                 except (ValueError, OverflowError, struct.error, IndexError):
-                    out.append((m, None, None, None, None))
-            yield table(dict(zip(FEATURES.names, zip(*out), strict=True)) if out else {n: [] for n in FEATURES.names}, FEATURES)
-
-    return media.select(media[media_col].alias("media")).mapInArrow(run, "media binary, height int, width int, tile_npy binary, dhash string")
+                    out.append((None, None, None, None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(own)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(list(c), FEATURES.field(n).type) for n, c in zip(own, cols))], names=b.schema.names + own)
+
+    rows = media.toDF(*[f"c{i}" for i in range(len(names))])  # by place, as names with dots can't be passed to Python
+    ddl = "height int, width int, tile_npy binary, dhash string"
+    fields = [*rows.schema.fields, *rows.sparkSession.createDataFrame([], ddl).schema.fields]
+    return rows.mapInArrow(run, StructType(fields)).toDF(*names, *own)
 
 
 STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
