@@ -29,6 +29,13 @@ def test_text_and_json_feeds(spark):
     assert [r.value for r in feeds.malwarebazaar(text(spark, '{"data": [{"sha256_hash": "abcd1234"}, {"sha256_hash": null}, {}]}', "{}", "oops")).collect()] == ["abcd1234"]
 
 
+def test_several_bodies_of_a_feed_keep_their_order(spark):
+    bodies = spark.createDataFrame([("a.com\nb.com",), ("c.com\n\nd.com",), ("e.com",)], "value string").coalesce(1)
+    rows = feeds.otx(bodies).withColumn("feed_ord", F.lit(0))
+    assert [r.value for r in feeds.sample(rows, 4).collect()] == ["a.com", "b.com", "c.com", "d.com"]
+    assert rows.select("pos").distinct().count() == 5
+
+
 def test_registry_isolates_failures(spark):
     r = feeds.Registry()
     r.register(feeds.Feed("one", lambda s: text(s, "a.com"), feeds.otx))

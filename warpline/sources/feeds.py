@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from http.client import HTTPException
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,11 +29,16 @@ THREATFOX = "data array<struct<ioc: string, ioc_type: string>>"
 MALWAREBAZAAR = "data array<struct<sha256_hash: string>>"
 
 
+def _pos() -> Column:
+    """Ascends over a body's records, and over bodies as they stand."""
+    return F.monotonically_increasing_id().alias("pos")
+
+
 def lines(text: DataFrame, kind: str, source: str, confidence: int) -> DataFrame:
     """Lines of a column `value` (one or many a row) to records; blank lines go."""
-    parts = text.select(F.posexplode(F.split("value", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")).alias("pos", "line"))
-    found = parts.select(strip(F.col("line")).alias("value"), "pos").filter("value <> ''")
-    return found.select("value", F.lit(kind).alias("type"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.col("pos").cast("long"))
+    parts = text.select(F.explode(F.split("value", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")).alias("line"))
+    found = parts.select(strip(F.col("line")).alias("value"), _pos()).filter("value <> ''")
+    return found.select("value", F.lit(kind).alias("type"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), "pos")
 
 
 def openphish(text: DataFrame) -> DataFrame:
@@ -47,16 +52,16 @@ def otx(text: DataFrame) -> DataFrame:
 def threatfox(body: DataFrame) -> DataFrame:
     """JSON text in `value`: data[].ioc with ioc_type, which is domain where the key is missing."""
     d = body.select(F.from_json("value", THREATFOX).alias("j"), F.from_json("value", "data array<map<string, string>>").alias("m"))
-    rows = d.select(F.posexplode(F.arrays_zip(F.col("j.data").alias("d"), F.col("m.data").alias("keys"))).alias("pos", "x"))
+    rows = d.select(F.explode(F.arrays_zip(F.col("j.data").alias("d"), F.col("m.data").alias("keys"))).alias("x")).select("x", _pos())
     kind = F.when(F.map_contains_key(F.col("x.keys"), "ioc_type"), F.col("x.d.ioc_type")).otherwise(F.lit("domain"))
     found = rows.select(F.col("x.d.ioc").alias("value"), kind.alias("type"), "pos").filter("value is not null and value <> ''")
-    return found.select("value", "type", F.lit("threatfox").alias("source"), F.lit(75).alias("confidence"), F.col("pos").cast("long"))
+    return found.select("value", "type", F.lit("threatfox").alias("source"), F.lit(75).alias("confidence"), "pos")
 
 
 def malwarebazaar(body: DataFrame) -> DataFrame:
-    rows = body.select(F.posexplode(F.from_json("value", MALWAREBAZAAR)["data"]["sha256_hash"]).alias("pos", "value"))
+    rows = body.select(F.explode(F.from_json("value", MALWAREBAZAAR)["data"]["sha256_hash"]).alias("value")).select("value", _pos())
     found = rows.filter("value is not null and value <> ''")
-    return found.select("value", F.lit("hash").alias("type"), F.lit("malwarebazaar").alias("source"), F.lit(85).alias("confidence"), F.col("pos").cast("long"))
+    return found.select("value", F.lit("hash").alias("type"), F.lit("malwarebazaar").alias("source"), F.lit(85).alias("confidence"), "pos")
 
 
 @dataclass
