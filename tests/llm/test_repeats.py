@@ -1,5 +1,7 @@
 import hashlib
 import random
+import tempfile
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -164,6 +166,71 @@ def test_queue_order_with_ties_and_runs(monkeypatch):
             assert x[:k] == y[:k] and (k == 40 or k == min(len(x), len(y)) or x[k] != y[k])
 
 
+@pytest.mark.parametrize("chunk", [1, 4, 7])
+def test_small_blocks_and_whole_files_against_brute_force(monkeypatch, chunk):
+    """Every array on disk, blocks of a few rows, external sorts with many runs, symbols that are taken block by block."""
+    for name, value in (("MEMORY", 4 * chunk), ("CHUNK", chunk), ("RANGE", chunk), ("WIDEST", chunk + 1)):
+        monkeypatch.setattr(induced, name, value)
+    r, before = np.random.default_rng(chunk), dict(induced.RAN)
+    for trial in range(60):
+        n, cap = int(r.integers(0, 60)), int(r.choice([1, 2, 3, 10, 40, 200]))
+        t = r.integers(0, int(r.integers(1, 6)), n).tolist()
+        t = [0] * n if trial % 7 == 0 else (t[:7] * 12)[:60] if trial % 5 == 0 else t
+        n = len(t)
+        places, prefix = induced.suffix_array(np.array(t, np.int64), cap, int(r.choice([1, 2, 8, 1024])))
+        order = [tuple(t[i : i + cap]) for i in places.tolist()]
+        assert sorted(places.tolist()) == list(range(n)) and order == sorted(order)
+        want = [0] * min(n, 1) + [next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y))) for x, y in zip(order, order[1:])]
+        assert prefix.tolist() == want
+    assert all(induced.RAN[k] > before[k] for k in ("levels", "spills", "filed", "merges", "blocks"))
+
+
+def test_external_sort_against_a_sort(monkeypatch):
+    monkeypatch.setattr(induced, "CHUNK", 50)
+    r = np.random.default_rng(1)
+    for n in (0, 1, 49, 50, 51, 3000):
+        key, sorter = r.integers(0, max(1, n // 3), n).astype(np.uint64), induced.Sorter()
+        for s in range(0, n, 17):
+            sorter.add(key[s : s + 17], np.arange(s, min(n, s + 17)))
+        got = list(sorter.merged())
+        k, i = (np.concatenate([g[j] for g in got]) if got else np.empty(0) for j in (0, 1))
+        assert k.tolist() == sorted(key.tolist()) and sorted(i.tolist()) == list(range(n)) and all(key[b] == a for a, b in zip(k.tolist(), i.tolist()))
+        assert n < 3000 or max(len(g[0]) for g in got) < n / 2
+
+
+def test_memory_is_bounded_at_32_million_symbols():
+    """64 MB besides mapped scratch files, for text of random words, copied passages and long runs; against brute force on a sample."""
+    n, cap = 32_000_000, 200
+    r = np.random.default_rng(1)
+    passages = r.integers(97, 123, 1 << 16).astype(np.int16)
+    with tempfile.TemporaryFile() as f:
+        for s in range(0, n, 1 << 18):
+            w = r.integers(97, 123, min(1 << 18, n - s)).astype(np.int16)
+            w[r.random(len(w)) < 0.3] = 32
+            for _ in range(8):
+                a, b = int(r.integers(0, 60_000)), int(r.integers(0, len(w) - 5000))
+                w[b : b + 5000] = passages[a : a + 5000]
+            if (s >> 18) % 4 == 0:
+                w[1000:20_000] = 7
+            w.tofile(f)
+        f.flush()
+        text = np.asarray(np.memmap(f, np.int16, "r", shape=(n,)))
+    tracemalloc.start()
+    try:
+        places, prefix = induced.suffix_array(text, cap)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    seen = np.zeros(n, bool)
+    seen[places] = True
+    assert len(places) == n and seen.all()
+    for i in r.integers(1, n, 5000).tolist():
+        a, b = (text[p : p + cap].tolist() for p in (int(places[i - 1]), int(places[i])))
+        same = next((k for k, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+        assert prefix[i] == same and a[same:] <= b[same:]
+
+
 def test_index_is_smaller_than_its_text():
     """Against the bytes of its words; and counts across many blocks are right."""
     rnd = random.Random(6)
