@@ -201,19 +201,19 @@ def test_one_bad_message_of_a_thousand(spark, tmp_path, monkeypatch):
 def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
     base = str(tmp_path / "out")
     messages = lambda *v: spark.createDataFrame([(x, "md5", "s", i, "{}", ["source", "confidence"]) for i, x in enumerate(v)], "value string, type string, source string, confidence int, raw_payload string, keys array<string>")
-    for batch in range(12):
+    for batch in range(6):
         stream.apply_batch(messages(*[f"b{batch}v{i}" for i in range(20)], "always"), batch, base)
     own = messages("always", "b3v7").select(stream.bucket().alias("b")).distinct()
     buckets = [r.b for r in own.collect()]
-    files = stream.known(spark, base, buckets, 12).inputFiles()
+    files = stream.known(spark, base, buckets, 6).inputFiles()
     assert len(buckets) == 2 and {f.split("bucket=")[1].split("/")[0] for f in files} == set(map(str, buckets))
-    assert len(files) < 12 < len(stream.table(spark, base, "indicators").inputFiles())
+    assert len(files) < 9 < len(stream.table(spark, base, "indicators").inputFiles())
     everything = lambda: sorted((r.id, r.value) for r in stream.table(spark, base, "indicators").collect())
     before = everything()
-    assert len(before) == 241 and stream.compact(spark, base, before=12, parts=1) > 0
+    assert len(before) == 121 and stream.compact(spark, base, before=6, parts=1) > 0
     assert everything() == before
-    stream.apply_batch(messages("always", "new"), 12, base)
-    assert len(everything()) == 242 and stream.table(spark, base, "metadata").filter(F.col("indicator_id") == dict((v, i) for i, v in before)["always"]).count() == 13
+    stream.apply_batch(messages("always", "new"), 6, base)
+    assert len(everything()) == 122 and stream.table(spark, base, "metadata").filter(F.col("indicator_id") == dict((v, i) for i, v in before)["always"]).count() == 7
 
 
 def test_shared_folder_does_not_grow(spark, tmp_path):
