@@ -99,6 +99,46 @@ def test_clusters_around_hubs(spark):
     assert graph.clusters(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_pairs_within_reach_against_a_search(spark, monkeypatch, block):
+    """Each pair once, whatever the blocks; values may hold the separator of labels; labels apart, values repeat."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    rnd = random.Random(5)
+    node = lambda: (rnd.choice(["URL", "Domain", "IP", "Indicator", "ASN"]), f"v\u0001{rnd.randint(0, 12)}")
+    rows = [(*node(), "R", *node()) for _ in range(24)] + [("URL", f"twin{i}", "HOSTS", "Domain", "hub") for i in range(9)] + [("Indicator", "p", "INDICATES", "IP", "lone")]
+    near = {}
+    for a, b, _, c, d in rows:
+        if (a, b) != (c, d):
+            near.setdefault((a, b), set()).add((c, d))
+            near.setdefault((c, d), set()).add((a, b))
+    for hops in (0, 1, 2, 4):
+        want = []
+        for start in (n for n in near if n[0] in graph.TYPED):
+            seen = {start}
+            for _ in range(hops):
+                seen |= {m for n in seen for m in near[n]}
+            want += [(start, n) for n in seen if n[0] in graph.TYPED and n != start]
+        df = spark.createDataFrame(rows, schemas.EDGES)
+        assert sorted(map(tuple, graph.reach(df, hops).collect())) == sorted(("\u0001".join(a), "\u0001".join(b)) for a, b in want)
+        assert sorted(map(tuple, graph.reach_values(df, hops).collect())) == sorted((a[1], b[1]) for a, b in want)
+
+
+def test_pairs_within_reach_are_written_out_last(spark, monkeypatch):
+    """600 leaves of a hub, each with a neighbour of its own: 1.4 million pairs, and no stored table has a fiftieth as many rows."""
+    sizes = []
+    real = graph.checkpointed
+
+    def stored(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "checkpointed", stored)
+    rows = [("URL", f"u{i}", "R", "Domain", "hub") for i in range(600)] + [("URL", f"u{i}", "R", "IP", f"ip{i}") for i in range(600)]
+    assert graph.reach(spark.createDataFrame(rows, schemas.EDGES)).count() == 1201 * 1200
+    assert max(sizes) < 1201 * 1200 / 50
+
+
 def sequential(items):
     """Greedy leader clustering as a plain loop: (pos, value, features) in order."""
     close = lambda a, b: bool(a) and bool(b) and len(a & b) / len(a | b) >= 0.75
