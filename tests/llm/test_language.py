@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from warpline.llm import language
 
@@ -124,3 +125,43 @@ def test_op7_against_plain_loops(spark):
         assert g.lang_pred == langs[int(p.argmax())] and abs(g.score - p.max()) < 2e-3
         checked += 1
     assert not got and checked > 150
+
+
+EN, FR = "the cat and the dog sat on the mat and then they went to the house ", "le chat et le chien sont sur le tapis et puis ils vont dans la maison "
+
+
+def test_rows_beyond_the_landmarks_are_learned(spark, monkeypatch):
+    """A row that no landmark is drawn from changes the model; repeated rows and other partitions don't change a bit."""
+    monkeypatch.setattr(language, "PER_LANGUAGE", 4)
+    rows = [(i, (EN, FR)[i % 2] * (1 + i % 5) + chr(97 + i % 26) * (i % 7), ("en", "fr")[i % 2]) for i in range(40)]
+    make = lambda rows, n=3: spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
+    drawn = lambda docs: sorted((r.lang, tuple(map(bytes, r.segments))) for r in language.sample(docs, ~language.held_out()).collect())
+    chosen = {p for _, p in drawn(make(rows))}
+    other = next(r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and tuple(language.spread(r[1])) not in chosen)
+    less = [r for r in rows if r != other]
+    assert drawn(make(less)) == drawn(make(rows))
+    whole = language.fit(make(rows), ~language.held_out())
+    assert not np.array_equal(whole.weights, language.fit(make(less), ~language.held_out()).weights)
+    assert np.array_equal(whole.weights, language.fit(make(rows * 2, 5), ~language.held_out()).weights)
+
+
+def test_pipeline_learns_whole_texts(spark):
+    """The third of six segments, which isn't among the four that are spread over a text."""
+    long = [language.normal(EN * 100)[:5900].decode(), language.normal(FR * 100)[:5900].decode()]
+    rows = [(i, long[i % 2], ("en", "fr")[i % 2]) for i in range(6)]
+    cut = lambda t: t[:2100] + "wxyzqvjk" * 100 + t[2900:]
+    model = lambda rows, n: language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_text=n).weights
+    changed = [(i, cut(t), a) if i == 0 else (i, t, a) for i, t, a in rows]
+    assert np.array_equal(model(rows, language.SEGMENTS), model(changed, language.SEGMENTS))
+    assert not np.array_equal(model(rows, None), model(changed, None))
+
+
+def test_threshold_is_set_by_all_held_out_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 2)
+    rows = [(i, (EN, FR)[i % 2] * (1 + i % 3) + chr(97 + i % 26) * (i % 50), ("en", "fr")[i % 2]) for i in range(150)]
+    docs = spark.createDataFrame([*rows, (500, "12 " * 30, "en"), (501, "zq", "en"), (502, EN[9:] + FR, None)], "doc_id long, text string, lang string")
+    model = language.fit(docs, ~language.held_out())
+    held = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 20
+    lowest = language.chances(model.scores(held)).max(axis=1).min()
+    assert abs(language.threshold(docs, model, language.held_out()) - (0.5 + (lowest - 0.5) / 4)) < 1e-6

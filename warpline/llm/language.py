@@ -7,10 +7,11 @@ segments span the Nystrom approximation; one ridge regression for each language
 solved in it. Scoring multiplies a batch's presence matrix with the landmarks' weights folded over grams,
 which is the same product in another order, and averages the segments of a text by length.
 
-Training takes a bounded, documented sample of labelled rows: SAMPLE_ROWS in all, dealt evenly over the
-languages but at most PER_LANGUAGE of each (distinct texts with the smallest hashes), and of each row at
-most SEGMENTS segments, spread evenly over the whole text. No language is left out unless there are more than
-SAMPLE_ROWS of them. Prediction reads whole texts and only the text.
+All labelled rows to learn from count: tasks sum the normal equations over their segments, in whole numbers, so the model doesn't
+depend on how rows are dealt out. accept() learns from all segments of whole texts; identify() from at most SEGMENTS of each text,
+spread evenly over all of it. Only the landmarks themselves, the basis, are drawn from few rows: those with the smallest hashes, PER_LANGUAGE
+of each language and SAMPLE_ROWS in all. No language is left out unless there are more than SAMPLE_ROWS of them. Prediction reads
+whole texts and only the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without a language are
 never learned from; ties go to the language first in order; repeated rows are learned once and scored alike;
@@ -21,7 +22,8 @@ accept() keeps columns of any name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warpline.llm.common import small_batches, table
+from warpline.llm.common import materialise, partitions, small_batches, table
 
 SEGMENT, LANDMARKS, PER_LANGUAGE, SEGMENTS, SAMPLE_ROWS, SHORT = 1000, 400, 400, 4, 20_000, 40
-RIDGE, SHARPNESS = 1e-3, 4.0
+RIDGE, SHARPNESS, BLOCK = 1e-3, 4.0, 512
 ASCII_LETTER = re.compile("[A-Za-z]")
 #: codes of bytes: 0 for blanks, a to z, then each byte over 127
 CODE = np.zeros(256, np.int64)
@@ -66,12 +68,12 @@ def grams(codes: np.ndarray) -> list[np.ndarray]:
 SPACE = SIZE + SIZE**2 + SIZE**3
 
 
-def spread(text: str) -> list[bytes]:
-    """At most SEGMENTS segments of a text, evenly over all of it."""
+def spread(text: str, most: int | None = SEGMENTS) -> list[bytes]:
+    """At most `most` (two or more) segments of a text, evenly over all of it; all for None."""
     clean = normal(text)
     count = max(1, -(-len(clean) // SEGMENT))
-    chosen = range(count) if count <= SEGMENTS else [i * (count - 1) // (SEGMENTS - 1) for i in range(SEGMENTS)]
-    return [clean[k * SEGMENT : (k + 1) * SEGMENT] for k in chosen]
+    at = range(count) if most is None or count <= most else [i * (count - 1) // (most - 1) for i in range(most)]
+    return [clean[k * SEGMENT : (k + 1) * SEGMENT] for k in at]
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,22 +134,43 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The bounded training sample: lang, segments.
+def labelled(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, doc_id, text, h of the rows to learn from; h is a hash of id and text."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    return own.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+
+
+def facts(own: DataFrame) -> DataFrame:
+    """lang, h, n of all rows of labelled() with a letter; n is the number of segments. Written once, without texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([max(1, -(-len(normal(t)) // SEGMENT)) if has_letter(t) else 0 for t in b.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["lang", "h", "n"])
+
+    small_batches(own.sparkSession)
+    return materialise(own.select("lang", "h", "text").mapInArrow(run, "lang string, h long, n long").filter("n > 0"))
+
+
+def sample(docs: DataFrame, learn: Column, **columns: str) -> DataFrame:
+    """lang, segments of the texts that landmarks are drawn from: see chosen()."""
+    own = labelled(docs, learn, **columns)
+    return chosen(own, facts(own))
+
+
+def chosen(own: DataFrame, known: DataFrame) -> DataFrame:
+    """lang, segments: of each language the texts with the smallest hashes, each once.
 
     Hashes alone are ranked, after a language with many distinct texts has been thinned by them, so no
     task gets more than some thousand rows of a language, and whole texts are read only of chosen rows.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    own = own.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
-    sizes = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
     sizes = sizes.withColumn("each", F.greatest(F.lit(1), F.least(F.lit(PER_LANGUAGE), (F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy())).cast("int"))))
     bound = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0) * F.col("each") / F.col("n")) - F.lit(2.0**63)
     sizes = sizes.select("lang", "each", bound.alias("bound"))  # SAMPLE_ROWS rows at most
-    thin = own.select("lang", "h").join(F.broadcast(sizes), "lang").filter(F.col("h").cast("double") <= F.col("bound")).distinct()
+    thin = known.select("lang", "h").join(F.broadcast(sizes), "lang").filter(F.col("h").cast("double") <= F.col("bound")).distinct()
     ranked = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter("k <= each")
-    chosen = ranked.select("lang", "h")
-    texts = own.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE_ROWS rows at most
+    texts = own.join(F.broadcast(ranked.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # SAMPLE_ROWS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,42 +186,137 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def train_segments(rows: list[tuple[str, list[bytes]]]) -> Model:
-    """rows: (language, segments of a text) of the sample."""
-    pieces = sorted((a, bytes(p)) for a, ps in rows for p in ps)
-    languages = sorted({a for a, _ in pieces})
-    if not pieces:
-        return Model([], np.zeros(SPACE, np.int32), np.zeros((0, 0), np.float32))
-    number = {a: i for i, a in enumerate(languages)}
-    label = np.array([number[a] for a, _ in pieces])
-    rng = np.random.default_rng(7)
-    each = max(1, LANDMARKS // len(languages))
-    marks = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:each] for k in range(len(languages))])
-    codes, segment, owner, _ = segments([pieces[m][1] for m in marks.tolist()])
-    starts = np.searchsorted(segment, np.arange(len(owner) + 1))
-    seen = np.unique(np.concatenate([g for m in range(len(marks)) for g in grams(codes[starts[m] : starts[m + 1]])]))
-    column = np.full(SPACE, len(seen), np.int32)
-    column[seen] = np.arange(len(seen))
-
-    def kernel_rows(part: list[bytes]) -> np.ndarray:
+    """rows: (language, segments of a text), all of which are learned from."""
+    basis = Basis.of(rows)
+    pieces = [(a, bytes(p)) for a, ps in rows for p in ps]
+    count = Counter(a for a, _ in pieces)
+    sums = Sums(basis, dict(sorted(count.items())))
+    for i in range(0, len(pieces), BLOCK):
+        sums.add(*zip(*pieces[i : i + BLOCK], strict=True))
+    return sums.solve(sums.left, sums.right)
+
+
+@dataclass
+class Basis:
+    """The landmarks, which span the space that all rows are learned in."""
+
+    marks: list[bytes]
+    column: np.ndarray  # of each gram code; the number of known grams for all others
+    grams: np.ndarray  # landmarks by known grams, 0/1
+    size: np.ndarray  # distinct grams of each landmark
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, list[bytes]]]) -> Basis:
+        pieces = sorted((a, bytes(p)) for a, ps in rows for p in ps)
+        if not pieces:
+            return cls([], np.zeros(SPACE, np.int32), np.zeros((0, 0), np.float32), np.zeros(0))
+        languages = sorted({a for a, _ in pieces})
+        number = {a: i for i, a in enumerate(languages)}
+        label = np.array([number[a] for a, _ in pieces])
+        rng = np.random.default_rng(7)
+        each = max(1, LANDMARKS // len(languages))
+        marks = [pieces[m][1] for k in range(len(languages)) for m in rng.permutation(np.flatnonzero(label == k))[:each].tolist()]
+        codes, segment, owner, _ = segments(marks)
+        starts = np.searchsorted(segment, np.arange(len(owner) + 1))
+        seen = np.unique(np.concatenate([g for m in range(len(marks)) for g in grams(codes[starts[m] : starts[m + 1]])]))
+        column = np.full(SPACE, len(seen), np.int32)
+        column[seen] = np.arange(len(seen))
+        parts = [cls._presence(marks[i : i + 256], column, len(seen)) for i in range(0, len(marks), 256)]
+        return cls(marks, column, np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts]))
+
+    @staticmethod
+    def _presence(part: list[bytes], column: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
         codes, segment, owner, _ = segments(part)
-        p, size = presence(codes, segment, column, len(owner), len(seen))
-        return p.astype(np.float32) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32)
+        p, size = presence(codes, segment, column, len(owner), known)
+        return p.astype(np.float32), np.maximum(size, 1).astype(np.float64)
 
-    base = np.concatenate([kernel_rows([pieces[m][1] for m in marks[i : i + 256].tolist()]) for i in range(0, len(marks), 256)])
-    balance = (1 / np.bincount(label, minlength=len(languages)))[label]
-    left, right = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(languages)))
-    for i in range(0, len(pieces), 512):  # normal equations, summed over blocks of segments
-        k = (kernel_rows([p for _, p in pieces[i : i + 512]]) @ base.T).astype(np.float64)
-        weighted = k * balance[i : i + 512, None]
-        left += k.T @ weighted
-        right += weighted.T @ (label[i : i + 512, None] == np.arange(len(languages)))
-    left += RIDGE * (base @ base.T) + 1e-8 * np.eye(len(marks))
-    alpha = np.linalg.solve(left, right)
-    return Model(languages, column, (base.T @ alpha).astype(np.float32))
+    def kernel(self, part: list[bytes]) -> np.ndarray:
+        """Kernel of segments with landmarks. Shared grams are whole numbers, so no order of summing changes a bit."""
+        p, size = self._presence(part, self.column, self.grams.shape[1])
+        return (p @ self.grams.T).astype(np.float64) / np.sqrt(size[:, None] * self.size)
 
 
-def fit(docs: DataFrame, learn: Column, **columns: str) -> Model:
-    return train_segments([(r["lang"], r["segments"]) for r in sample(docs, learn, **columns).collect()])  # SAMPLE_ROWS rows at most
+class Sums:
+    """Sums of the normal equations over segments, each language weighing the same.
+
+    Kernel values are rounded to whole numbers of a unit that keeps their sums below 2^53, so they are exact: rows can be cut
+    and ordered in any way.
+    """
+
+    def __init__(self, basis: Basis, count: dict[str, int]) -> None:
+        self.basis, self.count = basis, count
+        self.number = {a: i for i, a in enumerate(count)}
+        self.least = min(count.values(), default=1)
+        self.root = np.sqrt(self.least / np.array([*count.values()], np.float64))
+        self.left_unit, self.right_unit = (2.0 ** min(26, (53 - int(n).bit_length()) // k) for n, k in ((self.least * len(count) + sum(count.values()) // 2**20 + 1, 2), (max(count.values(), default=1), 1)))
+        self.left, self.right = np.zeros((len(basis.marks), len(basis.marks))), np.zeros((len(basis.marks), len(count)))
+
+    def add(self, labels: Sequence[str], part: Sequence[bytes]) -> None:
+        k = self.basis.kernel(list(part))
+        label = np.array([self.number[a] for a in labels])
+        u = np.rint(k * self.root[label][:, None] * self.left_unit)
+        self.left += u.T @ u
+        self.right += np.rint(k * self.right_unit).T @ (label[:, None] == np.arange(len(self.count))).astype(np.float64)
+
+    def solve(self, left: np.ndarray, right: np.ndarray) -> Model:
+        b = self.basis
+        if not b.marks:
+            return Model([], b.column, b.grams)
+        base = b.grams / np.sqrt(b.size)[:, None].astype(np.float32)
+        left = left / (self.left_unit**2 * self.least) + RIDGE * (base @ base.T) + 1e-8 * np.eye(len(b.marks))
+        alpha = np.linalg.solve(left, right / self.right_unit / np.array([*self.count.values()]))
+        return Model([*self.count], b.column, (base.T @ alpha).astype(np.float32))
+
+
+def fit(docs: DataFrame, learn: Column, per_text: int | None = SEGMENTS, **columns: str) -> Model:
+    """The model of all rows to learn from, with all segments of a text or per_text of them, spread evenly.
+
+    Only landmarks, languages (SAMPLE_ROWS at most) and sums of the size of the model reach the driver.
+    """
+    own = labelled(docs, learn, **columns)
+    known = facts(own)
+    basis = Basis.of([(r["lang"], r["segments"]) for r in chosen(own, known).collect()])  # SAMPLE_ROWS rows at most
+    size = F.col("n") if per_text is None else F.least("n", F.lit(per_text))
+    each = known.groupBy("lang", "h").agg(F.min(size).alias("n"), F.count("*").alias("copies"))
+    totals = each.groupBy("lang").agg(F.sum("n").alias("n"), F.max("copies").alias("copies")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS).collect()
+    count = {r["lang"]: r["n"] for r in sorted(totals, key=lambda r: r["lang"])}
+    if not basis.marks:
+        return Sums(basis, count).solve(np.zeros(0), np.zeros(0))
+    if any(r["copies"] > 1 for r in totals):  # repeated rows are learned once; texts are shuffled only where there are some
+        own = own.select("lang", "h", "text", "doc_id").distinct()
+    width, spark = len(basis.marks), docs.sparkSession
+    sent = spark.sparkContext.broadcast((basis, count))  # its size depends on the bounds of landmarks and languages only
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, labels, parts = Sums(*sent.value), [], []
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if lang in sums.number and has_letter(text):
+                    pieces = spread(text, per_text)
+                    labels += [lang] * len(pieces)
+                    parts += pieces
+                while len(parts) >= BLOCK:
+                    sums.add(labels[:BLOCK], parts[:BLOCK])
+                    del labels[:BLOCK], parts[:BLOCK]
+        if parts:
+            sums.add(labels, parts)
+        rows = np.concatenate([sums.left, sums.right], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["i", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found[i] = found.get(i, 0) + np.frombuffer(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([r.tobytes() for r in found.values()], pa.binary())], names=["i", "sums"])
+
+    small_batches(spark)
+    parts = own.select("lang", "text").mapInArrow(run, "i int, sums binary")
+    rows = parts.repartition(min(width, partitions(spark)), "i").mapInArrow(total, "i int, sums binary").collect()  # a row a landmark
+    whole = np.zeros((width, width + len(count)))
+    for r in rows:
+        whole[r["i"]] = np.frombuffer(r["sums"])
+    return Sums(basis, count).solve(whole[:, :width], whole[:, width:])
 
 
 def chances(f: np.ndarray) -> np.ndarray:
@@ -245,25 +363,24 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score")
 
 
-def threshold(model: Model, rows: list[tuple[str, list[bytes]]]) -> float:
-    """A quarter of the way from chance to the lowest score among labelled texts that were not learned from."""
-    texts = [b"".join(map(bytes, p)).decode(errors="ignore") for _, p in rows]
-    texts = [t for t in texts if len(t.encode()) >= SHORT]
-    chance = 1 / max(1, len(model.languages))
-    if not texts or len(model.languages) < 2:
+def threshold(docs: DataFrame, model: Model, learn: Column) -> float:
+    """A quarter of the way from chance to the lowest score among all labelled texts of SHORT bytes or more that `learn` names."""
+    if len(model.languages) < 2:
         return 0.0
-    lowest = min(float(chances(model.scores(texts[i : i + 256])).max(axis=1).min()) for i in range(0, len(texts), 256))
-    return chance + (lowest - chance) / 4
+    texts = labelled(docs, learn).filter(F.octet_length("text") >= SHORT).select("text")
+    lowest = predict(texts, model, keep=()).filter("lang_pred <> 'und'").agg(F.min("score")).first()[0]
+    chance = 1 / len(model.languages)
+    return 0.0 if lowest is None else chance + (lowest - chance) / 4
 
 
 def accept(docs: DataFrame, least: float | None = None) -> DataFrame:
     """docs without texts that have no learned language; a null lang of a row that stays is filled in.
 
     Rejected are null texts, texts without a letter, and texts of SHORT bytes or more whose score is below
-    `least`, which is set by threshold() on a bounded sample of held-out labelled rows unless given. Where
-    nothing could be learned, all texts with a letter stay.
+    `least`, which is set by threshold() on all held-out labelled rows unless given. Whole texts of all other labelled
+    rows are learned from. Where nothing could be learned, all texts with a letter stay.
     """
-    model = fit(docs, ~held_out())
+    model = fit(docs, ~held_out(), per_text=None)
     columns = docs.columns
     if not model.languages:
         at = columns.index("text")
@@ -276,7 +393,7 @@ def accept(docs: DataFrame, least: float | None = None) -> DataFrame:
         own = docs.toDF(*[f"c{i}" for i in range(len(columns))])
         return own.mapInArrow(run, own.schema).toDF(*columns)
     if least is None:
-        least = threshold(model, [(r["lang"], r["segments"]) for r in sample(docs, held_out()).collect()])  # SAMPLE_ROWS rows at most
+        least = threshold(docs, model, held_out())
     mark = "_" * (1 + max(map(len, columns)))  # longer than any name of docs
     names = f"{mark}lang", f"{mark}score"
     out = predict(docs, model, keep=tuple(columns), names=names)
