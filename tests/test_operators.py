@@ -139,6 +139,17 @@ def test_pairs_within_reach_are_written_out_last(spark, monkeypatch):
     assert max(sizes) < 1201 * 1200 / 50
 
 
+def test_a_start_meets_one_list_at_a_time(spark):
+    """Generated code keeps all that one input row explodes to: in the last stage that is one list of nodes, not one for each node of another list."""
+    rows = [("URL", f"u{i}", "R", "Domain", "hub") for i in range(3000)] + [("Domain", "u7", "R", "Domain", "hub")]
+    df = graph.reach_values(spark.createDataFrame(rows, schemas.EDGES))
+    last = df._jdf.queryExecution().executedPlan().toString().partition("Exchange")[0]
+    assert last.count("Generate explode") == 1 and "SortMergeJoin" in last
+    assert df.count() == 3002 * 3001
+    assert df.filter("start = node").collect() == [("u7", "u7")] * 2
+    assert df.distinct().count() == 3001 * 3000 + 1
+
+
 def sequential(items):
     """Greedy leader clustering as a plain loop: (pos, value, features) in order."""
     close = lambda a, b: bool(a) and bool(b) and len(a & b) / len(a | b) >= 0.75
